@@ -1 +1,7 @@
 """tablelens: a Spark-native table profiler and training-data toolkit."""
+
+from tablelens.plans.profiler import Profiler
+from tablelens.plans.registry import Registry
+from tablelens.plans.types import ProfilingConfig, ProfilingResult, Rule
+
+__all__ = ["Profiler", "ProfilingConfig", "ProfilingResult", "Registry", "Rule"]
