@@ -63,7 +63,8 @@ def rebalance(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
     one = m.groupBy().agg(
         (F.max("version") + 1).alias("version"),
         F.collect_list(F.when(F.col("kept"), F.struct("vslot", "shard", "b"))).alias("kept"),
-        F.array_sort(F.collect_list(F.when(~F.col("kept"), F.struct((-F.col("b")).alias("minus"), "vslot")))).alias("pool"),
+        F.array_sort(F.collect_list(F.when(~F.col("kept"), F.struct((-F.col("b")).alias("minus"), "vslot", "shard")))).alias("pool"),
+        F.max("mean").alias("mean"),
     )
     summed = F.aggregate(
         F.col("kept"),
@@ -76,8 +77,10 @@ def rebalance(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
 
     def put(acc: Column, x: Column) -> Column:
         lightest = (F.array_position(acc["loads"], F.array_min(acc["loads"])) - 1).cast("int")
+        # A slot that still fits where it was stays there.
+        fits = (x["shard"] < shards) & (F.get(acc["loads"], x["shard"]) - x["minus"] <= F.col("mean"))
         return _let(
-            lightest,
+            F.when(fits, x["shard"]).otherwise(lightest),
             lambda k: F.struct(
                 F.transform(acc["loads"], lambda v, i: F.when(i == k, v - x["minus"]).otherwise(v)).alias("loads"),
                 F.concat(acc["moves"], F.array(F.struct(x["vslot"].alias("vslot"), k.alias("shard")))).alias("moves"),
