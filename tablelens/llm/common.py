@@ -44,11 +44,25 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def hash_fraction(key: Column, seed: str) -> Column:
-    """A number in [0, 1) that depends on ``key`` and ``seed`` alone: 48 bits of an MD5 digest."""
-    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}")))
+def hash_fraction(key: Column, seed: str, k: Column | None = None) -> Column:
+    """A number in [0, 1) that depends on ``key``, ``seed`` and ``k`` alone: 48 bits of an MD5 digest."""
+    tail = [F.lit(f":{seed}")] if k is None else [F.lit(f":{seed}:"), k.cast("string")]
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), *tail))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+def release() -> None:
+    """Give freed memory of a Python worker back at the end of a task, as idle workers stay beside later ones."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # the C library is another
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

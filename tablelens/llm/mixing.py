@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import hash_fraction
+from tablelens.llm.common import hash_fraction, materialise, only
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 CYCLE = (1, 2, 3)
+SEED, SEEDS = "mix-1", 16
 
 
 def count_words(text: Column) -> Column:
@@ -56,29 +57,51 @@ def source_targets(sums: DataFrame, weights: tuple[int, ...] = CYCLE, most: int
     return s.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"), rate.alias("rate"))
 
 
-def copies_of(rate: Column, key: Column, seed: str) -> Column:
-    """floor(rate) and one more with the fraction as probability."""
+def copies_of(rate: Column, key: Column, seed: str, k: Column) -> Column:
+    """floor(rate) and one more with the fraction as probability, by candidate seed ``k``."""
     whole = F.floor(rate)
-    return (whole + F.when(hash_fraction(key, seed) < rate - whole, 1).otherwise(0)).cast("int")
+    return (whole + F.when(hash_fraction(key, seed, k) < rate - whole, 1).otherwise(0)).cast("int")
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = CYCLE, most: int = MOST, seed: str = "mix-1") -> DataFrame:
-    """doc_id, source, size, source_size, target, rate and copies for every document, those with no copy included."""
-    sized = docs.select(F.col("doc_id"), F.col("source"), count_words(F.col("text")).alias("size"))
+def source_rates(sized: DataFrame, weights: tuple[int, ...] = CYCLE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """source, source_size, target, rate and k of every source.
+
+    Each document's extra copy is a Bernoulli draw by hash. Sources of few or very unequal documents would stray from
+    their targets, so the draw is made with ``SEEDS`` candidate seeds, whose totals one aggregation gives, and each
+    source takes the seed that comes nearest; of equals the first.
+    """
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    targets = materialise(targets, "mix-targets")
     joined = sized.alias("d").join(targets.alias("t"), F.expr("d.source <=> t.source"))
-    return joined.select(
-        "d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.rate", copies_of(F.col("t.rate"), F.col("d.doc_id"), seed).alias("copies")
+    totals = joined.groupBy("d.source").agg(
+        F.first("t.target").alias("target"),
+        F.array(*[F.sum(F.col("d.size") * copies_of(F.col("t.rate"), F.col("d.doc_id"), seed, F.lit(k))) for k in range(SEEDS)]).alias("n"),
     )
+    off = F.transform("n", lambda n, k: F.struct(F.round(F.abs(n - F.col("target"))).alias("off"), k.alias("k")))
+    best = totals.select("source", F.array_min(off)["k"].alias("k")).alias("b")
+    return targets.alias("t").join(best, F.expr("t.source <=> b.source")).select("t.*", "b.k")
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    return only(docs, "doc_id", "source", "text").select("doc_id", "source", count_words(F.col("text")).alias("size"))
 
 
-def emit(docs: DataFrame, weights: tuple[int, ...] = CYCLE, most: int = MOST, seed: str = "mix-1") -> DataFrame:
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = CYCLE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate and copies for every document, those with no copy included."""
+    sized = materialise(sizes(docs), "mix-sizes")
+    rates = source_rates(sized, weights, most, seed)
+    joined = sized.alias("d").join(rates.alias("t"), F.expr("d.source <=> t.source"))
+    copies = copies_of(F.col("t.rate"), F.col("d.doc_id"), seed, F.col("t.k"))
+    return joined.select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.rate", copies.alias("copies"))
+
+
+def emit(docs: DataFrame, weights: tuple[int, ...] = CYCLE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each repeated as often as the mix takes it."""
     names = docs.columns
-    targets = source_targets(
-        docs.groupBy("source").agg(F.sum(count_words(F.col("text"))).alias("source_size")), weights, most
-    ).select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
-    joined = docs.join(targets, F.col("source").eqNullSafe(F.col("__mix_source")))
-    n = copies_of(F.col("__mix_rate"), F.col("doc_id"), seed)
+    rates = materialise(source_rates(materialise(sizes(docs), "mix-sizes"), weights, most, seed), "mix-rates").select(
+        F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"), F.col("k").alias("__mix_k")
+    )
+    joined = docs.join(rates, F.col("source").eqNullSafe(F.col("__mix_source")))
+    n = copies_of(F.col("__mix_rate"), F.col("doc_id"), seed, F.col("__mix_k"))
     times = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.expr("cast(array() as array<int>)"))
     return joined.select(*[F.col(f"`{c}`") for c in names], F.explode(times).alias("__mix_copy")).select(*[f"`{c}`" for c in names])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablelens.llm import bpe, hnsw, langid, mixing, ngram_join, quotation, sharding, spotsigs, url_filter, warc
 from tablelens.llm.common import table
-from tablelens.llm.oracle import ORACLES
+from tablelens.llm.oracle import oracles
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 SHARDS = 24
@@ -45,7 +45,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = dict(ORACLES)
+    found = oracles(RULES)
     if corpus_pipeline.ORACLE_SQL is not None:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
