@@ -1,7 +1,15 @@
 """tablelens: a Spark-native table profiler and training-data toolkit."""
 
-from tablelens.plans.profiler import Profiler
-from tablelens.plans.registry import Registry
-from tablelens.plans.types import ProfilingConfig, ProfilingResult, Rule
+from __future__ import annotations
 
-__all__ = ["Profiler", "ProfilingConfig", "ProfilingResult", "Registry", "Rule"]
+from importlib import import_module
+
+_HOMES = {"Profiler": "profiler", "Registry": "registry", "ProfilingConfig": "types", "ProfilingResult": "types", "Rule": "types"}
+__all__ = list(_HOMES)
+
+
+def __getattr__(name: str):
+    """The main names, loaded when they are asked for: Python workers of other parts need none of them."""
+    if name in _HOMES:
+        return getattr(import_module(f"tablelens.plans.{_HOMES[name]}"), name)
+    raise AttributeError(name)
