@@ -25,8 +25,10 @@ def identicality(a: Column, b: Column, same_type: bool = True) -> Fields:
 
 
 def correlation(a: Column, b: Column) -> Fields:
-    """Pearson's correlation over the rows where both are present."""
-    r = F.corr(a.cast("double"), b.cast("double"))
+    """Pearson's correlation over the rows where both are present; null where one of them does not vary."""
+    x, y = a.cast("double"), b.cast("double")
+    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    r = F.try_divide(F.covar_pop(x, y), spread)
     r = F.when(~F.isnan(r), r)
     s = F.abs(r)
     return {

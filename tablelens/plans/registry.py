@@ -104,8 +104,8 @@ class Registry:
         return {"total_rules": len(rules), "by_category": by(lambda r: r.category), "by_priority": by(lambda r: r.priority.value), "by_complexity": by(lambda r: r.complexity.value), "enabled": sum(r.enabled for r in rules)}
 
     def relevant(self, a: ColumnAttributes, cross_column: bool = True) -> list[Rule]:
-        """Enabled rules whose lists have the column's type and levels."""
-        return [r for r in self.rules() if r.enabled and (cross_column or not r.cross_column) and r.is_applicable(a)]
+        """Enabled column and pair rules whose lists have the column's type and levels."""
+        return [r for r in self.rules() if r.enabled and r.category != "table" and (cross_column or not r.cross_column) and r.is_applicable(a)]
 
     def relevant_at_depth(self, a: ColumnAttributes, cross_column: bool = True, depth: str | None = None) -> list[Rule]:
         wanted = set(rules_at_depth(depth or analysis_depth(a)))
