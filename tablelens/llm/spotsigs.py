@@ -170,28 +170,45 @@ def fingerprints_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "t
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and class_id (the smallest id linked to it) of every document, by SpotSigs likeness of ``threshold``.
 
-    Equal sets are one class before any comparison. Each set is looked up by its first signatures in hash order, as
-    many as any set of that likeness must share one of, next to its length partition: a signature is an entry of its
-    own partition and is probed in its own and the one below.
+    Equal sets are one class before any comparison. Two sets of that likeness share one of their first signatures in
+    the order of rarity, as many as the length bound asks for, and lie in neighbouring length partitions; classes with
+    a signature and two partitions in common are a group. Groups are settled in rounds: each compares one pivot with
+    the members that are not linked with it yet, so a round gives one pair a member, and a group of copies is settled
+    by its first pivots. A group ends when its open members are all linked.
     """
     d = only(docs, key, text).select(F.col(key).alias("doc_id"), signatures(text_or_empty(F.col(text).cast("string"))).alias("sig"))
     d = materialise(d.withColumn("cls", F.sha2(F.array_join("sig", ""), 256)), "spots")
-    reps = d.where(F.size("sig") > 0).groupBy("cls").agg(F.first("sig").alias("sig"))
-    n = F.size("sig")
-    prefix = F.slice("sig", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    entries = reps.select("cls", n.alias("n"), length_partition(n, threshold).alias("part"), F.explode(prefix).alias("s"))
-    probes = entries.select("cls", "n", "s", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"))
-    fits = (F.col("e.cls") != F.col("p.cls")) & (F.col("e.n") <= F.col("p.n")) & (F.col("e.n") >= F.col("p.n") * F.lit(threshold))
-    pairs = entries.alias("e").join(probes.alias("p"), ["part", "s"]).where(fits).select(F.col("e.cls").alias("a"), F.col("p.cls").alias("b")).distinct()
-    checked = (
-        pairs.join(reps.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(reps.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b")
-        .where(likeness(F.col("sa"), F.col("sb")) >= threshold)
-        .select("a", "b")
-    )
-    comp = components(checked)
-    named = d.join(comp, d["cls"] == comp["v"], "left").select("doc_id", F.coalesce("c", "cls").alias("c"))
+    reps = materialise(d.where(F.size("sig") > 0).groupBy("cls").agg(F.first("sig").alias("sig")), "spot-classes")
+    each = reps.select("cls", F.size("sig").alias("n"), F.explode("sig").alias("s"))
+    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Signatures of one class alone come first in the order of rarity and find no partner: they only use up the prefix.
+    shared = each.join(common, "s").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("x"))
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1 - (F.col("n") - F.size("x"))
+    entries = shared.where(first > 0).select("cls", "n", F.explode(F.slice("x", F.lit(1), first.cast("int"))["s"]).alias("s"))
+    part = length_partition(F.col("n"), threshold)
+    open_ = materialise(entries.select("cls", "n", "s", F.explode(F.array(part, part - 1)).alias("g")), "spot-open")
+    spark = docs.sparkSession
+    links = spark.createDataFrame([], "a string, b string")
+    comp = spark.createDataFrame([], "v string, c string")
+    while True:
+        named = open_.join(comp, open_["cls"] == comp["v"], "left").select("g", "s", "n", "cls", F.coalesce("c", "cls").alias("c"))
+        pivots = named.groupBy("g", "s").agg(F.min(F.struct("n", "cls", "c")).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+        open_ = materialise(named.join(pivots.select("g", "s", "p"), ["g", "s"]), "spot-open")
+        if open_.isEmpty():
+            break
+        fits = (F.col("c") != F.col("p.c")) & (F.col("p.n") >= F.col("n") * F.lit(threshold))
+        pairs = open_.where(fits).select(F.col("p.cls").alias("a"), F.col("cls").alias("b")).distinct()
+        checked = (
+            pairs.join(reps.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a")
+            .join(reps.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b")
+            .where(likeness(F.col("sa"), F.col("sb")) >= threshold)
+            .select("a", "b")
+        )
+        links = materialise(links.unionByName(checked), "spot-links")
+        comp = materialise(components(links, "spot-cc"), "spot-comp")
+        open_ = open_.where("cls <> p.cls").select("cls", "n", "s", "g")
+    named = d.join(comp, d["cls"] == comp["v"], "left").select("doc_id", "cls", F.coalesce("c", "cls").alias("c"))
     lead = named.groupBy("c").agg(F.min("doc_id").alias("class_id"))
     # A text without words is linked with nothing.
     empty = F.sha2(F.lit(""), 256)
-    return named.join(lead, "c").select("doc_id", F.when(F.col("c") == empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return named.join(lead, "c").select("doc_id", F.when(F.col("cls") == empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))

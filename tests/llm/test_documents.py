@@ -139,6 +139,14 @@ def test_near_duplicates(spark, docs, rows):
     assert got == {i: find(i) for i in prints}
 
 
+def test_near_duplicates_in_a_hot_group(spark):
+    """Many near copies that share nearly all signatures are one class after few rounds."""
+    rows = [(i, " ".join("the " + (f"edit{i}" if k == i % 40 else f"w{k}") + f" x{k}" for k in range(40)), "en", "a", 0) for i in range(80)]
+    got = spotsigs.near_duplicates(H.documents(spark, rows)).collect()
+    assert {r["class_id"] for r in got} == {0}
+    assert spotsigs.near_duplicates(H.documents(spark, [])).count() == 0
+
+
 # -- mixing ----------------------------------------------------------------------------------------------------------
 
 
