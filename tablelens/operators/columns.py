@@ -54,11 +54,19 @@ def parseability(c: Column, kind: T.DataType) -> Fields:
     }
 
 
-def numeric_stats(c: Column, kind: T.DataType) -> Fields:
+def _percentiles(c: Column, fractions: tuple[float, ...], known: dict[float, float] | None) -> Column:
+    """The quantiles as an array: those known already, or by the built-in exact percentile."""
+    if known is not None:
+        return F.array(*[F.lit(known[x]).cast("double") for x in fractions])
+    return F.percentile(c.cast("double"), F.array(*[F.lit(x) for x in fractions]))
+
+
+def numeric_stats(c: Column, kind: T.DataType, known: dict[float, float] | None = None) -> Fields:
+    """known: quantiles that were found before, here and below."""
     d = c.cast("double")
     n, lo, hi = F.count(c), F.min(d), F.max(d)
     one = lo == hi
-    q = F.percentile(d, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
+    q = _percentiles(c, (0.25, 0.5, 0.75), known)
     zero = lambda v: F.when(one & (n > 0), F.lit(0.0)).otherwise(v)
     return {
         "mean": F.avg(d), "median": q[1], "std": zero(F.stddev_samp(d)), "min": lo, "max": hi, "q25": q[0], "q75": q[2],
@@ -67,10 +75,10 @@ def numeric_stats(c: Column, kind: T.DataType) -> Fields:
     }
 
 
-def bounds(c: Column, kind: T.DataType) -> Fields:
+def bounds(c: Column, kind: T.DataType, known: dict[float, float] | None = None) -> Fields:
     """What the two-phase numeric checks need first."""
     d = F.when(F.abs(c.cast("double")) < float("inf"), c.cast("double"))
-    q = F.percentile(c.cast("double"), F.array(F.lit(0.25), F.lit(0.75)))
+    q = _percentiles(c, (0.25, 0.75), known)
     return {"n": F.count(c), "q1": q[0], "q3": q[1], "mean": F.avg(c.cast("double")), "std": F.stddev_pop(c.cast("double")), "lo": F.min(d), "hi": F.max(d), "finite": F.count(d)}
 
 
@@ -98,8 +106,8 @@ def outliers_zscore(c: Column, b: Column, threshold: float = 3.0) -> Fields:
     }
 
 
-def quantiles(c: Column, kind: T.DataType) -> Fields:
-    q = F.percentile(c.cast("double"), F.array(*[F.lit(x) for x in QUANTILES]))
+def quantiles(c: Column, kind: T.DataType, known: dict[float, float] | None = None) -> Fields:
+    q = _percentiles(c, QUANTILES, known)
     return {f"q{int(x * 100):02d}": q[i] for i, x in enumerate(QUANTILES)} | {"non_null_count": F.count(c)}
 
 

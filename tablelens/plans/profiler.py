@@ -24,6 +24,7 @@ from tablelens.operators import columns as C
 from tablelens.operators import frequency as Q
 from tablelens.operators import nested as N
 from tablelens.operators import pairs as P
+from tablelens.operators.quantiles import BUILT_IN, exact_quantiles
 from tablelens.operators.regex_inference import infer_patterns
 from tablelens.operators.sampling import sample, should_sample
 from tablelens.plans.pairs import column_pairs, rule_takes
@@ -108,6 +109,9 @@ class Profiler:
         kinds = {f.name: f.dataType for f in df.schema}
         plan = {a.name: self._rules(a) for a in attrs}
         by_name = {a.name: a for a in attrs}
+        # Columns with very many values get their quantiles by narrowing, as the built-in gathers all values in one task.
+        many = [a.name for a in attrs if a.type_category == "numeric" and a.unique_count > BUILT_IN]
+        known = exact_quantiles(df, many, sorted({*C.QUANTILES, 0.25, 0.5, 0.75}))
         needs: list[tuple[Any, dict[str, Column]]] = []
         for name, rules in plan.items():
             u = F.lit(by_name[name].unique_count)
@@ -116,12 +120,12 @@ class Profiler:
                     needs.append(((name, r.id), self._custom(r, X.col(name), kinds[name])))
                 elif r.id in C.SINGLE:
                     kind = kinds[name]
-                    args = (X.col(name), kind, u) if r.id in C.WITH_UNIQUE else (X.col(name), kind, self.config.literal_url) if r.id == "text_patterns" else (X.col(name), kind)
+                    args = (X.col(name), kind, known.get(name)) if r.id == "numeric_stats" else (X.col(name), kind, u) if r.id in C.WITH_UNIQUE else (X.col(name), kind, self.config.literal_url) if r.id == "text_patterns" else (X.col(name), kind)
                     needs.append(((name, r.id), C.SINGLE[r.id](*args)))
                 elif r.id == "numeric_histogram_quantiles":
-                    needs.append(((name, r.id), C.quantiles(X.col(name), kinds[name])))
+                    needs.append(((name, r.id), C.quantiles(X.col(name), kinds[name], known.get(name))))
             if by_name[name].type_category == "numeric":
-                needs.append(((name, "_bounds"), C.bounds(X.col(name), kinds[name])))
+                needs.append(((name, "_bounds"), C.bounds(X.col(name), kinds[name], known.get(name))))
         source = self._as_text(df, attrs)
         got = self.fused(source, needs)
         got |= self._second_phase(df, plan, got)
@@ -268,7 +272,7 @@ class Profiler:
                 break
             g = P.pair_groups(df, part).persist()
             try:
-                summary = P.pair_summary(g)
+                summary = P.pair_summary(g).persist()
                 for rule, table in grouped.items():
                     mine = [(a, b) for a, b in part if rule in ids and takes(rule, a, b)]
                     if not mine:
@@ -279,6 +283,7 @@ class Profiler:
                                 got[r["column1"], r["column2"], rule] = r.asDict()
                     except Exception as e:
                         got |= {(a, b, rule): e for a, b in mine}
+                summary.unpersist()
             finally:
                 g.unpersist()
         if self.config.enhanced_statistics:

@@ -124,3 +124,18 @@ def test_partitioning_does_not_matter(spark):
     b = C.per_column(df.coalesce(1), ["c"], C.numeric_stats).first().asDict()
     assert a == pytest.approx(b)
     assert df.repartition(5, F.col("c")).count() == 7
+
+
+def test_quantiles_by_narrowing(spark, monkeypatch):
+    """Narrowed ranks are the sorted values' own, for spread, repeated, skewed and infinite values."""
+    from tablelens.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", 50)
+    rows = [(float((i * 7919) % 9973), float(i % 7), float(2 ** (i % 40)), None if i % 3 else i / 7) for i in range(6000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    fractions = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = quantiles.exact_quantiles(df, ["a", "b", "c", "d"], fractions)
+    table = pd.DataFrame(rows, columns=["a", "b", "c", "d"])
+    for n in table:
+        assert [got[n][q] for q in fractions] == pytest.approx(table[n].dropna().quantile(fractions).tolist())
+    assert quantiles.exact_quantiles(df.where("a < 0"), ["a"], [0.5]) == {}
