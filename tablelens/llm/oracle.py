@@ -6,7 +6,7 @@ tests hold these against plain models.
 
 from __future__ import annotations
 
-from tablelens.llm import mixing, spotsigs, url_filter
+from tablelens.llm import mixing, quotation, spotsigs, url_filter
 
 UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
 
@@ -87,6 +87,33 @@ b AS (SELECT source, arg_min(k, off * 1000 + k) AS k FROM (SELECT source, k, rou
 SELECT k.doc_id, k.size, k.source_size, k.target, (k.size * k.copies)::BIGINT AS taken, k.copies::INTEGER AS copies FROM k JOIN b ON k.source IS NOT DISTINCT FROM b.source AND k.k = b.k
 """
 
+OP5 = rf"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, role, coalesce(text, '') AS t, regexp_matches(coalesce(text, ''), '(?m){quotation.QUOTE}') AS q FROM conversations),
+x AS (SELECT DISTINCT conv_id, turn, role, t, regexp_split_to_array(t, '\r\n|\r|\n') AS a FROM m WHERE q),
+l AS (SELECT conv_id, turn, role, t, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM x),
+b AS (SELECT *, length(regexp_replace(regexp_extract(x, '{quotation.PREFIX}'), '[ \t]', '', 'g')) AS level, regexp_replace(x, '{quotation.PREFIX}', '') AS body FROM l),
+n AS (SELECT *, coalesce(lead(level) OVER w, 0) AS after, level IS DISTINCT FROM lag(level) OVER w AS fresh FROM b WINDOW w AS (PARTITION BY conv_id, turn, role, t ORDER BY i)),
+r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY conv_id, turn, role, t ORDER BY i) AS run FROM n),
+o AS (SELECT conv_id, turn, role, t, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT (after > 0 AND regexp_matches(body, '{quotation.ATTRIBUTION}'))), ''), '^\s+|\s+$', '', 'g') AS content FROM r GROUP BY 1, 2, 3, 4),
+p AS (SELECT m.conv_id, m.turn, m.role, CASE WHEN m.q THEN o.content ELSE m.t END AS content FROM m LEFT JOIN o ON m.q AND m.conv_id IS NOT DISTINCT FROM o.conv_id AND m.turn IS NOT DISTINCT FROM o.turn AND m.role IS NOT DISTINCT FROM o.role AND m.t = o.t),
+u AS (SELECT DISTINCT conv_id, turn, level, md5(k) AS unit, weight FROM (
+  SELECT conv_id, turn, level, trim(regexp_replace(lower(body), '[\s ]+', ' ', 'g')) AS k, 1 AS weight FROM r WHERE level > 0
+  UNION ALL SELECT conv_id, turn, level, trim(regexp_replace(lower(string_agg(body, chr(10) ORDER BY i)), '[\s ]+', ' ', 'g')), 1000 FROM r WHERE level > 0 GROUP BY conv_id, turn, role, t, run, level HAVING count(*) > 1
+) WHERE k <> '' AND turn IS NOT NULL),
+g AS (SELECT DISTINCT conv_id, turn, md5(trim(regexp_replace(lower(k), '[\s ]+', ' ', 'g'))) AS unit FROM (
+  SELECT conv_id, turn, unnest(list_append(list_filter(regexp_split_to_array(content, '\r\n|\r|\n'), lambda x: trim(x) <> ''), content)) AS k FROM p WHERE turn IS NOT NULL AND EXISTS (SELECT 1 FROM u WHERE u.conv_id IS NOT DISTINCT FROM p.conv_id)
+) WHERE trim(k) <> ''),
+h AS (SELECT u.conv_id, u.turn, u.level, u.unit, u.weight, max(g.turn) AS source FROM u JOIN g ON u.conv_id IS NOT DISTINCT FROM g.conv_id AND u.unit = g.unit AND g.turn < u.turn GROUP BY 1, 2, 3, 4, 5),
+s AS (SELECT conv_id, turn, level, source, sum(weight) AS w FROM h GROUP BY 1, 2, 3, 4),
+k AS (SELECT conv_id, turn, arg_min(source, (level, -w, -source)) AS parent_turn, count(*) AS n_linked FROM s GROUP BY 1, 2),
+c AS (SELECT conv_id, turn, count(*) AS n_quotes FROM u GROUP BY 1, 2),
+z AS (SELECT conv_id, turn, parent_turn AS root_turn, 1 AS depth FROM k UNION ALL SELECT z.conv_id, z.turn, k.parent_turn, z.depth + 1 FROM z JOIN k ON z.conv_id IS NOT DISTINCT FROM k.conv_id AND z.root_turn = k.turn),
+d AS (SELECT conv_id, turn, min(root_turn) AS root_turn, max(depth) AS depth FROM z GROUP BY 1, 2)
+SELECT p.conv_id, coalesce(d.root_turn, p.turn)::BIGINT AS root_turn, p.turn::BIGINT AS turn, k.parent_turn::BIGINT AS parent_turn, coalesce(d.depth, 0)::INTEGER AS depth, p.role, p.content,
+coalesce(c.n_quotes, 0)::BIGINT AS n_quotes, coalesce(k.n_linked, 0)::BIGINT AS n_linked
+FROM p LEFT JOIN c ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.turn = c.turn LEFT JOIN k ON p.conv_id IS NOT DISTINCT FROM k.conv_id AND p.turn = k.turn LEFT JOIN d ON p.conv_id IS NOT DISTINCT FROM d.conv_id AND p.turn = d.turn
+"""
+
 OP6 = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS digest FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
@@ -105,4 +132,4 @@ SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(c.b) AS compon
 
 
 def oracles(rules: list[tuple[str, str]]) -> dict[str, str]:
-    return {"op2_fingerprints": OP2, "op3_url_filter": op3(rules), "op4_mixing": OP4, "op6_warc": OP6, "op10_ngram_join": OP10}
+    return {"op2_fingerprints": OP2, "op3_url_filter": op3(rules), "op4_mixing": OP4, "op5_chat_format": OP5, "op6_warc": OP6, "op10_ngram_join": OP10}

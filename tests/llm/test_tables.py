@@ -2,13 +2,16 @@
 
 import hashlib
 import random
+from collections import Counter
 from urllib.parse import quote
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tablelens.llm import hnsw, quotation, url_filter, warc
+from tablelens.llm.oracle import OP5
 from tablelens.llm.queries import RULES
 
 # -- URL filters -----------------------------------------------------------------------------------------------------
@@ -60,6 +63,13 @@ def test_templates_carry_labels(spark):
     assert got["http://other.com/bad0/21/x"]["verdict"] == "allow"
 
 
+def by_sql(spark, df, sql):
+    """Rows of an oracle over ``df`` as the conversations."""
+    con = duckdb.connect()
+    con.register("conversations", df.select("conv_id", "turn", "role", "text").toArrow())
+    return con.sql(sql).fetchall()
+
+
 # -- quotation linking -----------------------------------------------------------------------------------------------
 
 
@@ -98,6 +108,7 @@ def test_quotes(spark):
     order = [r["turn"] for r in sorted((r for r in got if r["conv_id"] == 1), key=lambda r: (r["root_turn"], r["turn"]))]
     assert order == [0, 4, 1, 2, 3, 5, 6]
     assert quotation.render(quotation.format_chat(df)).count() == len(rows)
+    assert Counter(map(tuple, got)) == Counter(by_sql(spark, df, OP5))
     assert quotation.format_chat(df.limit(0)).count() == 0
 
 
