@@ -10,7 +10,9 @@ A chunk that fails is run check by check, so one bad rule gives one error result
 from __future__ import annotations
 
 import math
+import threading
 import time
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -96,13 +98,36 @@ class Profiler:
 
     def _run(self, df: DataFrame, part: list[tuple[Any, dict[str, Column]]]) -> dict[Any, dict | Exception]:
         try:
-            row = df.agg(*[F.struct(*[v.alias(k) for k, v in fields.items()]).alias(f"f{i}") for i, (_, fields) in enumerate(part)]).first()
+            row = self._timed(df, lambda: df.agg(*[F.struct(*[v.alias(k) for k, v in fields.items()]).alias(f"f{i}") for i, (_, fields) in enumerate(part)]).first())
             return {key: row[f"f{i}"].asDict(recursive=True) for i, (key, _) in enumerate(part)}
+        except TimeoutError as e:
+            return {key: e for key, _ in part}
         except Exception as e:
             if len(part) == 1:
                 return {part[0][0]: e}
             return {k: v for one in part for k, v in self._run(df, [one]).items()}
 
+    def _timed(self, df: DataFrame, f: Callable[[], Any]) -> Any:
+        """Run ``f``; its Spark jobs are cancelled after ``timeout_seconds``. Jobs are told apart by a tag."""
+        context, tag, late = df.sparkSession.sparkContext, f"tablelens-{uuid.uuid4().hex}", threading.Event()
+
+        def stop() -> None:
+            late.set()
+            context.cancelJobsWithTag(tag)
+
+        timer = threading.Timer(self.config.timeout_seconds, stop)
+        context.addJobTag(tag)
+        timer.start()
+        try:
+            return f()
+        except Exception as e:
+            if late.is_set():
+                raise TimeoutError(f"stopped after {self.config.timeout_seconds} s") from e
+            raise
+        finally:
+            timer.cancel()
+            context.removeJobTag(tag)
+
     # -- columns -----------------------------------------------------------------------------------------------------
 
     def column_results(self, df: DataFrame, attrs: list[ColumnAttributes], freq: DataFrame) -> list[RuleResult]:
@@ -134,7 +159,7 @@ class Profiler:
             for r in rules:
                 key = (name, r.id)
                 if r.id in _NESTED or r.id == "array_element_type_analysis":
-                    got[key] = self._guard(lambda name=name, r=r: self._nested(df, name, r.id))
+                    got[key] = self._guard(df, lambda name=name, r=r: self._nested(df, name, r.id))
                 elif r.id == "text_patterns" and isinstance(got.get(key), dict):
                     got[key]["inferred_patterns"] = [] if got[key]["skip_regex_inference"] else [vars(p) for p in infer_patterns(df, name)]
         out = []
@@ -163,10 +188,9 @@ class Profiler:
         except Exception as e:
             return {"error": F.raise_error(F.lit(str(e)))}
 
-    @staticmethod
-    def _guard(f: Callable[[], dict]) -> dict | Exception:
+    def _guard(self, df: DataFrame, f: Callable[[], dict]) -> dict | Exception:
         try:
-            return f()
+            return self._timed(df, f)
         except Exception as e:
             return e
 
@@ -291,7 +315,7 @@ class Profiler:
                 for rule, f in (("functional_dependency", P.functional_dependency_tested), ("categorical_association_cramers_v", P.cramers_v_tested)):
                     if (a, b, rule) in got:
                         go = P.should_proceed(df, a, b, rule)
-                        got[a, b, rule] = self._guard(lambda f=f, a=a, b=b: f(df, a, b)) if go["should_proceed"] else {"status": "skipped", "message": go["reason"]}
+                        got[a, b, rule] = self._guard(df, lambda f=f, a=a, b=b: f(df, a, b)) if go["should_proceed"] else {"status": "skipped", "message": go["reason"]}
         out = []
         for a, b in pairs:
             for r in rules:
@@ -307,7 +331,7 @@ class Profiler:
         out = [self._result(rule, d | {"status": "passed"}, ())]
         for r in self.registry.user.values():
             if r.category == "table" and r.function is not None:
-                out.append(self._result(r, self._guard(lambda r=r: r.function(df)), ()))
+                out.append(self._result(r, self._guard(df, lambda r=r: r.function(df)), ()))
         return out
 
     # -- the run -----------------------------------------------------------------------------------------------------

@@ -150,3 +150,19 @@ def relevant_categories(a: ColumnAttributes) -> list[str]:
     """Rule categories that fit a column's type and levels."""
     registry = {r.category for r in builtin_rules() if r.is_applicable(a) and not r.cross_column}
     return sorted(registry)
+
+
+def dry_run(rule: Rule, spark) -> str | None:
+    """Try a custom rule's function on three rows; the error, or None if it works."""
+    if rule.function is None:
+        return "the rule has no function"
+    df = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "a long, b long")
+    try:
+        if rule.category == "table":
+            made = rule.function(df)
+            return None if isinstance(made, dict) and made else "the function must return a dict"
+        made = rule.function(df["a"], df["b"]) if rule.cross_column else rule.function(df["a"], df.schema["a"].dataType)
+        df.agg(*[v.alias(k) for k, v in made.items()]).first()
+    except Exception as e:
+        return f"{type(e).__name__}: {str(e)[:300]}"
+    return None

@@ -19,6 +19,7 @@ from tablelens.operators import frequency as Q
 from tablelens.operators import keys as K
 from tablelens.operators import nested as N
 from tablelens.operators import pairs as P
+from tablelens.operators import two_stage as S
 from tablelens.operators.regex_inference import infer_patterns
 from tablelens.operators.sampling import sample
 from tablelens.plans.insights import insights
@@ -298,6 +299,21 @@ def q_regex_inference(spark, sf_dir):
     return spark.createDataFrame(rows, "column string, pattern string, description string, match_count long, match_ratio double, confidence double")
 
 
+@query("""SELECT s AS signature, count(*)::BIGINT AS count, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS ratio
+FROM (SELECT regexp_replace(regexp_replace(p_brand, '[A-Za-z]', 'L', 'g'), '[0-9]', 'D', 'g') AS s FROM part) GROUP BY 1""")
+def q_format_signatures(spark, sf_dir):
+    return S.format_signatures(load(spark, sf_dir, "part"), "p_brand")
+
+
+@query()
+def q_two_stage(spark, sf_dir):
+    line, part = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "part")
+    formats = S.discover_formats(part, "p_brand")
+    a = part.agg(*[v.alias(k) for k, v in S.apply_formats(F.col("p_brand"), formats).items()]).select(F.lit("p_brand").alias("column"), F.col("match_ratio").alias("ratio"), "status")
+    b = line.agg(*[v.alias(k) for k, v in S.apply_thresholds(F.col("l_extendedprice"), S.discover_thresholds(line, "l_extendedprice")).items()])
+    return a.unionByName(b.select(F.lit("l_extendedprice").alias("column"), F.col("outlier_ratio").alias("ratio"), "status"))
+
+
 # -- arrays, dictionaries, dates, storage ----------------------------------------------------------------------------
 
 
