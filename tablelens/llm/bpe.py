@@ -25,12 +25,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import only
+from tablelens.llm.common import only, release
 
 #: White space as the normaliser of the file takes it (the Unicode property).
 SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 CACHE_WORDS = 400_000
-NEVER = np.int64(1) << 40
+NEVER = (1 << 31) - 1
+#: Words of up to so many symbols are merged by scanning their pairs.
+SHORT = 40
+_NO_MERGE = (1 << 60, -1)
 
 
 def byte_alphabet() -> list[str]:
@@ -56,7 +59,10 @@ class Bpe:
         self.split = regex.compile(split.replace(r"[^\s", f"[^{SPACE}"))
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.alphabet = byte_alphabet()
-        self.most = max(len(t) for t in self.vocab)
+        # The longest token by its first two characters bounds the search for a match.
+        self.most: dict[str, int] = {}
+        for t in self.vocab:
+            self.most[t[:2]] = max(self.most.get(t[:2], 1), len(t))
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         n = max(self.tokens) + 1
         made = np.full(n, -1, np.int64)
@@ -73,17 +79,17 @@ class Bpe:
         self.right, self.right_until = self._spine(made, parts, 1)
         self.left, self.left_until = self._spine(made, parts, 0)
         self.sound: dict[int, bool] = {}
-        self.cache: dict[str, list[int]] = {}
+        self.cache: dict[str, tuple[int, ...]] = {}
 
     @staticmethod
     def _spine(made: np.ndarray, parts: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
         """The pieces that lie at one end of each token while it is made, and the rank of the merge that ends each."""
-        piece, until = [np.arange(len(made))], [np.full(len(made), NEVER)]
+        piece, until = [np.arange(len(made))], [np.full(len(made), NEVER, np.int64)]
         while True:
             last = piece[-1]
             nxt = np.where(last >= 0, parts[last, side], -1)
             if (nxt < 0).all():
-                return np.stack(piece, 1), np.stack(until, 1)
+                return np.stack(piece, 1).astype(np.int32), np.stack(until, 1).astype(np.int32)
             until.append(np.where(nxt >= 0, made[last], -1))
             piece.append(nxt)
 
@@ -100,7 +106,7 @@ class Bpe:
                 at = np.flatnonzero(ok & (x >= 0) & (y >= 0))
                 if not len(at):
                     continue
-                key = (x[at] << 32) | y[at]
+                key = (x[at].astype(np.int64) << 32) | y[at]
                 found = np.searchsorted(self.pair_keys, key)
                 found[found == len(self.pair_keys)] = 0
                 hit = self.pair_keys[found] == key
@@ -114,7 +120,26 @@ class Bpe:
         return s
 
     def merge(self, ids: list[int]) -> list[int]:
-        """Exact merging: the lowest rank first, the leftmost of equals, with a heap over a linked list."""
+        """Exact merging: the lowest rank first, the leftmost of equals."""
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
+        ids, get = list(ids), self.rank.get
+        found = [get(pair, _NO_MERGE) for pair in pairwise(ids)]
+        while found:
+            best = min(found)
+            if best is _NO_MERGE:
+                break
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = get((ids[i - 1], ids[i]), _NO_MERGE)
+            if i + 1 < len(ids):
+                found[i] = get((ids[i], ids[i + 1]), _NO_MERGE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap over a linked list, for words of any length."""
         n = len(ids)
         ids, nxt, prev, live = list(ids), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(r[0], i, a, b) for i, (a, b) in enumerate(pairwise(ids)) if (r := self.rank.get((a, b)))]
@@ -150,13 +175,15 @@ class Bpe:
     def speculate(self, word: str) -> list[int] | None:
         """Greedy longest match; None if it gets stuck."""
         text = "".join(self.alphabet[b] for b in word.encode("utf-8", "surrogatepass"))
-        n, at, out, vocab = len(text), 0, [], self.vocab
+        n, at, out, vocab, most = len(text), 0, [], self.vocab, self.most
         while at < n:
-            if n - at <= self.most and (whole := vocab.get(text[at:] + self.suffix)) is not None:
-                out.append(whole)
-                return out
-            # The last character belongs to a token with the suffix, which was tried above.
-            for end in range(min(n - 1, at + self.most), at, -1):
+            longest = most.get(text[at : at + 2], 1)
+            # The last character belongs to a token with the suffix.
+            if n - at == 1 or n - at <= longest:
+                if (whole := vocab.get(text[at:] + self.suffix)) is not None:
+                    out.append(whole)
+                    return out
+            for end in range(min(n - 1, at + longest), at, -1):
                 if (t := vocab.get(text[at:end])) is not None:
                     out.append(t)
                     at = end
@@ -165,7 +192,7 @@ class Bpe:
                 return None
         return out
 
-    def learn(self, words: Iterable[str]) -> dict[str, list[int]]:
+    def learn(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of new words: all pairs of the speculated splits are verified at once, failing words merged exactly."""
         words = list(words)
         guesses = [self.speculate(w) for w in words]
@@ -178,7 +205,7 @@ class Bpe:
             pairs, back = np.unique((flat[inner] << 32) | flat[inner + 1], return_inverse=True)
             ok = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]
             good[owner[inner[~ok]]] = False
-        return {w: g if ok else self.exact(w) for w, g, ok in zip(words, guesses, good, strict=True)}
+        return {w: tuple(g if ok else self.exact(w)) for w, g, ok in zip(words, guesses, good, strict=True)}
 
     def pieces(self, text: str) -> list[tuple[str, list[str]]]:
         """(special token or '', words after it): special tokens are found in the raw text, before normalising."""
@@ -230,12 +257,13 @@ def _bpe(source: str) -> Bpe:
 
 
 #: Characters of text encoded at once.
-CHUNK = 2_000_000
+CHUNK = 250_000
 
 
-def _runs(texts: list[str]) -> Iterable[list[str]]:
+def _runs(texts: pa.Array) -> Iterable[list[str]]:
+    """Texts in runs of about ``CHUNK`` characters, taken from the batch as they are needed."""
     part, size = [], 0
-    for t in texts:
+    for t in map(pa.StringScalar.as_py, texts):
         if part and size + len(t) > CHUNK:
             yield part
             part, size = [], 0
@@ -255,31 +283,43 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", carry: tupl
     def run(batches):
         bpe = _bpe(shared.value)
         for b in batches:
-            found = [ids for part in _runs(b.column(len(carry)).to_pylist()) for ids in bpe.encode_batch(part)]
+            found = [ids for part in _runs(b.column(len(carry))) for ids in bpe.encode_batch(part)]
             cols = [b.column(i) for i in range(len(carry))]
             cols += [pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*carry, "ids", "n_tokens"])
+        bpe.cache.clear()
+        release()
 
     return d.mapInArrow(run, f"{fields}, ids binary, n_tokens long")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, carry: tuple[str, ...] = ("doc_id",), keep_ids: bool = False) -> DataFrame:
-    """Encode, decode, and digest both: carried columns, n_tokens, ids_sha256, decoded_sha256 (and ids if asked for)."""
+    """Encode, decode the ids, and digest both: carried columns, n_tokens, ids_sha256, decoded_sha256 (and ids if asked for).
+
+    Both happen in one pass, so that a task has one Python worker and ids don't travel between two.
+    """
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    encoded = encode(docs, tokenizer_path, carry=carry)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema[: len(carry)])
+    d = only(docs, *carry, "text").select(*[f"`{c}`" for c in carry], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema[: len(carry)])
     n = len(carry)
 
     def run(batches):
         bpe = _bpe(shared.value)
         for b in batches:
-            raw = b.column(n).to_pylist()
-            cols = [b.column(i) for i in range(n)] + [b.column(n + 1)]
-            cols.append(pa.array([hashlib.sha256(x).hexdigest() for x in raw]))
-            cols.append(pa.array([hashlib.sha256(bpe.decode(np.frombuffer(x, "<u4")).encode()).hexdigest() for x in raw]))
-            if keep_ids:
-                cols.append(b.column(n))
+            counts, coded, decoded, kept = [], [], [], []
+            for part in _runs(b.column(n)):
+                for ids in bpe.encode_batch(part):
+                    raw = ids.tobytes()
+                    counts.append(len(ids))
+                    coded.append(hashlib.sha256(raw).hexdigest())
+                    decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                    if keep_ids:
+                        kept.append(raw)
+            cols = [*(b.column(i) for i in range(n)), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+            cols += [pa.array(kept, pa.binary())] * keep_ids
             yield pa.RecordBatch.from_arrays(cols, names=[*carry, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
+        bpe.cache.clear()
+        release()
 
-    return encoded.mapInArrow(run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+    return d.mapInArrow(run, f"{fields}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
