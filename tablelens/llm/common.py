@@ -66,3 +66,15 @@ def release() -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def remove_work_tables(spark: SparkSession, older_than_hours: float = 24.0) -> int:
+    """Delete written intermediate tables that are older; how many went. Lazy results read them, so use them first."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    limit = jvm.java.lang.System.currentTimeMillis() - older_than_hours * 3_600_000
+    old = [s.getPath() for s in fs.listStatus(path) if s.getModificationTime() < limit]
+    return sum(bool(fs.delete(p, True)) for p in old)
