@@ -24,11 +24,20 @@ def _totals(freq: DataFrame) -> DataFrame:
     return freq.groupBy("column").agg(F.sum("count").alias("total"), F.sum(F.when(present, F.col("count")).otherwise(0)).alias("non_null"))
 
 
-def top_values(freq: DataFrame, k: int = TOP) -> DataFrame:
+def _with_totals(rows: DataFrame, freq: DataFrame, known: dict[str, tuple[int, int]] | None) -> DataFrame:
+    """Rows with total and non_null of their column, from ``known`` if these are known, else from one row a column."""
+    if not known:
+        return rows.join(F.broadcast(_totals(freq)), "column")
+    pairs = [x for k, (t, n) in known.items() for x in (F.lit(k), F.struct(F.lit(t).cast("long").alias("total"), F.lit(n).cast("long").alias("non_null")))]
+    at = F.element_at(F.create_map(*pairs), F.col("column"))
+    return rows.select("*", at["total"].alias("total"), at["non_null"].alias("non_null"))
+
+
+def top_values(freq: DataFrame, k: int = TOP, known: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """column, rank, value, count, ratio of the ``k`` most frequent non-null values; ties in order of the value."""
     order = Window.partitionBy("column").orderBy(F.desc("count"), "value")
     ranked = freq.where("value is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.join(F.broadcast(_totals(freq)), "column").select("column", "rank", "value", "count", X.ratio(F.col("count"), F.col("non_null")).alias("ratio"))
+    return _with_totals(ranked, freq, known).select("column", "rank", "value", "count", X.ratio(F.col("count"), F.col("non_null")).alias("ratio"))
 
 
 def top_k(freq: DataFrame, k: int = TOP) -> DataFrame:
@@ -41,9 +50,11 @@ def top_k(freq: DataFrame, k: int = TOP) -> DataFrame:
     return j.select("column", "values", other.alias("other_count"), X.ratio(other, F.col("non_null")).alias("other_ratio"), F.col("non_null").alias("non_null_count"), F.when(F.col("non_null") == 0, "warning").otherwise("passed").alias("status"))
 
 
-def most_common(freq: DataFrame) -> DataFrame:
+def most_common(freq: DataFrame, counts: bool = False) -> DataFrame:
     """The mode of each column, nulls counted as a value, and beside a null mode the best other value.
 
+    With ``counts`` also total, non_null and unique.
+
     A constant column gives its value with the count of non-null rows. Ties go to the smallest value, null last.
     """
     key = F.struct((-F.col("count")).alias("c"), F.col("value").isNull().alias("z"), F.col("value").alias("v"))
@@ -63,12 +74,13 @@ def most_common(freq: DataFrame) -> DataFrame:
         F.when(~constant & F.col("m.z"), F.col("s.v")).alias("most_common_non_null"),
         F.when(~constant & F.col("m.z"), X.ratio(-F.col("s.c"), F.col("n"))).alias("non_null_frequency_ratio"),
         F.when(none, "warning").otherwise("passed").alias("status"),
+        *([F.col("total"), F.col("n").alias("non_null"), F.col("u").alias("unique")] if counts else []),
     )
 
 
-def entropy(freq: DataFrame) -> DataFrame:
+def entropy(freq: DataFrame, known: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """repeated_value_share, entropy and normalised entropy of the non-null values of each column."""
-    some = freq.where("value is not null").join(F.broadcast(_totals(freq)), "column")
+    some = _with_totals(freq.where("value is not null"), freq, known)
     p = F.col("count") / F.col("non_null")
     a = some.groupBy("column").agg(
         (F.sum(F.when(F.col("count") > 1, F.col("count")).otherwise(0)) / F.max("non_null")).alias("repeated_value_share"),

@@ -14,9 +14,11 @@ import threading
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +38,8 @@ from tablelens.plans.types import ColumnAttributes, ProfilingConfig, ProfilingRe
 
 #: Columns in one aggregation of types and levels, and pairs in one grouping.
 COLUMN_CHUNK, PAIR_CHUNK = 64, 32
+#: Independent jobs that are submitted together.
+JOBS_AT_ONCE = 4
 
 _NESTED: dict[str, Callable[[DataFrame, str], DataFrame]] = {
     "array_length_analysis": N.array_lengths,
@@ -60,41 +64,45 @@ class Profiler:
 
     # -- jobs --------------------------------------------------------------------------------------------------------
 
-    def attributes(self, df: DataFrame, freq: DataFrame | None = None) -> list[ColumnAttributes]:
+    def attributes(self, df: DataFrame, modes: dict[str, dict]) -> list[ColumnAttributes]:
+        """modes: rows of ``frequency.most_common`` with counts, by column."""
         kinds = {f.name: f.dataType for f in df.schema}
-        own = freq is None
-        freq = Q.frequencies(df, df.columns).persist() if own else freq
-        try:
-            common = {r["column"]: r for r in Q.most_common(freq).collect()}
-            unique = {r["column"]: r["u"] for r in freq.groupBy("column").agg(F.count("value").alias("u")).collect()}
+
+        def part(names: list[str]) -> list[ColumnAttributes]:
             out = []
-            for names in chunks(df.columns, COLUMN_CHUNK):
-                made = [F.struct(*[v.alias(k) for k, v in A.attribute_fields(X.col(n), kinds[n], F.lit(unique.get(n, 0))).items()]).alias(f"c{i}") for i, n in enumerate(names)]
-                row = df.agg(*made).first()
-                for i, n in enumerate(names):
-                    r, m = row[f"c{i}"], common.get(n)
-                    out.append(ColumnAttributes(
-                        n, r["type_category"], r["diversity"], r["nullability"], r["unique_count"], r["total_count"], r["null_count"], r["is_likely_index"],
-                        r["fractional"], m and m["most_common_value"], m["frequency"] if m else 0, kinds[n].simpleString(),
-                    ))
+            unique = {n: modes[n]["unique"] if n in modes else 0 for n in names}
+            made = [F.struct(*[v.alias(k) for k, v in A.attribute_fields(X.col(n), kinds[n], F.lit(unique[n])).items()]).alias(f"c{i}") for i, n in enumerate(names)]
+            row = df.agg(*made).first()
+            for i, n in enumerate(names):
+                r, m = row[f"c{i}"], modes.get(n)
+                out.append(ColumnAttributes(
+                    n, r["type_category"], r["diversity"], r["nullability"], r["unique_count"], r["total_count"], r["null_count"], r["is_likely_index"],
+                    r["fractional"], m and m["most_common_value"], m["frequency"] if m else 0, kinds[n].simpleString(),
+                ))
             return out
-        finally:
-            if own:
-                freq.unpersist()
+
+        return [a for part_ in self._together(df.sparkSession, [lambda names=names: part(names) for names in chunks(df.columns, COLUMN_CHUNK)]) for a in part_]
+
+    def _together(self, spark: SparkSession, tasks: list[Callable[[], Any]]) -> list[Any]:
+        """Results of independent tasks, whose Spark jobs share the cluster; job groups are inherited."""
+        if len(tasks) < 2:
+            return [t() for t in tasks]
+        inherit = inheritable_thread_target(spark)
+        with ThreadPoolExecutor(min(JOBS_AT_ONCE, len(tasks))) as pool:
+            return [f.result() for f in [pool.submit(inherit(t)) for t in tasks]]
 
     def fused(self, df: DataFrame, wanted: list[tuple[Any, dict[str, Column]]]) -> dict[Any, dict | Exception]:
         """Values of many sets of aggregates, in chunks; a failing chunk is run set by set."""
-        out: dict[Any, dict | Exception] = {}
-        part: list[tuple[Any, dict[str, Column]]] = []
-        width = 0
-        for item in [*wanted, None]:
-            if part and (item is None or width + len(item[1]) > C.CHUNK):
-                out |= self._run(df, part)
-                part, width = [], 0
-            if item is not None:
-                part.append(item)
-                width += len(item[1])
-        return out
+        parts: list[list[tuple[Any, dict[str, Column]]]] = []
+        width = C.CHUNK
+        for item in wanted:
+            if width + len(item[1]) > C.CHUNK:
+                parts.append([])
+                width = 0
+            parts[-1].append(item)
+            width += len(item[1])
+        found = self._together(df.sparkSession, [lambda p=p: self._run(df, p) for p in parts])
+        return {k: v for one in found for k, v in one.items()}
 
     def _run(self, df: DataFrame, part: list[tuple[Any, dict[str, Column]]]) -> dict[Any, dict | Exception]:
         try:
@@ -130,7 +138,7 @@ class Profiler:
 
     # -- columns -----------------------------------------------------------------------------------------------------
 
-    def column_results(self, df: DataFrame, attrs: list[ColumnAttributes], freq: DataFrame) -> list[RuleResult]:
+    def column_results(self, df: DataFrame, attrs: list[ColumnAttributes], freq: DataFrame, modes: dict[str, dict]) -> list[RuleResult]:
         kinds = {f.name: f.dataType for f in df.schema}
         plan = {a.name: self._rules(a) for a in attrs}
         by_name = {a.name: a for a in attrs}
@@ -152,16 +160,23 @@ class Profiler:
             if by_name[name].type_category == "numeric":
                 needs.append(((name, "_bounds"), C.bounds(X.col(name), kinds[name], known.get(name))))
         source = self._as_text(df, attrs)
-        got = self.fused(source, needs)
-        got |= self._second_phase(df, plan, got)
-        got |= self._from_frequencies(plan, freq)
-        for name, rules in plan.items():
-            for r in rules:
-                key = (name, r.id)
-                if r.id in _NESTED or r.id == "array_element_type_analysis":
-                    got[key] = self._guard(df, lambda name=name, r=r: self._nested(df, name, r.id))
-                elif r.id == "text_patterns" and isinstance(got.get(key), dict):
-                    got[key]["inferred_patterns"] = [] if got[key]["skip_regex_inference"] else [vars(p) for p in infer_patterns(df, name)]
+        nested = [(n, r.id) for n, rules in plan.items() for r in rules if r.id in _NESTED or r.id == "array_element_type_analysis"]
+
+        def phases() -> dict:
+            first = self.fused(source, needs)
+            return first | self._second_phase(df, plan, first)
+
+        def one(key: tuple[str, str]) -> dict:
+            return {key: self._guard(df, lambda: self._nested(df, *key))}
+
+        tasks = [phases, lambda: self._from_frequencies(plan, freq, modes), *(lambda key=key: one(key) for key in nested)]
+        got = {k: v for found in self._together(df.sparkSession, tasks) for k, v in found.items()}
+        patterned = [k for k, v in got.items() if k[1] == "text_patterns" and isinstance(v, dict)]
+        open_ = [k for k in patterned if not got[k]["skip_regex_inference"]]
+        inferred = dict(zip(open_, self._together(df.sparkSession, [lambda k=k: self._guard(df, lambda: {"p": infer_patterns(df, k[0])}) for k in open_]), strict=True))
+        for k in patterned:
+            found = inferred.get(k, {"p": []})
+            got[k] = found if isinstance(found, Exception) else got[k] | {"inferred_patterns": [vars(p) for p in found["p"]]}
         out = []
         for name, rules in plan.items():
             for r in rules:
@@ -253,19 +268,35 @@ class Profiler:
                 out.setdefault((name, "modality_estimation"), _peaks([]))
         return out
 
-    def _from_frequencies(self, plan: dict[str, list[Rule]], freq: DataFrame) -> dict:
-        out: dict = {}
-        tables = {"most_common_value": Q.most_common, "top_k_frequencies": Q.top_k, "stability_entropy": Q.entropy}
-        for rule, table in tables.items():
+    def _from_frequencies(self, plan: dict[str, list[Rule]], freq: DataFrame, modes: dict[str, dict]) -> dict:
+        known = {n: (m["total"], m["non_null"]) for n, m in modes.items()}
+        own = ("column", "total", "non_null", "unique")
+        empty = {"status": "warning", "message": "No data"}
+        tables = {
+            "most_common_value": lambda: modes,
+            "top_k_frequencies": lambda: self._top(Q.top_values(freq, known=known), known),
+            "stability_entropy": lambda: {r["column"]: r.asDict() for r in Q.entropy(freq, known).collect()},
+        }
+
+        def one(rule: str) -> dict:
             names = [n for n, rules in plan.items() if rule in {r.id for r in rules}]
-            if not names:
-                continue
-            try:
-                rows = {r["column"]: r.asDict(recursive=True) for r in table(freq).collect()}
-                empty = {"status": "warning", "message": "No data"}
-                out |= {(n, rule): {k: v for k, v in rows.get(n, empty).items() if k != "column"} for n in names}
-            except Exception as e:
-                out |= {(n, rule): e for n in names}
+            rows = self._guard(freq, tables[rule]) if names else {}
+            if isinstance(rows, Exception):
+                return {(n, rule): rows for n in names}
+            return {(n, rule): {k: v for k, v in rows.get(n, empty).items() if k not in own} for n in names}
+
+        return {k: v for found in self._together(freq.sparkSession, [lambda r=r: one(r) for r in tables]) for k, v in found.items()}
+
+    @staticmethod
+    def _top(values: DataFrame, known: dict[str, tuple[int, int]]) -> dict[str, dict]:
+        """The ranked values by column, at most ten rows each, with what is beyond them."""
+        out: dict[str, dict] = {}
+        for r in sorted(values.collect(), key=lambda r: (r["column"], r["rank"])):
+            out.setdefault(r["column"], {"values": []})["values"].append({k: r[k] for k in ("rank", "value", "count", "ratio")})
+        for name, d in out.items():
+            n = known[name][1]
+            other = n - sum(v["count"] for v in d["values"])
+            d |= {"other_count": other, "other_ratio": other / n if n else 0.0, "non_null_count": n, "status": "passed"}
         return out
 
     # -- pairs and the table -----------------------------------------------------------------------------------------
@@ -291,25 +322,27 @@ class Profiler:
             needs += [((a, b, r.id), self._custom(r, X.col(a), X.col(b))) for r in rules if r.function is not None]
         got |= self.fused(df, needs)
         grouped = {"functional_dependency": P.dependencies, "composite_uniqueness": P.composites, "categorical_association_cramers_v": P.associations}
-        for part in chunks(left, PAIR_CHUNK):
-            if not ids & set(grouped):
-                break
+
+        def grouping(part: list[tuple[str, str]]) -> dict:
+            found: dict = {}
             g = P.pair_groups(df, part).persist()
+            summary = P.pair_summary(g).persist()
             try:
-                summary = P.pair_summary(g).persist()
                 for rule, table in grouped.items():
-                    mine = [(a, b) for a, b in part if rule in ids and takes(rule, a, b)]
-                    if not mine:
-                        continue
-                    try:
-                        for r in table(g if table is P.associations else summary, part).collect():
-                            if (r["column1"], r["column2"]) in mine:
-                                got[r["column1"], r["column2"], rule] = r.asDict()
-                    except Exception as e:
-                        got |= {(a, b, rule): e for a, b in mine}
-                summary.unpersist()
+                    mine = {(a, b) for a, b in part if rule in ids and takes(rule, a, b)}
+                    rows = self._guard(df, lambda table=table: {"r": table(g if table is P.associations else summary, part).collect()}) if mine else {"r": []}
+                    if isinstance(rows, Exception):
+                        found |= {(a, b, rule): rows for a, b in mine}
+                    else:
+                        found |= {(r["column1"], r["column2"], rule): r.asDict() for r in rows["r"] if (r["column1"], r["column2"]) in mine}
             finally:
+                summary.unpersist()
                 g.unpersist()
+            return found
+
+        if ids & set(grouped):
+            for found in self._together(df.sparkSession, [lambda part=part: grouping(part) for part in chunks(left, PAIR_CHUNK)]):
+                got |= found
         if self.config.enhanced_statistics:
             for a, b in left:
                 for rule, f in (("functional_dependency", P.functional_dependency_tested), ("categorical_association_cramers_v", P.cramers_v_tested)):
@@ -346,29 +379,33 @@ class Profiler:
     def profile(self, df: DataFrame, filename: str | None = None) -> ProfilingResult:
         began = time.time()
         self.log.set_stage("initialization")
-        names = [c for c in df.columns]
+        names = list(df.columns)
         df = X.normalise(df)
-        total = df.count()
-        sampled = self.config.sampling_threshold is not None and should_sample(total, self.config.sampling_threshold)
+        limit = self.config.sampling_threshold
+        total = df.count() if limit is not None or not names else None
+        sampled = limit is not None and should_sample(total, limit)
         if sampled:
-            df = sample(df, self.config.sample_size, self.config.random_seed)
+            # A bounded number of rows, read by every job.
+            df = sample(df, self.config.sample_size, self.config.random_seed).persist()
         freq = Q.frequencies(df, names).persist() if names else None
         try:
             self.log.set_stage("analysis")
-            attrs = self.attributes(df, freq) if names else []
-            self.log.set_stage("column_checks")
-            results = self.column_results(df, attrs, freq) if names else []
+            modes = {r["column"]: r.asDict() for r in Q.most_common(freq, counts=True).collect()} if names else {}
+            attrs = self.attributes(df, modes) if names else []
+            if total is None:
+                total = attrs[0].total_count
+            pairs = self.config.enable_cross_column and self.config.deepness_level != "basic" and len(names) > 1
+            self.log.set_stage("checks")
+            columns, crossed, whole = self._together(df.sparkSession, [
+                lambda: self.column_results(df, attrs, freq, modes) if names else [],
+                lambda: self.pair_results(df, attrs) if pairs else [],
+                lambda: self.table_results(df),
+            ])
         finally:
-            if freq is not None:
-                freq.unpersist()
-        crossed: list[RuleResult] = []
-        if self.config.enable_cross_column and self.config.deepness_level != "basic" and len(names) > 1:
-            self.log.set_stage("cross_column_analysis")
-            crossed = self.pair_results(df, attrs)
-        self.log.set_stage("table_checks")
-        whole = self.table_results(df)
+            for kept in ([freq] if freq is not None else []) + ([df] if sampled else []):
+                kept.unpersist()
         self.log.set_stage("compilation")
-        return compile_report(attrs, results, crossed, whole, total, sampled, filename, time.time() - began, self.config)
+        return compile_report(attrs, columns, crossed, whole, total, sampled, filename, time.time() - began, self.config)
 
 
 def _never() -> dict[str, Column]:
