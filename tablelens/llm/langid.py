@@ -15,7 +15,7 @@ empty result, repeated rows are predicted one by one, other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable
 from functools import cache
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import hash_fraction, only
+from tablelens.llm.common import hash_fraction, only, release
 
 #: Labelled documents to learn from, for each language.
 SAMPLE = 3000
@@ -34,7 +34,7 @@ MOST_LANGUAGES = 3
 #: Trigrams overlap, so a letter's evidence counts a third.
 OVERLAP = 3.0
 #: Characters of text worked on at once; a longer text is worked on alone.
-CHUNK = 1_000_000
+CHUNK = 250_000
 UNKNOWN = "und"
 
 
@@ -68,17 +68,18 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (keys >> 16).astype(np.int64), (keys & 0xFFFF).astype(np.int64), counts.astype(np.float64)
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+def chunks(column: pa.Array) -> Iterable[tuple[int, list[str]]]:
     """Runs of texts of about ``CHUNK`` characters, each with the place of its first; nulls are empty."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > start and size + n > CHUNK:
-            yield start, [x or "" for x in texts[start:i]]
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, [x or "" for x in texts[start:]]
+    start, size, part = 0, 0, []
+    for i in range(len(column)):
+        t = column[i].as_py() or ""
+        if part and size + len(t) > CHUNK:
+            yield start, part
+            start, size, part = i, 0, []
+        part.append(t)
+        size += len(t)
+    if part:
+        yield start, part
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
@@ -98,12 +99,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     def count(batches):
         for b in batches:
             names = b.column(0).to_pylist()
-            for start, texts in chunks(b.column(1).to_pylist()):
+            for start, texts in chunks(b.column(1)):
                 doc, cell, n = trigrams(texts)
                 ix = np.array([langs.index(x) for x in names[start : start + len(texts)]])[doc]
                 keys, inv = np.unique(ix * CELLS + cell, return_inverse=True)
                 sums = np.bincount(inv, weights=n, minlength=len(keys))
                 yield pa.record_batch({"k": pa.array(keys, pa.int64()), "n": pa.array(sums, pa.float64())})
+        release()
 
     # One row per language and cell at most.
     sums = picked.mapInArrow(count, "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
@@ -170,9 +172,8 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         langs, logp = shared.value["langs"], shared.value["logp"]
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
             names, scores, maps = [], [], []
-            for _, part in chunks(texts):
+            for _, part in chunks(b.column(1)):
                 for row in infer(part, logp):
                     k = int(row.argmax()) if len(row) else 0
                     known = len(row) > 0 and row[k] > 0
@@ -180,9 +181,10 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                     scores.append(min(1.0, float(row[k])) if known else 0.0)
                     maps.append([(langs[i], float(row[i])) for i in np.flatnonzero(row)])
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(maps, pa.map_(pa.string(), pa.float64()))],
+                [b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(maps, pa.map_(pa.string(), pa.float64()))],
                 names=["doc_id", "lang_pred", "score", "languages"],
             )
+        release()
 
     return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kind)
 
@@ -204,8 +206,8 @@ def keep_identified(docs: DataFrame, least: float = 0.34, sample: int = SAMPLE)
     def run(batches):
         logp = shared.value["logp"]
         for b in batches:
-            texts = b.column(at).to_pylist()
-            share = np.concatenate([infer(part, logp).max(1, initial=0.0) for _, part in chunks(texts)] or [np.zeros(0)])
+            share = np.concatenate([infer(part, logp).max(1, initial=0.0) for _, part in chunks(b.column(at))] or [np.zeros(0)])
             yield b.filter(pa.array(share >= least))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

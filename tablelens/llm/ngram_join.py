@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import materialise, only
+from tablelens.llm.common import materialise, only, release
 from tablelens.llm.graph import components
 
 WIDTH = 5
@@ -39,7 +39,7 @@ NUM, DEN = 75, 100
 ROWS, KEYS = 4, 64
 BLOCK_SHINGLES = 2_000_000
 LEAF = 32
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,7 +111,7 @@ def sets_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     def run(batches):
         for b in batches:
             n, cls, keys = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in map(pa.StringScalar.as_py, b.column(1)):
                 s = shingles(t)
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
@@ -119,6 +119,8 @@ def sets_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "keys"]
             )
+        _WORDS.clear()
+        release()
 
     d = only(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return d.mapInArrow(run, "doc_id long, n long, cls string, keys array<long>")
