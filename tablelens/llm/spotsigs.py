@@ -109,16 +109,12 @@ def in_runs(docs: DataFrame, runs: int) -> DataFrame:
     placed = docs.withColumn("run", run).withColumns({"late": F.lit(0), "guest": F.lit(False)})
     if not firsts:
         return placed
+    # Guest rows: the first row of each range, sent to the range before it. One row a range is broadcast.
     homes = [r["run"] for r in firsts]
-    # Guest rows: the first row of each range, sent to the range before it.
-    guest_to = None
-    for i, r in enumerate(firsts):
-        hit = F.col("doc_id").eqNullSafe(F.lit(r["first"]["doc_id"])) & (F.col("h") == r["first"]["h"])
-        value = F.struct(F.lit(homes[i - 1]).alias("run"), F.lit(int(i == 0)).alias("late"))
-        guest_to = F.when(hit, value) if guest_to is None else guest_to.when(hit, value)
-    wanted = F.col("doc_id").isin([r["first"]["doc_id"] for r in firsts if r["first"]["doc_id"] is not None]) | F.col("doc_id").isNull()
-    guests = docs.where(wanted).withColumn("g", guest_to).where("g is not null").dropDuplicates(["doc_id", "h"])
-    guests = guests.select(*docs.columns, F.col("g.run").alias("run"), F.col("g.late").alias("late"), F.lit(True).alias("guest"))
+    rows = [(r["first"]["doc_id"], r["first"]["h"], homes[i - 1], int(i == 0)) for i, r in enumerate(firsts)]
+    sent = docs.sparkSession.createDataFrame(rows, f"id {ids.schema['doc_id'].dataType.simpleString()}, hash long, run int, late int")
+    here = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash"))
+    guests = docs.join(F.broadcast(sent), here).dropDuplicates(["doc_id", "h"]).select(*docs.columns, "run", "late", F.lit(True).alias("guest"))
     return placed.unionByName(guests)
 
 

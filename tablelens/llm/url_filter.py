@@ -13,7 +13,7 @@ are judged one by one, other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.llm.common import materialise, only
@@ -91,11 +91,12 @@ def templates(paths: DataFrame) -> DataFrame:
     )
     wild = F.col("segment").startswith("<")
     stats = stats.select("host", "parent", "segment", "goes_on", state.alias("state"), wild.alias("wild"))
-    branch = Window.partitionBy("host", "parent", "wild", "goes_on", "state")
-    siblings = Window.partitionBy("host", "parent", "wild")
-    stats = stats.select(
-        "*", F.count(F.lit(1)).over(branch).alias("alike"), F.count(F.lit(1)).over(siblings).alias("names")
-    )
+    stats = materialise(stats, "url-branches")
+    # Counts by groups, joined back: a parent with very many children is no single task's.
+    branch, siblings = ["host", "parent", "wild", "goes_on", "state"], ["host", "parent", "wild"]
+    alike = materialise(stats.groupBy(*branch).agg(F.count(F.lit(1)).alias("alike")), "url-alike")
+    names = materialise(stats.groupBy(*siblings).agg(F.count(F.lit(1)).alias("names")), "url-names")
+    stats = stats.join(alike, branch).join(names, siblings)
     merged = (
         F.when(F.col("wild"), F.col("segment"))
         .when(F.col("alike") >= 2, F.concat(F.lit("*"), F.col("state")))
