@@ -85,7 +85,10 @@ def is_json(c: Column, kind: T.DataType) -> Column:
         return F.lit(False)
     alone = F.try_parse_json(c)
     boxed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    return F.coalesce(alone.isNotNull() & (F.expr("1") == F.size(F.try_variant_get(boxed, "$", "array<variant>"))), F.lit(False))
+    # Failing parses are costly, so only text that begins like a JSON value is parsed.
+    begins = c.rlike(r'^[ \t\r\n]*([\[{"]|-?[0-9]|true|false|null)')
+    one = alone.isNotNull() & (F.size(F.try_variant_get(boxed, "$", "array<variant>")) == 1)
+    return F.coalesce(F.when(begins, one), F.lit(False))
 
 
 def json_kind(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablelens.functions import exprs as X
 
@@ -89,3 +90,14 @@ def entropy(freq: DataFrame, known: dict[str, tuple[int, int]] | None = None) ->
     )
     normal: Column = F.when(F.col("u") > 1, F.col("entropy") / F.log2("u")).otherwise(0.0)
     return a.select("column", "repeated_value_share", "entropy", normal.alias("normalized_entropy"), F.col("u").alias("unique_count"))
+
+
+def quantiles(freq: DataFrame, kinds: dict[str, T.DataType], fractions: tuple[float, ...]) -> dict[str, dict[float, float]]:
+    """Exact, linearly interpolated quantiles of numeric columns from their distinct values and counts."""
+    if not kinds:
+        return {}
+    single = [n for n, k in kinds.items() if isinstance(k, T.FloatType)]
+    v = F.when(F.col("column").isin(single), F.col("value").cast("float").cast("double")).otherwise(F.col("value").cast("double"))
+    rows = freq.where(F.col("column").isin(list(kinds)) & F.col("value").isNotNull())
+    q = F.percentile(v, F.array(*[F.lit(x) for x in fractions]), F.col("count"))
+    return {r["column"]: dict(zip(fractions, r["q"], strict=True)) for r in rows.groupBy("column").agg(q.alias("q")).collect()}

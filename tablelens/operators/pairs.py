@@ -80,6 +80,16 @@ def pair_summary(g: DataFrame) -> DataFrame:
     return whole.join(_side(g, "a", "b", "forward"), "p").join(_side(g, "b", "a", "reverse"), "p")
 
 
+def pair_totals(g: DataFrame, pairs: list[tuple[str, str]], known: dict[str, tuple[int, int]]) -> DataFrame:
+    """As ``pair_summary`` without groups and violations; known: distinct and present values of each column."""
+    whole = g.groupBy("p").agg(F.sum("n").alias("total"), X.rows().alias("distinct_rows"))
+    at = F.col("p") + 1
+    pick = lambda side, what: F.element_at(F.array(*[F.lit(known[x[side]][what]).cast("long") for x in pairs]), at)
+    return whole.withColumns({
+        "forward_unique": pick(0, 0), "forward_present": pick(0, 1), "reverse_unique": pick(1, 0), "reverse_present": pick(1, 1)
+    })
+
+
 def _named(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     labels = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
     at = F.element_at(labels, F.col("p") + 1)
@@ -120,11 +130,13 @@ def chi_squares(g: DataFrame) -> DataFrame:
 
     chi2 = n (sum of o^2 / (row total * column total) - 1) needs the observed cells only.
     """
-    ra, cb = g.groupBy("p", "a").agg(F.sum("n").alias("r")), g.groupBy("p", "b").agg(F.sum("n").alias("c"))
-    cells = g.alias("g").join(ra.alias("ra"), F.expr("g.p = ra.p and g.a <=> ra.a")).join(cb.alias("cb"), F.expr("g.p = cb.p and g.b <=> cb.b"))
+    cb = g.groupBy("p", "b").agg(F.sum("n").alias("c"))
     o = F.col("n").cast("double")
-    s = cells.groupBy("g.p").agg(F.sum("n").alias("sample_size"), F.sum(o * o / (F.col("r").cast("double") * F.col("c"))).alias("s"))
-    s = s.join(ra.groupBy("p").agg(X.rows().alias("n_rows")), "p").join(cb.groupBy("p").agg(X.rows().alias("n_cols")), "p")
+    cells = g.alias("g").join(cb.alias("cb"), F.expr("g.p = cb.p and g.b <=> cb.b")).select("g.p", "g.a", "n", (o * o / F.col("c")).alias("t"))
+    # The sum over one row of the crosstab is divided by the row's total, which comes from the same group.
+    rows = cells.groupBy("p", "a").agg(F.sum("n").alias("r"), F.sum("t").alias("t"))
+    s = rows.groupBy("p").agg(F.sum("r").alias("sample_size"), F.sum(F.col("t") / F.col("r")).alias("s"), X.rows().alias("n_rows"))
+    s = s.join(cb.groupBy("p").agg(X.rows().alias("n_cols")), "p")
     return s.select("p", "sample_size", F.greatest(F.lit(0.0), F.col("sample_size") * (F.col("s") - 1)).alias("chi2"), "n_rows", "n_cols")
 
 

@@ -142,9 +142,12 @@ class Profiler:
         kinds = {f.name: f.dataType for f in df.schema}
         plan = {a.name: self._rules(a) for a in attrs}
         by_name = {a.name: a for a in attrs}
-        # Columns with very many values get their quantiles by narrowing, as the built-in gathers all values in one task.
-        many = [a.name for a in attrs if a.type_category == "numeric" and a.unique_count > BUILT_IN]
-        known = exact_quantiles(df, many, sorted({*C.QUANTILES, 0.25, 0.5, 0.75}))
+        # Quantiles come from the kept frequencies; columns with very many values get theirs by narrowing, as the
+        # built-in percentile gathers a column's distinct values in one task.
+        numeric = [a for a in attrs if a.type_category == "numeric" and a.unique_count]
+        many = [a.name for a in numeric if a.unique_count > BUILT_IN]
+        few = {a.name: kinds[a.name] for a in numeric if a.unique_count <= BUILT_IN}
+        known = {k: v for found in self._together(df.sparkSession, [lambda: exact_quantiles(df, many, list(C.QUANTILES)), lambda: Q.quantiles(freq, few, C.QUANTILES)]) for k, v in found.items()}
         needs: list[tuple[Any, dict[str, Column]]] = []
         for name, rules in plan.items():
             u = F.lit(by_name[name].unique_count)
@@ -321,22 +324,29 @@ class Profiler:
             needs += [((a, b, r), P.AGGREGATED[r](X.col(a), X.col(b))) for r in ("correlation", "missingness_relationships") if r in ids and takes(r, a, b)]
             needs += [((a, b, r.id), self._custom(r, X.col(a), X.col(b))) for r in rules if r.function is not None]
         got |= self.fused(df, needs)
-        grouped = {"functional_dependency": P.dependencies, "composite_uniqueness": P.composites, "categorical_association_cramers_v": P.associations}
+        grouped = ("functional_dependency", "composite_uniqueness", "categorical_association_cramers_v")
+
+        known = {a.name: (a.unique_count, a.total_count - a.null_count) for a in attrs}
 
         def grouping(part: list[tuple[str, str]]) -> dict:
             found: dict = {}
             g = P.pair_groups(df, part).persist()
-            summary = P.pair_summary(g).persist()
+            # Dependencies look at repetitive columns only, whose groups are few; the others need one pass each.
+            some = [i for i, x in enumerate(part) if takes("functional_dependency", *x)]
+            tables = {
+                "functional_dependency": lambda: P.dependencies(P.pair_summary(g.where(F.col("p").isin(some))), part),
+                "composite_uniqueness": lambda: P.composites(P.pair_totals(g, part, known), part),
+                "categorical_association_cramers_v": lambda: P.associations(g, part),
+            }
             try:
-                for rule, table in grouped.items():
+                for rule, table in tables.items():
                     mine = {(a, b) for a, b in part if rule in ids and takes(rule, a, b)}
-                    rows = self._guard(df, lambda table=table: {"r": table(g if table is P.associations else summary, part).collect()}) if mine else {"r": []}
+                    rows = self._guard(df, lambda table=table: {"r": table().collect()}) if mine else {"r": []}
                     if isinstance(rows, Exception):
                         found |= {(a, b, rule): rows for a, b in mine}
                     else:
                         found |= {(r["column1"], r["column2"], rule): r.asDict() for r in rows["r"] if (r["column1"], r["column2"]) in mine}
             finally:
-                summary.unpersist()
                 g.unpersist()
             return found
 
