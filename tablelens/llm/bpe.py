@@ -283,10 +283,13 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", carry: tupl
     def run(batches):
         bpe = _bpe(shared.value)
         for b in batches:
-            found = [ids for part in _runs(b.column(len(carry))) for ids in bpe.encode_batch(part)]
-            cols = [b.column(i) for i in range(len(carry))]
-            cols += [pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*carry, "ids", "n_tokens"])
+            at = 0
+            for part in _runs(b.column(len(carry))):
+                found = bpe.encode_batch(part)
+                cols = [b.column(i).slice(at, len(part)) for i in range(len(carry))]
+                cols += [pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int64())]
+                at += len(part)
+                yield pa.RecordBatch.from_arrays(cols, names=[*carry, "ids", "n_tokens"])
         bpe.cache.clear()
         release()
 
@@ -307,18 +310,17 @@ def round_trip(docs: DataFrame, tokenizer_path: str, carry: tuple[str, ...] = ("
     def run(batches):
         bpe = _bpe(shared.value)
         for b in batches:
-            counts, coded, decoded, kept = [], [], [], []
+            at = 0
+            # A batch goes out for each run of texts, so that ids of many rows are never held at once.
             for part in _runs(b.column(n)):
-                for ids in bpe.encode_batch(part):
-                    raw = ids.tobytes()
-                    counts.append(len(ids))
-                    coded.append(hashlib.sha256(raw).hexdigest())
-                    decoded.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-                    if keep_ids:
-                        kept.append(raw)
-            cols = [*(b.column(i) for i in range(n)), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
-            cols += [pa.array(kept, pa.binary())] * keep_ids
-            yield pa.RecordBatch.from_arrays(cols, names=[*carry, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
+                found = bpe.encode_batch(part)
+                raw = [ids.tobytes() for ids in found]
+                decoded = [hashlib.sha256(bpe.decode(ids).encode()).hexdigest() for ids in found]
+                cols = [b.column(i).slice(at, len(part)) for i in range(n)]
+                cols += [pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), pa.array(decoded, pa.string())]
+                cols += [pa.array(raw, pa.binary())] * keep_ids
+                at += len(part)
+                yield pa.RecordBatch.from_arrays(cols, names=[*carry, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids])
         bpe.cache.clear()
         release()
 

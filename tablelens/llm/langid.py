@@ -206,8 +206,9 @@ def keep_identified(docs: DataFrame, least: float = 0.34, sample: int = SAMPLE)
     def run(batches):
         logp = shared.value["logp"]
         for b in batches:
-            share = np.concatenate([infer(part, logp).max(1, initial=0.0) for _, part in chunks(b.column(at))] or [np.zeros(0)])
-            yield b.filter(pa.array(share >= least))
+            for start, part in chunks(b.column(at)):
+                keep = infer(part, logp).max(1, initial=0.0) >= least
+                yield b.slice(start, len(part)).filter(pa.array(keep))
         release()
 
     return docs.mapInArrow(run, docs.schema)
