@@ -561,6 +561,12 @@ def q_profile_lineitem(spark, sf_dir):
     return _profile(spark, sf_dir, "lineitem")
 
 
+@query()
+def q_profile_sampled(spark, sf_dir):
+    config = ProfilingConfig(sampling_threshold=100000, sample_size=10000)
+    return results_frame(spark, Profiler(config).profile(load(spark, sf_dir, "lineitem"), "lineitem"))
+
+
 @query()
 def q_profile_events(spark, sf_dir):
     return _profile(spark, sf_dir, "events")
