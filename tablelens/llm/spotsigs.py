@@ -112,7 +112,9 @@ def in_runs(docs: DataFrame, runs: int) -> DataFrame:
     # Guest rows: the first row of each range, sent to the range before it. One row a range is broadcast.
     homes = [r["run"] for r in firsts]
     rows = [(r["first"]["doc_id"], r["first"]["h"], homes[i - 1], int(i == 0)) for i, r in enumerate(firsts)]
-    sent = docs.sparkSession.createDataFrame(rows, f"id {ids.schema['doc_id'].dataType.simpleString()}, hash long, run int, late int")
+    kind = ids.schema["doc_id"].dataType
+    cells = [F.struct(F.lit(a).cast(kind).alias("id"), F.lit(h).cast("long").alias("hash"), F.lit(r).alias("run"), F.lit(late).alias("late")) for a, h, r, late in rows]
+    sent = docs.sparkSession.range(1).select(F.inline(F.array(*cells)))
     here = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash"))
     guests = docs.join(F.broadcast(sent), here).dropDuplicates(["doc_id", "h"]).select(*docs.columns, "run", "late", F.lit(True).alias("guest"))
     return placed.unionByName(guests)
@@ -184,8 +186,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", th
     part = length_partition(F.col("n"), threshold)
     open_ = materialise(entries.select("cls", "n", "s", F.explode(F.array(part, part - 1)).alias("g")), "spot-open")
     spark = docs.sparkSession
-    links = spark.createDataFrame([], "a string, b string")
-    comp = spark.createDataFrame([], "v string, c string")
+    none = F.lit(None).cast("string")
+    links = spark.range(0).select(none.alias("a"), none.alias("b"))
+    comp = spark.range(0).select(none.alias("v"), none.alias("c"))
     while True:
         named = open_.join(comp, open_["cls"] == comp["v"], "left").select("g", "s", "n", "cls", F.coalesce("c", "cls").alias("c"))
         pivots = named.groupBy("g", "s").agg(F.min(F.struct("n", "cls", "c")).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
