@@ -205,20 +205,21 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 def links(docs: DataFrame, sets: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Edges (a, b) between classes: a spanning forest of all links between different sets."""
-    reps = sets.where("n > 0").groupBy("cls").agg(F.min(F.struct("doc_id", "n")).alias("m"), F.first("keys").alias("keys"))
+    reps = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     keyed = reps.select("cls", F.explode("keys").alias("k"))
     # One smallest class stands for each key; every other class of the key is joined to it.
     heads = keyed.groupBy("k").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     stars = keyed.join(heads.select("k", "head"), "k").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
     blocks = materialise(components(stars.distinct(), "blocks"), "blocks")
-    sized = blocks.alias("b").join(reps.select("cls", F.col("m.n").alias("n"), F.col("m.doc_id").alias("doc_id")).alias("r"), F.expr("b.v = r.cls"))
-    totals = blocks.join(reps.select(F.col("cls").alias("v"), F.col("m.n").alias("n")), "v").groupBy("c").agg(F.sum("n").alias("total"))
-    parts = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
-    placed = sized.select("b.v", "b.c", "r.n").join(totals.select("c", parts.alias("parts")), "c")
-    part = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
-    placed = materialise(placed.select("v", "c", "parts", part.alias("part")), "placed")
-    # A text of each class; its document is any with the class's digest, so the text is looked up by the set's row.
-    chosen = sets.join(placed.select(F.col("v").alias("cls")), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    totals = blocks.join(reps.select(F.col("cls").alias("v"), "n"), "v").groupBy("c").agg(F.sum("n").alias("total"))
+    # Only blocks of several parts are joined back, so that no common block gathers its rows anywhere.
+    large = totals.where(F.col("total") > BLOCK_SHINGLES).select("c", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    large = materialise(large, "large-blocks")
+    parts = F.coalesce("parts", F.lit(1))
+    placed = blocks.join(large, "c", "left")
+    placed = materialise(placed.select("v", "c", parts.alias("parts"), F.pmod(F.xxhash64("v"), parts).cast("int").alias("part")), "placed")
+    # A text of each class: that of the smallest id, looked up by id. Copies are summed up before any join.
+    chosen = reps.select("cls", "doc_id").join(placed.select(F.col("v").alias("cls")), "cls", "left_semi")
     texts = only(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     c, t = chosen.alias("c"), texts.alias("t")
     bodies = t.join(c, F.expr("t.doc_id <=> c.doc_id")).select("c.cls", "t.text")
@@ -247,8 +248,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).alias("k")
     named = classes.join(comp, F.expr("k.cls = c.v"), "left").select("k.cls", "k.least", F.coalesce("c.c", "k.cls").alias("comp"))
     named = materialise(named, "named")
-    lead = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    final = named.join(lead, "comp").select("cls", "component_id").alias("f")
+    lead = materialise(named.groupBy("comp").agg(F.min("least").alias("component_id")), "leads")
+    # Written, so that the last join can split a class that most rows share.
+    final = materialise(named.join(lead, "comp").select("cls", "component_id"), "classes").alias("f")
     s = sets.select("doc_id", "n", "cls").alias("s")
     out = s.join(final, F.expr("s.cls = f.cls and s.n > 0"), "left")
     return out.select("s.doc_id", F.col("s.n").alias("n_shingles"), F.when(F.col("s.n") > 0, F.col("f.component_id")).otherwise(F.col("s.doc_id")).alias("component_id"))
