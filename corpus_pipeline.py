@@ -19,7 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links connect, the document with the smallest id stays."""
+    """Of each group that links connect, one row of the smallest id stays, of null ids alone one of those."""
     return ngram_join.keep_one(docs)
 
 

@@ -27,7 +27,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.llm.common import materialise, only, release
@@ -105,8 +105,9 @@ def block_keys(s: np.ndarray, rows: int = ROWS, keys: int = KEYS) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def sets_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n (set size), cls (digest of the set) and keys of every document."""
+def sets_of(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, n (set size), cls (digest of the set) and keys of every document; by option the digest of its text."""
+    more = ["digest"] if digest else []
 
     def run(batches):
         for b in batches:
@@ -117,13 +118,15 @@ def sets_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 cls.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
                 keys.append(block_keys(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "cls", "keys"]
+                [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.string()), pa.array(keys, pa.list_(pa.int64())), *b.columns[2:]], names=["doc_id", "n", "cls", "keys", *more]
             )
         _WORDS.clear()
         release()
 
     d = only(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, n long, cls string, keys array<long>")
+    if digest:
+        d = d.withColumn("digest", F.md5("text"))
+    return d.mapInArrow(run, ", ".join(["doc_id long, n long, cls string, keys array<long>", *(f"{x} string" for x in more)]))
 
 
 class Tree:
@@ -240,14 +243,19 @@ def links(docs: DataFrame, sets: DataFrame, key: str = "doc_id", text: str = "te
     return tasks.groupBy("c", "ij").applyInArrow(run, "a string, b string")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest id that links reach, of every document."""
-    sets = materialise(sets_of(docs, key, text), "sets")
+def _named(docs: DataFrame, sets: DataFrame, row: Column, key: str, text: str) -> DataFrame:
+    """cls, least (the smallest ``row`` of the class) and comp (the key of its component) of every class but the empty set."""
     edges = materialise(links(docs, sets, key, text), "links")
     comp = components(edges, "linked").alias("c")
-    classes = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).alias("k")
+    classes = sets.where("n > 0").groupBy("cls").agg(F.min(row).alias("least")).alias("k")
     named = classes.join(comp, F.expr("k.cls = c.v"), "left").select("k.cls", "k.least", F.coalesce("c.c", "k.cls").alias("comp"))
-    named = materialise(named, "named")
+    return materialise(named, "named")
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest id that links reach, of every document."""
+    sets = materialise(sets_of(docs, key, text), "sets")
+    named = _named(docs, sets, F.col("doc_id"), key, text)
     lead = materialise(named.groupBy("comp").agg(F.min("least").alias("component_id")), "leads")
     # Written, so that the last join can split a class that most rows share.
     final = materialise(named.join(lead, "comp").select("cls", "component_id"), "classes").alias("f")
@@ -257,9 +265,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: of rows with the component's smallest id one stays; unlinked documents all stay."""
-    found = join(docs)
-    kept = found.where("component_id <=> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    # Rows that repeat an id are in one group only if their texts are linked; equal rows are.
-    return rows.dropDuplicates(["doc_id", "text"])
+    """One row of each component: that of the smallest id, null last, and of the smallest digest of its text.
+
+    Rows are chosen by their component, so null ids and ids that repeat in several groups count as any other. Rows that
+    have the empty set are linked with nothing and all stay; of rows equal in id and text one stays.
+    """
+    sets = materialise(sets_of(docs, digest=True), "sets")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    least = _named(docs, sets, row, "doc_id", "text").groupBy("comp").agg(F.min("least").alias("r"))
+    kept = least.select(F.col("r.doc_id").alias("__kept_id"), F.col("r.digest").alias("__kept_digest"))
+    text = docs["text"].cast("string")
+    # The white space at which shingles() cuts; a text of nothing else has the empty set.
+    some = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(some).withColumn("__digest", F.md5(text))
+    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["__kept_id"]) & (rows["__digest"] == kept["__kept_digest"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__digest"]).drop("__digest").unionByName(docs.where(~some))

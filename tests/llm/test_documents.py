@@ -316,6 +316,27 @@ def test_ngram_join_of_awkward_tables(spark):
     assert got == sorted([(None, 4, 7), (7, 4, 7), (7, 4, 7), (7, 4, 7), (9, 4, 7), (None, 0, None)], key=repr)
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    """One row of each group by brute force, whatever the ids: null, repeated, shared by groups that no link connects."""
+    long = [[f"{g}{i}" for i in range(60)] for g in "abcdefg"]
+    near = lambda g, *tail: " ".join([*long[g], *tail])
+    rows = [
+        (None, near(0)), (None, near(0, "x")), (None, near(0, "x", "y")), (None, near(0)),  # near copies of null ids alone
+        (3, near(1)), (None, near(1, "x")), (None, near(1).upper()),  # null ids linked to a document
+        (1, near(2)), (5, near(2, "x")), (5, near(3)), (6, near(3, "x")), (4, near(3, "y")),  # 5 is in two groups and the least of none
+        (7, near(4)), (7, near(4).upper()), (7, near(4, "x")), (7, near(4)), (7, near(5)),  # one id, several texts of two groups
+        (None, near(6)), (None, "one"), (None, ""), (None, None), (None, " \t\n\x0b\x0c\r"), (8, ""), (8, None), (9, "\u00a0"),
+    ]
+    comp = H.components({i: H.shingle_set(t) for i, (_, t) in enumerate(rows)})
+    groups = {}
+    for i, (key, text) in enumerate(rows):
+        groups.setdefault(comp[i], []).append((key is None, key, hashlib.md5((text or "").encode()).hexdigest(), text))
+    want = Counter((key, text) for found in groups.values() for _, key, _, text in [min(found, key=lambda r: r[:3] if r[1] is not None else (True, 0, r[2]))])
+    got = ngram_join.keep_one(H.documents(spark, [(key, text, "en", "a", 0) for key, text in rows])).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == want
+    assert ngram_join.keep_one(H.documents(spark, [])).count() == 0
+
+
 def test_forest_against_all_pairs():
     rng = np.random.default_rng(4)
     sets = []
