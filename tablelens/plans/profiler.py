@@ -4,7 +4,8 @@ Jobs of a full profile: value frequencies of all columns (one shuffle, kept); on
 for all single-aggregate checks of all columns, with the bounds that two-phase checks need; one for those; one for all
 histograms; a few for nested and patterned text columns; and for pairs one aggregation for equality, one for
 correlation and missingness, and one grouping of values for the rest. Aggregations are cut into chunks of bounded width.
-A chunk that fails is run check by check, so one bad rule gives one error result.
+A chunk that fails, or is stopped at the time limit if one is set, is run check by check, so one bad rule gives one
+error result.
 """
 
 from __future__ import annotations
@@ -108,15 +109,15 @@ class Profiler:
         try:
             row = self._timed(df, lambda: df.agg(*[F.struct(*[v.alias(k) for k, v in fields.items()]).alias(f"f{i}") for i, (_, fields) in enumerate(part)]).first())
             return {key: row[f"f{i}"].asDict(recursive=True) for i, (key, _) in enumerate(part)}
-        except TimeoutError as e:
-            return {key: e for key, _ in part}
         except Exception as e:
             if len(part) == 1:
                 return {part[0][0]: e}
             return {k: v for one in part for k, v in self._run(df, [one]).items()}
 
     def _timed(self, df: DataFrame, f: Callable[[], Any]) -> Any:
-        """Run ``f``; its Spark jobs are cancelled after ``timeout_seconds``. Jobs are told apart by a tag."""
+        """Run ``f``; its Spark jobs are cancelled after ``timeout_seconds``, if any. Jobs are told apart by a tag."""
+        if self.config.timeout_seconds is None:
+            return f()
         context, tag, late = df.sparkSession.sparkContext, f"tablelens-{uuid.uuid4().hex}", threading.Event()
 
         def stop() -> None:
@@ -235,6 +236,10 @@ class Profiler:
         for name, rules in plan.items():
             b = got.get((name, "_bounds"))
             ids = {r.id for r in rules}
+            if isinstance(b, Exception):
+                # Without bounds none of these has a result.
+                rules_of_bounds = ("outlier_detection", "outlier_detection_zscore", "numeric_histogram_quantiles", "modality_estimation")
+                out |= {(name, r): b for r in rules_of_bounds if r in ids}
             if not isinstance(b, dict):
                 continue
             lit = F.struct(*[F.lit(b[k]).cast("double").alias(k) for k in fields])
@@ -276,17 +281,20 @@ class Profiler:
         own = ("column", "total", "non_null", "unique")
         empty = {"status": "warning", "message": "No data"}
         tables = {
-            "most_common_value": lambda: modes,
-            "top_k_frequencies": lambda: self._top(Q.top_values(freq, known=known), known),
-            "stability_entropy": lambda: {r["column"]: r.asDict() for r in Q.entropy(freq, known).collect()},
+            "most_common_value": lambda f: modes,
+            "top_k_frequencies": lambda f: self._top(Q.top_values(f, known=known), known),
+            "stability_entropy": lambda f: {r["column"]: r.asDict() for r in Q.entropy(f, known).collect()},
         }
 
         def one(rule: str) -> dict:
             names = [n for n, rules in plan.items() if rule in {r.id for r in rules}]
-            rows = self._guard(freq, tables[rule]) if names else {}
-            if isinstance(rows, Exception):
-                return {(n, rule): rows for n in names}
-            return {(n, rule): {k: v for k, v in rows.get(n, empty).items() if k not in own} for n in names}
+            rows = self._guard(freq, lambda: tables[rule](freq)) if names else {}
+            if isinstance(rows, Exception) and len(names) > 1:
+                # Column by column, so that only those that fail alone are errors.
+                alone = {n: self._guard(freq, lambda n=n: tables[rule](freq.where(F.col("column") == n))) for n in names}
+            else:
+                alone = dict.fromkeys(names, rows)
+            return {(n, rule): r if isinstance(r, Exception) else {k: v for k, v in r.get(n, empty).items() if k not in own} for n, r in alone.items()}
 
         return {k: v for found in self._together(freq.sparkSession, [lambda r=r: one(r) for r in tables]) for k, v in found.items()}
 
@@ -328,8 +336,9 @@ class Profiler:
 
         known = {a.name: (a.unique_count, a.total_count - a.null_count) for a in attrs}
 
-        def grouping(part: list[tuple[str, str]]) -> dict:
+        def grouping(part: list[tuple[str, str]], only: tuple[str, ...] = grouped) -> dict:
             found: dict = {}
+            failed: list[tuple[str, tuple[str, str]]] = []
             g = P.pair_groups(df, part).persist()
             # Dependencies look at repetitive columns only, whose groups are few; the others need one pass each.
             some = [i for i, x in enumerate(part) if takes("functional_dependency", *x)]
@@ -340,14 +349,19 @@ class Profiler:
             }
             try:
                 for rule, table in tables.items():
-                    mine = {(a, b) for a, b in part if rule in ids and takes(rule, a, b)}
+                    mine = {(a, b) for a, b in part if rule in ids and rule in only and takes(rule, a, b)}
                     rows = self._guard(df, lambda table=table: {"r": table().collect()}) if mine else {"r": []}
-                    if isinstance(rows, Exception):
+                    if isinstance(rows, Exception) and len(part) > 1:
+                        failed += [(rule, x) for x in part if x in mine]
+                    elif isinstance(rows, Exception):
                         found |= {(a, b, rule): rows for a, b in mine}
                     else:
                         found |= {(r["column1"], r["column2"], rule): r.asDict() for r in rows["r"] if (r["column1"], r["column2"]) in mine}
             finally:
                 g.unpersist()
+            # Pair by pair, so that only those that fail alone are errors.
+            for rule, x in failed:
+                found |= grouping([x], (rule,))
             return found
 
         if ids & set(grouped):

@@ -105,14 +105,17 @@ class RuleResult:
 
 @dataclass
 class ProfilingConfig:
-    """Settings of a run. ``sample_size`` rows are taken of tables above ``sampling_threshold``; None takes all rows."""
+    """Settings of a run. ``sample_size`` rows are taken of tables above ``sampling_threshold``; None takes all rows.
+
+    ``timeout_seconds`` is for one try of one fused aggregation, grouping or nested check; None, the default, is no limit.
+    """
 
     enable_cross_column: bool = True
     deepness_level: str = "standard"
     sample_size: int = 10000
     sampling_threshold: int | None = None
     random_seed: int = 42
-    timeout_seconds: int = 300
+    timeout_seconds: int | None = None
     max_cross_column_pairs: int = 1000
     enhanced_statistics: bool = False
     strict_pair_types: bool = False

@@ -51,6 +51,46 @@ def test_timeout_gives_errors(spark):
     assert spark.range(5).count() == 5
 
 
+def test_stopped_chunks_are_run_set_by_set(spark):
+    """A chunk that is too slow as a whole gives its results all the same, and there is no limit by default."""
+    assert ProfilingConfig().timeout_seconds is None
+    df = spark.createDataFrame([(i % 3, i % 4, i % 5) for i in range(60)], "a long, b long, c long")
+    plain = {(r.rule_id, r.columns): (r.status, r.details) for r in Profiler().profile(df).results}
+
+    class Late(Profiler):
+        seen: set = set()
+
+        def _timed(self, df, f):
+            place = f.__code__
+            # A lambda of one column is the second try.
+            if place not in self.seen and place.co_varnames[:1] != ("n",):
+                self.seen.add(place)
+                raise TimeoutError("stopped")
+            return super()._timed(df, f)
+
+    p = Late()
+    assert p.fused(df, [("x", {"n": F.sum("a")}), ("y", {"n": F.sum("b")})]) == {"x": {"n": 60}, "y": {"n": 90}}
+    got = {(r.rule_id, r.columns): (r.status, r.details) for r in p.profile(df).results}
+    assert got == plain
+    assert len(p.seen) > 2
+
+
+def test_missing_bounds_are_errors(spark):
+    df = spark.createDataFrame([(i % 120 + 0.5,) for i in range(300)], "a double")
+
+    class Boundless(Profiler):
+        def fused(self, df, wanted):
+            return {k: TimeoutError("stopped") if k[1] == "_bounds" else v for k, v in super().fused(df, wanted).items()}
+
+    want = {"outlier_detection", "outlier_detection_zscore", "modality_estimation", "numeric_histogram_quantiles"}
+    got = {r.rule_id: r for r in Boundless().profile(df).results if r.rule_id in want}
+    assert got.keys() == {r.rule_id for r in Profiler().profile(df).results} & want
+    assert len(got) > 1
+    for r in got.values():
+        assert r.status == "error"
+        assert r.message == "TimeoutError: stopped"
+
+
 def test_dry_run(spark):
     assert dry_run(Rule("a", "A", function=lambda c, k: {"x": F.max(c)}), spark) is None
     assert "Error" in dry_run(Rule("a", "A", function=lambda c, k: 1 / 0), spark)
