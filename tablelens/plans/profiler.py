@@ -39,6 +39,8 @@ from tablelens.plans.types import ColumnAttributes, ProfilingConfig, ProfilingRe
 
 #: Columns in one aggregation of types and levels, and pairs in one grouping.
 COLUMN_CHUNK, PAIR_CHUNK = 64, 32
+#: Rows (key, type) of a dictionary column in its result, which says if there are more.
+VALUE_TYPES = 1000
 #: Independent jobs that are submitted together.
 JOBS_AT_ONCE = 4
 
@@ -223,10 +225,13 @@ class Profiler:
             }
         d = _NESTED[rule](df, name).first().asDict(recursive=True)
         if rule == "dictionary_schema_analysis":
-            # Fields of the data, at most the keys there are.
-            d["value_types"] = {}
-            for r in N.value_types(df, name).orderBy("key", "value_type").limit(1000).collect():
+            # The first rows by key; the whole table, which may have a row for each row of the data, is N.value_types.
+            types, d["value_types"] = N.value_types(df, name), {}
+            rows = types.orderBy("key", "value_type").limit(VALUE_TYPES + 1).collect()
+            for r in rows[:VALUE_TYPES]:
                 d["value_types"].setdefault(r["key"], {})[r["value_type"]] = r["count"]
+            d["value_types_truncated"] = len(rows) > VALUE_TYPES
+            d["value_type_keys"] = types.select("key").distinct().count() if d["value_types_truncated"] else len(d["value_types"])
         return d
 
     def _second_phase(self, df: DataFrame, plan: dict[str, list[Rule]], got: dict) -> dict:

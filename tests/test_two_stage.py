@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablelens import Profiler, ProfilingConfig, Rule
 from tablelens.operators import two_stage as S
+from tablelens.plans import profiler
 from tablelens.plans.registry import dry_run
 
 
@@ -91,6 +92,15 @@ def test_missing_bounds_are_errors(spark):
         assert r.message == "TimeoutError: stopped"
 
 
+def test_value_types_say_what_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(profiler, "VALUE_TYPES", 3)
+    df = spark.createDataFrame([('{"a": 1, "b": "x"}',), ('{"a": "y", "c": 1}',), ('{"d": 2}',)], "j string")
+    d = Profiler()._nested(df, "j", "dictionary_schema_analysis")
+    assert (list(d["value_types"]), d["value_type_keys"], d["value_types_truncated"]) == (["a", "b"], 4, True)
+    d = Profiler()._nested(df.limit(1), "j", "dictionary_schema_analysis")
+    assert (list(d["value_types"]), d["value_type_keys"], d["value_types_truncated"]) == (["a", "b"], 2, False)
+
+
 def test_dry_run(spark):
     assert dry_run(Rule("a", "A", function=lambda c, k: {"x": F.max(c)}), spark) is None
     assert "Error" in dry_run(Rule("a", "A", function=lambda c, k: 1 / 0), spark)
