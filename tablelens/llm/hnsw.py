@@ -1,11 +1,17 @@
 """Approximate nearest neighbours by hierarchical navigable small-world graphs, one per shard.
 
-Equal vectors are one node. Nodes are dealt to shards of bounded size by hash; each shard's graph is built in one task
-and stored as flat neighbour arrays, one per layer, with its vectors. A block of queries is searched in each shard and
-the shards' results are merged. The work to build grows with the rows, as shards keep their size.
+Vectors of one direction (equal components once each is divided by the vector's largest) are one node. Nodes are dealt
+by hash to shards of about ``SHARD_BYTES``, so the number of shards follows from the memory of a task; each shard's
+graph is built in one task and stored as flat neighbour arrays, one per layer, with its vectors. A block of queries is
+searched in each shard and the shards' results are merged.
 
-Only the ids that can matter are kept with a node: the ``k + 1`` smallest, as equal vectors tie and ties go to the
-smaller id, so that more could never be among a query's ``k`` nearest.
+A graph grows by insertion: nodes join in batches that are small beside the graph; each finds its candidates by a beam
+search in the graph of the nodes before it, and among the nearest of its own batch. The work of a shard grows with n log
+n, and the search of a query with log n for each shard.
+
+Only the ids that can matter are kept with a node: the ``keep`` smallest, as vectors of one direction tie and ties go to
+the smaller id. An index made with ``keep`` answers searches for up to ``keep - 1`` neighbours (one place is for the
+query itself); a search for more is refused.
 
 Nulls: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows with a null
 id. With fewer candidates than ``k`` all are returned. Rows that repeat an id and a vector count once. Empty tables give
@@ -23,11 +29,17 @@ from pyspark.sql import functions as F
 
 from tablelens.llm.common import materialise, only
 
-SHARD_ROWS = 4096
+#: Bytes of a shard: vectors in double precision, links and ids. A task holds one shard.
+SHARD_BYTES = 64 << 20
 DEGREE = 16
-BUILD_WIDTH = 48
-SEARCH_WIDTH = 80
-QUERY_BLOCK = 2048
+BUILD_WIDTH = 32
+#: Nodes that join at once, never more than a quarter of the graph, and candidates taken from a node's own batch.
+BATCH, BESIDE = 512, 16
+SEARCH_WIDTH = 500
+#: A search opens one node in this many of its beam at each step.
+FAN = 16
+#: Queries that are searched at once in a task, and queries in a block.
+TOGETHER, QUERY_BLOCK = 64, 16384
 
 
 def usable(v: Column) -> Column:
@@ -36,163 +48,240 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def build_graph(vectors: np.ndarray, degree: int = DEGREE, width: int = BUILD_WIDTH) -> dict:
-    """Layers of flat neighbour arrays over unit vectors, and the entry node.
+class Layer:
+    """A layer of the graph: neighbours of each of its members, -1 in free places."""
 
-    Node i joins in order of its place; its candidates on a layer are the nearest ``width`` of the nodes before it, and
-    of these it keeps those that are nearer to it than to any kept one. Links go both ways; a node with too many keeps
-    its best by the same rule. Missing neighbours are -1.
-    """
-    n = len(vectors)
-    levels = np.minimum(np.random.default_rng(n).exponential(1 / math.log(degree), n).astype(int), 8)
-    layers, members = [], []
-    for layer in range(levels.max() + 1 if n else 0):
-        own = np.flatnonzero(levels >= layer)
-        links = _layer(vectors[own], degree * 2 if layer == 0 else degree, degree, width)
-        members.append(own.astype(np.int32))
-        layers.append(np.where(links >= 0, own[links], -1).astype(np.int32))
-    return {"members": members, "layers": layers, "entry": int(members[-1][0]) if members else -1}
-
-
-def _prune(sims_to: np.ndarray, cand: np.ndarray, v: np.ndarray, most: int) -> list[int]:
-    """Of candidates in falling likeness, those nearer to the node than to any kept one; then the nearest others."""
-    among = v[cand] @ v[cand].T
-    kept: list[int] = []
-    closest = np.full(len(cand), -np.inf)
-    for j in range(len(cand)):
-        if closest[j] < sims_to[j]:
-            kept.append(j)
-            if len(kept) == most:
-                break
-            np.maximum(closest, among[j], out=closest)
-    if len(kept) < most:
-        seen = set(kept)
-        kept += [j for j in range(len(cand)) if j not in seen][: most - len(kept)]
-    return [int(cand[j]) for j in kept]
-
-
-def _layer(v: np.ndarray, most: int, degree: int, width: int) -> np.ndarray:
-    n = len(v)
-    links: list[list[int]] = [[] for _ in range(n)]
-    for begin in range(0, n, 512):
-        sims = v[begin : begin + 512] @ v[: min(n, begin + 512)].T
-        for r in range(len(sims)):
-            i = begin + r
-            if not i:
-                continue
-            s = sims[r, :i]
-            cand = np.argpartition(-s, width)[:width] if i > width else np.arange(i)
-            cand = cand[np.argsort(-s[cand], kind="stable")]
-            mine = _prune(s[cand], cand, v, degree)
-            links[i] = mine
-            for j in mine:
-                other = links[j]
-                other.append(i)
-                if len(other) > most:
-                    c = np.array(other)
-                    t = v[c] @ v[j]
-                    o = np.argsort(-t, kind="stable")
-                    links[j] = _prune(t[o], c[o], v, most)
-    out = np.full((n, most), -1, np.int64)
-    for i, x in enumerate(links):
-        out[i, : len(x)] = x
-    return out
-
-
-def search(vectors: np.ndarray, graph: dict, queries: np.ndarray, width: int = SEARCH_WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, likeness) of the best ``width`` nodes found for each query, -1 where there are fewer.
-
-    All queries walk at once: each step expands every query's best open node. Upper layers keep one node a query, the
-    lowest keeps ``width``.
-    """
-    q = len(queries)
-    rows = np.arange(q)
-    at = np.full(q, graph["entry"], np.int64)
-    best = np.einsum("qd,qd->q", queries, vectors[at])
-    place = np.full(len(vectors), -1, np.int64)
-    for layer in range(len(graph["layers"]) - 1, 0, -1):
-        place[:] = -1
-        place[graph["members"][layer]] = np.arange(len(graph["members"][layer]))
+    def __init__(self, n: int, members: np.ndarray, links: np.ndarray):
+        self.members, self.links = members, links
+        self.place = np.full(n, -1, np.int32)
+        self.place[members] = np.arange(len(members), dtype=np.int32)
+        self.used = (links >= 0).sum(1).astype(np.int32)
+
+
+def _best(ids: np.ndarray, sims: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(-sims, axis=1, kind="stable")[:, :width]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+
+
+def _apart(v: np.ndarray, cand: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row's candidates, in falling likeness, those nearer to the node than to any kept one; then the nearest others."""
+    among = np.matmul(v[cand], v[cand].transpose(0, 2, 1))
+    there = cand >= 0
+    kept, count = np.zeros(cand.shape, bool), np.zeros(len(cand), np.int32)
+    closest = np.full(cand.shape, -np.inf, np.float32)
+    for j in range(cand.shape[1]):
+        ok = (closest[:, j] < sims[:, j]) & (count < most) & there[:, j]
+        kept[:, j] = ok
+        count += ok
+        rows = np.flatnonzero(ok)
+        closest[rows] = np.maximum(closest[rows], among[rows, j])
+    order = np.argsort(np.where(there, ~kept, 2), axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(cand, order, 1), np.take_along_axis(sims, order, 1)
+
+
+def _walk(v: np.ndarray, layer: Layer, q: np.ndarray, at: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each query's nearest node that steps to better neighbours reach from ``at``, and its likeness."""
+    at, best, moving = at.copy(), best.copy(), np.arange(len(q))
+    while len(moving):
+        near = layer.links[layer.place[at[moving]]]
+        sims = np.matmul(v[near], q[moving][:, :, None])[:, :, 0]
+        sims[near < 0] = -np.inf
+        top = sims.argmax(1)
+        value = sims[np.arange(len(moving)), top]
+        better = value > best[moving]
+        rows = moving[better]
+        at[rows], best[rows] = near[better, top[better]], value[better]
         moving = rows
-        while len(moving):
-            near = graph["layers"][layer][place[at[moving]]]
-            sims = np.einsum("qnd,qd->qn", vectors[near], queries[moving])
-            sims[near < 0] = -np.inf
-            top = sims.argmax(1)
-            value = sims[np.arange(len(moving)), top]
-            better = value > best[moving]
-            moving, near, top, value = moving[better], near[better], top[better], value[better]
-            at[moving], best[moving] = near[np.arange(len(moving)), top], value
-    beam = np.full((q, width), -1, np.int64)
-    like = np.full((q, width), -np.inf)
-    open_ = np.zeros((q, width), bool)
-    beam[:, 0], like[:, 0], open_[:, 0] = at, best, True
-    seen = np.zeros((q, len(vectors)), bool)
-    seen[rows, at] = True
-    base, active = graph["layers"][0], rows
+    return at, best
+
+
+def _beam(v: np.ndarray, layer: Layer, q: np.ndarray, at: np.ndarray, best: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, likeness) of the best ``width`` nodes found for each query, in no order, -1 in free places.
+
+    All queries walk at once; a step opens the best unopened nodes of each beam. Nodes seen are remembered in a table of
+    fixed size, which may forget some; these are weighed again but never enter a beam twice.
+    """
+    n, fan = len(q), max(1, width // FAN)
+    slots = 1 << (width * 64 - 1).bit_length()
+    beam, like, unopened = np.full((n, width), -1, np.int32), np.full((n, width), -np.inf, np.float32), np.zeros((n, width), bool)
+    beam[:, 0], like[:, 0], unopened[:, 0] = at, best, True
+    active = np.arange(n)
+    seen = np.full(n * slots, -1, np.int32)
+    seen[active * slots + (at & (slots - 1))] = at
     while len(active):
-        todo = np.where(open_[active], like[active], -np.inf)
-        pick = todo.argmax(1)
-        active, pick = active[(ok := todo[np.arange(len(active)), pick] > -np.inf)], pick[ok]
+        live = like[active]
+        todo = np.where(unopened[active], live, -np.inf)
+        pick = np.argpartition(-todo, fan - 1, axis=1)[:, :fan]
+        good = np.take_along_axis(todo, pick, 1) > -np.inf
+        some = good.any(1)
+        active, live, pick, good = active[some], live[some], pick[some], good[some]
         if not len(active):
             break
-        open_[active, pick] = False
-        near = base[beam[active, pick]]
-        new = (near >= 0) & ~seen[active[:, None], near]
-        sims = np.where(new, np.einsum("qnd,qd->qn", vectors[near], queries[active]), -np.inf)
-        r, c = np.nonzero(new)
-        seen[active[r], near[r, c]] = True
-        every = np.concatenate([like[active], sims], 1)
+        unopened[active[:, None], pick] = False
+        near = layer.links[layer.place[beam[active[:, None], pick]]]
+        near[~good] = -1
+        near = near.reshape(len(active), -1)
+        spot = (near & (slots - 1)) + (active * slots)[:, None]
+        flat = np.flatnonzero((seen[spot] != near) & (near >= 0))
+        ids, r = near.ravel()[flat], flat // near.shape[1]
+        seen[spot.ravel()[flat]] = ids
+        s = np.einsum("kd,kd->k", v[ids], q[active[r]])
+        ok = np.flatnonzero(s > live.min(1)[r])
+        r, ids, s = r[ok], ids[ok], s[ok]
+        new = np.zeros(len(r), bool)
+        new[np.unique(r << 32 | ids, return_index=True)[1]] = True
+        new &= ~(beam[active[r]] == ids[:, None]).any(1)
+        r, ids, s = r[new], ids[new], s[new]
+        if not len(r):
+            continue
+        rows, r, count = np.unique(r, return_inverse=True, return_counts=True)
+        c = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+        more, more_like = np.full((len(rows), count.max()), -1, np.int32), np.full((len(rows), count.max()), -np.inf, np.float32)
+        more[r, c], more_like[r, c] = ids, s
+        rows = active[rows]
+        every = np.concatenate([like[rows], more_like], 1)
         order = np.argpartition(-every, width - 1, axis=1)[:, :width]
-        like[active] = np.take_along_axis(every, order, 1)
-        beam[active] = np.take_along_axis(np.concatenate([beam[active], near], 1), order, 1)
-        opened = np.take_along_axis(np.concatenate([open_[active], new], 1), order, 1)
-        open_[active] = opened & (like[active] > -np.inf)
-    beam[like == -np.inf] = -1
+        like[rows] = np.take_along_axis(every, order, 1)
+        beam[rows] = np.take_along_axis(np.concatenate([beam[rows], more], 1), order, 1)
+        unopened[rows] = np.take_along_axis(np.concatenate([unopened[rows], more_like > -np.inf], 1), order, 1)
     return beam, like
 
 
+def _attach(v: np.ndarray, layer: Layer, nodes: np.ndarray, cand: np.ndarray, sims: np.ndarray, keep: int) -> None:
+    """Link new nodes with their candidates, both ways. A node whose places are full keeps the best ``keep`` by the same rule."""
+    most, p = layer.links.shape[1], layer.place[nodes]
+    layer.links[p, : cand.shape[1]] = cand
+    layer.used[p] = (cand >= 0).sum(1)
+    ok = cand.ravel() >= 0
+    src, dst, s = np.repeat(nodes, cand.shape[1])[ok].astype(np.int32), cand.ravel()[ok], sims.ravel()[ok]
+    # Nodes of one batch can choose each other; such a link is there already.
+    own = np.minimum(np.searchsorted(nodes, dst), len(nodes) - 1)
+    ok = (nodes[own] != dst) | ~(cand[own] == src[:, None]).any(1)
+    src, dst, s = src[ok], dst[ok], s[ok]
+    order = np.lexsort((-s, dst))
+    src, dst, s = src[order], dst[order], s[order]
+    targets, first, count = np.unique(dst, return_index=True, return_counts=True)
+    of = np.repeat(np.arange(len(targets)), count)
+    rank, tp = np.arange(len(dst)) - first[of], layer.place[targets]
+    fits = layer.used[tp] + count <= most
+    a = fits[of]
+    layer.links[tp[of[a]], layer.used[tp[of[a]]] + rank[a]] = src[a]
+    layer.used[tp[fits]] += count[fits].astype(np.int32)
+    over = np.flatnonzero(~fits)
+    if not len(over):
+        return
+    wide = int(min(count[over].max(), most))
+    more, more_s = np.full((len(over), wide), -1, np.int32), np.full((len(over), wide), -np.inf, np.float32)
+    row = np.full(len(targets), -1)
+    row[over] = np.arange(len(over))
+    b = ~fits[of] & (rank < wide)
+    more[row[of[b]], rank[b]], more_s[row[of[b]], rank[b]] = src[b], s[b]
+    tp, old = tp[over], layer.links[tp[over]]
+    old_s = np.matmul(v[old], v[targets[over]][:, :, None])[:, :, 0]
+    old_s[old < 0] = -np.inf
+    both, both_s = np.concatenate([old, more], 1), np.concatenate([old_s, more_s], 1)
+    both, both_s = _best(both, both_s, most + 8)
+    got, _ = _apart(v, both, both_s, keep)
+    layer.links[tp] = -1
+    layer.links[tp, : got.shape[1]] = got
+    layer.used[tp] = (got >= 0).sum(1)
+
+
+def build_graph(v: np.ndarray, degree: int = DEGREE, width: int = BUILD_WIDTH) -> list[Layer]:
+    """Layers of the graph over unit vectors, the lowest first; node 0 is on all of them, and searches begin there."""
+    n = len(v)
+    if not n:
+        return []
+    levels = np.minimum(np.random.default_rng(n).exponential(1 / math.log(degree), n).astype(int), 8)
+    levels[0] = levels.max()
+    layers = []
+    for level in range(levels[0] + 1):
+        members = np.flatnonzero(levels >= level).astype(np.int32)
+        layers.append(Layer(n, members, np.full((len(members), degree * 5 // 2 if level == 0 else degree * 2), -1, np.int32)))
+    lo = 1
+    while lo < n:
+        hi = min(n, lo + max(1, min(BATCH, lo // 4)))
+        nodes, q = np.arange(lo, hi), v[lo:hi]
+        at, best = np.zeros(len(q), np.int32), q @ v[0]
+        within = q @ q.T
+        np.fill_diagonal(within, -np.inf)
+        for level in range(levels[0], -1, -1):
+            layer = layers[level]
+            mine, rest = np.flatnonzero(levels[lo:hi] >= level), np.flatnonzero(levels[lo:hi] < level)
+            if len(mine):
+                found, like = _beam(v, layer, q[mine], at[mine], best[mine], width if level == 0 else degree)
+                top = like.argmax(1)
+                at[mine], best[mine] = found[np.arange(len(mine)), top], like[np.arange(len(mine)), top]
+                side = within[np.ix_(mine, mine)]
+                if b := min(BESIDE, len(mine) - 1):
+                    near = np.argpartition(-side, b - 1, axis=1)[:, :b]
+                    found = np.concatenate([found, nodes[mine][near].astype(np.int32)], 1)
+                    like = np.concatenate([like, np.take_along_axis(side, near, 1)], 1)
+                cand, sims = _apart(v, *_best(found, like, width if level == 0 else degree), degree)
+                _attach(v, layer, nodes[mine], cand, sims, degree * 3 // 2 if level == 0 else degree)
+            if len(rest):
+                at[rest], best[rest] = _walk(v, layer, q[rest], at[rest], best[rest])
+        lo = hi
+    return layers
+
+
+def search(v: np.ndarray, layers: list[Layer], queries: np.ndarray, width: int = SEARCH_WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, likeness) of the best ``width`` nodes found for each query, -1 where there are fewer."""
+    found = []
+    for begin in range(0, len(queries), TOGETHER):
+        q = queries[begin : begin + TOGETHER]
+        at, best = np.zeros(len(q), np.int32), q @ v[0]
+        for layer in layers[:0:-1]:
+            at, best = _walk(v, layer, q, at, best)
+        found.append(_beam(v, layers[0], q, at, best, width))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
 def nodes_of(df: DataFrame, key: str, vector: str, keep: int) -> DataFrame:
-    """node (hash), vec and the ``keep`` smallest ids of every distinct vector."""
+    """vec (the direction) and the ``keep`` smallest ids of every distinct direction; h is a hash of it."""
     d = only(df, key, vector).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
-    d = d.where(F.col("id").isNotNull() & usable(F.col("vec"))).select("id", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec"))
-    d = d.withColumn("node", F.sha2(F.array_join(F.transform("vec", lambda x: x.cast("string")), ","), 256))
-    # Ranks are limited before the shuffle, so a vector that many rows share gathers nowhere.
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("id"))
-    d = d.dropDuplicates(["node", "id"]).withColumn("r", rank).where(F.col("r") <= keep)
-    return d.groupBy("node").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_list("id")).alias("ids"))
+    d = d.where(F.col("id").isNotNull() & usable(F.col("vec"))).withColumn("largest", F.array_max(F.transform("vec", F.abs)))
+    # The sum with 0.0 makes one zero of two.
+    d = d.select("id", F.transform("vec", lambda x: x / F.col("largest") + F.lit(0.0)).alias("vec"))
+    d = d.withColumn("h", F.xxhash64("vec")).dropDuplicates(["h", "vec", "id"])
+    # Ranks are limited before the shuffle, so a direction that many rows share gathers nowhere.
+    rank = F.row_number().over(Window.partitionBy("h", "vec").orderBy("id"))
+    return d.withColumn("r", rank).where(F.col("r") <= keep).groupBy("h", "vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
 
+def _unit(direction: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    norm = np.sqrt((direction**2).sum(1))
+    return (direction / norm[:, None]).astype(np.float32), norm
 
-def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", keep: int = 6, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The stored index: a row for each shard with ids, vectors, members, layers (flat arrays as bytes) and entry."""
+
+def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", keep: int = 6, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The stored index: a row for each shard with ids, directions, members, layers (flat arrays as bytes) and ``keep``."""
     nodes = materialise(nodes_of(df, key, vector, keep), "ann-nodes")
-    shards = max(1, math.ceil(nodes.count() / shard_rows))
-    dealt = nodes.select((F.conv(F.substring("node", 1, 8), 16, 10).cast("long") % shards).cast("int").alias("shard"), "node", "vec", "ids")
-    kind = "shard int, n int, dim int, ids binary, counts binary, vectors binary, members array<binary>, layers array<binary>, entry int"
+    size = nodes.agg(F.sum(F.size("vec") * 8 + F.size("ids") * 8 + DEGREE * 10 + 16)).first()[0] or 0
+    shards = max(1, math.ceil(size / shard_bytes))
+    dealt = nodes.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "vec", "ids")
+    kind = "shard int, n int, dim int, keep int, ids binary, counts binary, vectors binary, members array<binary>, layers array<binary>"
+    arrow = pa.schema([
+        ("shard", pa.int32()), ("n", pa.int32()), ("dim", pa.int32()), ("keep", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()),
+        ("vectors", pa.binary()), ("members", pa.list_(pa.binary())), ("layers", pa.list_(pa.binary())),
+    ])
 
     def build(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
         out = []
-        # Vectors of different lengths can't be compared: a graph for each length.
+        # The hash is an order by chance that reruns repeat. Vectors of different lengths can't be compared: a graph for each.
+        table = table.sort_by("h")
         lengths = pa.compute.list_value_length(table["vec"]).to_numpy()
         for dim in np.unique(lengths):
             t = table.filter(pa.array(lengths == dim))
-            vec = t["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            ids = t["ids"].combine_chunks()
-            unit = (vec / np.abs(vec).max(1, keepdims=True))
-            unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
-            g = build_graph(unit)
+            vec, ids = t["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dim), t["ids"].combine_chunks()
+            layers = build_graph(_unit(vec)[0])
             out.append({
-                "shard": t["shard"][0].as_py(), "n": len(vec), "dim": int(dim), "ids": ids.flatten().to_numpy().astype("<i8").tobytes(),
+                "shard": t["shard"][0].as_py(), "n": len(vec), "dim": int(dim), "keep": keep, "ids": ids.flatten().to_numpy().astype("<i8").tobytes(),
                 "counts": pa.compute.list_value_length(ids).to_numpy().astype("<i4").tobytes(), "vectors": vec.astype("<f8").tobytes(),
-                "members": [m.astype("<i4").tobytes() for m in g["members"]], "layers": [x.astype("<i4").tobytes() for x in g["layers"]], "entry": g["entry"],
+                "members": [x.members.astype("<i4").tobytes() for x in layers], "layers": [x.links.astype("<i4").tobytes() for x in layers],
             })
         return pa.Table.from_pylist(out, schema=arrow)
 
-    arrow = pa.schema([
-        ("shard", pa.int32()), ("n", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("vectors", pa.binary()),
-        ("members", pa.list_(pa.binary())), ("layers", pa.list_(pa.binary())), ("entry", pa.int32()),
-    ])
     return materialise(dealt.groupBy("shard").applyInArrow(build, kind), "ann-index")
 
 
@@ -201,10 +290,13 @@ def search_index(index: DataFrame, queries: DataFrame, key: str = "vec_id", vect
 
     Queries go in blocks; each block meets each shard once, and each such task returns ``k`` rows a query.
     """
+    about = index.agg(F.max("shard"), F.min("keep")).first()
+    if about[1] is not None and about[1] < k + 1:
+        raise ValueError(f"the index keeps {about[1]} ids of equal directions, a search for {k} needs {k + 1}")
+    shards = (about[0] or 0) + 1
     q = only(queries, key, vector).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vec"))
     q = materialise(q.where(F.col("query_id").isNotNull() & usable(F.col("vec"))).dropDuplicates(["query_id", "vec"]), "ann-queries")
     blocks = max(1, math.ceil(q.count() / QUERY_BLOCK))
-    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
     number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     asked = q.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), number.alias("block"), "query_id", "vec")
     held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -217,26 +309,21 @@ def search_index(index: DataFrame, queries: DataFrame, key: str = "vec_id", vect
             if not len(mine):
                 continue
             vec = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], row["dim"])
-            big = np.abs(vec).max(1, keepdims=True)
-            norm = np.sqrt(((vec / big) ** 2).sum(1))
-            unit = (vec / big / norm[:, None]).astype(np.float32)
+            unit, norm = _unit(vec)
             ends = np.concatenate([[0], np.cumsum(np.frombuffer(row["counts"], "<i4"))])
             ids = np.frombuffer(row["ids"], "<i8")
-            graph = {
-                "members": [np.frombuffer(m, "<i4") for m in row["members"]], "entry": row["entry"],
-                "layers": [np.frombuffer(x, "<i4").reshape(len(m) // 4, -1).astype(np.int64) for x, m in zip(row["layers"], row["members"], strict=True)],
-            }
+            members = [np.frombuffer(m, "<i4") for m in row["members"]]
+            layers = [Layer(row["n"], m, np.frombuffer(x, "<i4").reshape(len(m), -1)) for m, x in zip(members, row["layers"], strict=True)]
             asked_vec = right["vec"].take(pa.array(mine)).combine_chunks().flatten().to_numpy().reshape(-1, row["dim"])
-            qbig = np.abs(asked_vec).max(1, keepdims=True)
-            qn = asked_vec / qbig
-            qnorm = np.sqrt((qn**2).sum(1))
-            beam, like = search(unit, graph, (qn / qnorm[:, None]).astype(np.float32), max(width, 2 * k))
-            # Exact scores of the best few; one more node than asked for, as a query's own vector is among them.
+            qn = asked_vec / np.abs(asked_vec).max(1, keepdims=True)
+            qunit, qnorm = _unit(qn)
+            beam, like = search(unit, layers, qunit, max(width, 2 * k))
+            # Exact scores of the best few; some more nodes than asked for, as a query's own vector is among them.
             few = np.argsort(-like, axis=1, kind="stable")[:, : 2 * k + 2]
             for r, i in enumerate(mine):
                 nodes = beam[r, few[r]]
                 nodes = nodes[nodes >= 0]
-                s = (vec[nodes] / big[nodes] * qn[r]).sum(1) / (norm[nodes] * qnorm[r])
+                s = (vec[nodes] * qn[r]).sum(1) / (norm[nodes] * qnorm[r])
                 found = sorted((-float(x), int(v)) for x, n in zip(s, nodes, strict=True) for v in ids[ends[n] : ends[n + 1]] if v != qid[i])[:k]
                 got["query_id"] += [int(qid[i])] * len(found)
                 got["vec_id"] += [v for _, v in found]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 from urllib.parse import quote
 
 import duckdb
@@ -187,8 +188,8 @@ def test_neighbours(spark, monkeypatch):
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
     bad = [(5000, None), (5001, []), (5002, [0.0] * 24), (5003, [float("nan")] + [1.0] * 23), (5004, [float("inf")] + [1.0] * 23), (5005, [None] + [1.0] * 23), (None, [1.0] * 24), (0, rows[0][1])]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumns({"shard": F.lit(1), "ids": F.lit(2), "node": F.lit(3)})
-    index = hnsw.build_index(df, shard_rows=400)
-    assert index.count() == 4
+    index = hnsw.build_index(df, shard_bytes=200_000)
+    assert 2 <= index.count() <= 4
     got = {}
     for r in hnsw.search_index(index, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -218,12 +219,48 @@ def test_graph_is_flat_and_linked():
     rng = random.Random(1)
     v = np.array([[rng.gauss(0, 1) for _ in range(8)] for _ in range(500)], np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    g = hnsw.build_graph(v)
-    assert g["layers"][0].shape == (500, 2 * hnsw.DEGREE)
-    seen, todo = {g["entry"]}, [g["entry"]]
+    layers = hnsw.build_graph(v)
+    links = layers[0].links
+    assert links.shape == (500, hnsw.DEGREE * 5 // 2) and links.dtype == np.int32
+    assert all(len({j for j in row if j >= 0}) == (row >= 0).sum() and i not in row for i, row in enumerate(links))
+    seen, todo = {0}, [0]
     while todo:
-        for j in g["layers"][0][todo.pop()]:
+        for j in links[todo.pop()]:
             if j >= 0 and j not in seen:
                 seen.add(int(j))
                 todo.append(int(j))
     assert len(seen) > 490
+
+
+def test_vectors_of_one_direction_tie(spark):
+    base = np.array([0.5, -1.25, 3.0, 0.125])
+    rows = [(i, [float(x) for x in base * (1 + i)]) for i in range(400)]
+    df = spark.createDataFrame(rows + [(1000, [1.0, 1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = hnsw.search_index(hnsw.build_index(df), df.where("vec_id in (0, 300)")).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, i) for i in (1, 2, 3, 4, 5)] + [(300, i) for i in range(5)]
+    assert all(abs(r["score"] - 1) < 1e-12 for r in got)
+
+
+def test_search_beyond_what_the_index_keeps_is_refused(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        hnsw.search_index(hnsw.build_index(df), df.where("vec_id = 0"), k=10)
+    assert hnsw.search_index(hnsw.build_index(df, keep=11), df.where("vec_id = 0"), k=10).count() == 10
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1/embeddings.parquet").exists(), reason="needs the driver's tables")
+def test_recall_on_the_drivers_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    t = df.toPandas()
+    v, ids = np.stack(t["embedding"].to_numpy()).astype(float), t["vec_id"].to_numpy()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    asked = df.where("vec_id % 50 = 0")
+    found = {}
+    for r in hnsw.search_index(hnsw.build_index(df), asked).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q, got in found.items():
+        s = u @ u[ids == q][0]
+        s[ids == q] = -2
+        hits += len(got & set(ids[np.argsort(-s, kind="stable")[:5]]))
+    assert len(found) == asked.count() and hits >= 0.95 * 5 * len(found)
