@@ -24,6 +24,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,6 +209,9 @@ def build_graph(v: np.ndarray, degree: int = DEGREE, width: int = BUILD_WIDTH) -
         for level in range(levels[0], -1, -1):
             layer = layers[level]
             mine, rest = np.flatnonzero(levels[lo:hi] >= level), np.flatnonzero(levels[lo:hi] < level)
+            # Before the batch is linked, so that nodes of the batch are met as candidates beside it only.
+            if len(rest):
+                at[rest], best[rest] = _walk(v, layer, q[rest], at[rest], best[rest])
             if len(mine):
                 found, like = _beam(v, layer, q[mine], at[mine], best[mine], width if level == 0 else degree)
                 top = like.argmax(1)
@@ -219,8 +223,6 @@ def build_graph(v: np.ndarray, degree: int = DEGREE, width: int = BUILD_WIDTH) -
                     like = np.concatenate([like, np.take_along_axis(side, near, 1)], 1)
                 cand, sims = _apart(v, *_best(found, like, width if level == 0 else degree), degree)
                 _attach(v, layer, nodes[mine], cand, sims, degree * 3 // 2 if level == 0 else degree)
-            if len(rest):
-                at[rest], best[rest] = _walk(v, layer, q[rest], at[rest], best[rest])
         lo = hi
     return layers
 
@@ -237,14 +239,42 @@ def search(v: np.ndarray, layers: list[Layer], queries: np.ndarray, width: int =
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
+def directions(vectors: pa.Array) -> list[bytes | None]:
+    """Each vector divided by its largest component, in double precision; None for vectors that take no part."""
+    out: list[bytes | None] = [None] * len(vectors)
+    lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    for dim in np.unique(lengths[lengths > 0]):
+        rows = np.flatnonzero(lengths == dim)
+        # Null components become NaN.
+        v = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        largest = np.abs(v).max(1)
+        ok = np.isfinite(largest) & (largest > 0)
+        # The sum with 0.0 makes one zero of two.
+        for r, x in zip(rows[ok], v[ok] / largest[ok, None] + 0.0, strict=True):
+            out[r] = x.astype("<f8").tobytes()
+    return out
+
+
 def nodes_of(df: DataFrame, key: str, vector: str, keep: int) -> DataFrame:
-    """vec (the direction) and the ``keep`` smallest ids of every distinct direction; h is a hash of it."""
+    """vec (a direction, as bytes) and the ``keep`` smallest ids of every distinct direction; h is a hash of it."""
+
+    def run(batches):
+        for b in batches:
+            # Only so many ids leave a batch, so a direction that many rows share gathers nowhere.
+            held: dict[bytes, set[int]] = {}
+            for i, x in zip(b.column(0).to_pylist(), directions(b.column(1)), strict=True):
+                if i is None or x is None:
+                    continue
+                ids = held.setdefault(x, set())
+                ids.add(i)
+                if len(ids) > keep:
+                    ids.remove(max(ids))
+            vec, ids = [x for x, s in held.items() for _ in s], [i for s in held.values() for i in s]
+            yield pa.record_batch({"vec": pa.array(vec, pa.binary()), "id": pa.array(ids, pa.int64())})
+
     d = only(df, key, vector).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
-    d = d.where(F.col("id").isNotNull() & usable(F.col("vec"))).withColumn("largest", F.array_max(F.transform("vec", F.abs)))
-    # The sum with 0.0 makes one zero of two.
-    d = d.select("id", F.transform("vec", lambda x: x / F.col("largest") + F.lit(0.0)).alias("vec"))
-    d = d.withColumn("h", F.xxhash64("vec")).dropDuplicates(["h", "vec", "id"])
-    # Ranks are limited before the shuffle, so a direction that many rows share gathers nowhere.
+    # One shuffle: grouping and ranks by (h, vec) find their rows where the hash has put them.
+    d = d.mapInArrow(run, "vec binary, id long").withColumn("h", F.xxhash64("vec")).repartition("h").dropDuplicates(["h", "vec", "id"])
     rank = F.row_number().over(Window.partitionBy("h", "vec").orderBy("id"))
     return d.withColumn("r", rank).where(F.col("r") <= keep).groupBy("h", "vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
@@ -257,7 +287,7 @@ def _unit(direction: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", keep: int = 6, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The stored index: a row for each shard with ids, directions, members, layers (flat arrays as bytes) and ``keep``."""
     nodes = materialise(nodes_of(df, key, vector, keep), "ann-nodes")
-    size = nodes.agg(F.sum(F.size("vec") * 8 + F.size("ids") * 8 + DEGREE * 10 + 16)).first()[0] or 0
+    size = nodes.agg(F.sum(F.octet_length("vec") + F.size("ids") * 8 + DEGREE * 10 + 16)).first()[0] or 0
     shards = max(1, math.ceil(size / shard_bytes))
     dealt = nodes.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "vec", "ids")
     kind = "shard int, n int, dim int, keep int, ids binary, counts binary, vectors binary, members array<binary>, layers array<binary>"
@@ -270,14 +300,14 @@ def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k
         out = []
         # The hash is an order by chance that reruns repeat. Vectors of different lengths can't be compared: a graph for each.
         table = table.sort_by("h")
-        lengths = pa.compute.list_value_length(table["vec"]).to_numpy()
+        lengths = pc.binary_length(table["vec"]).to_numpy() // 8
         for dim in np.unique(lengths):
             t = table.filter(pa.array(lengths == dim))
-            vec, ids = t["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dim), t["ids"].combine_chunks()
+            vec, ids = np.frombuffer(b"".join(t["vec"].to_pylist()), "<f8").reshape(-1, dim), t["ids"].combine_chunks()
             layers = build_graph(_unit(vec)[0])
             out.append({
                 "shard": t["shard"][0].as_py(), "n": len(vec), "dim": int(dim), "keep": keep, "ids": ids.flatten().to_numpy().astype("<i8").tobytes(),
-                "counts": pa.compute.list_value_length(ids).to_numpy().astype("<i4").tobytes(), "vectors": vec.astype("<f8").tobytes(),
+                "counts": pc.list_value_length(ids).to_numpy().astype("<i4").tobytes(), "vectors": vec.tobytes(),
                 "members": [x.members.astype("<i4").tobytes() for x in layers], "layers": [x.links.astype("<i4").tobytes() for x in layers],
             })
         return pa.Table.from_pylist(out, schema=arrow)
@@ -295,7 +325,8 @@ def search_index(index: DataFrame, queries: DataFrame, key: str = "vec_id", vect
         raise ValueError(f"the index keeps {about[1]} ids of equal directions, a search for {k} needs {k + 1}")
     shards = (about[0] or 0) + 1
     q = only(queries, key, vector).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vec"))
-    q = materialise(q.where(F.col("query_id").isNotNull() & usable(F.col("vec"))).dropDuplicates(["query_id", "vec"]), "ann-queries")
+    q = q.where(F.col("query_id").isNotNull() & usable(F.col("vec")))
+    q = materialise(q.withColumn("h", F.xxhash64("vec")).dropDuplicates(["query_id", "h", "vec"]).drop("h"), "ann-queries")
     blocks = max(1, math.ceil(q.count() / QUERY_BLOCK))
     number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     asked = q.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), number.alias("block"), "query_id", "vec")
@@ -303,7 +334,7 @@ def search_index(index: DataFrame, queries: DataFrame, key: str = "vec_id", vect
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
         got = {"query_id": [], "vec_id": [], "score": []}
-        qid, qlen = right["query_id"].to_numpy(), pa.compute.list_value_length(right["vec"]).to_numpy()
+        qid, qlen = right["query_id"].to_numpy(), pc.list_value_length(right["vec"]).to_numpy()
         for row in left.to_pylist() if len(right) else []:
             mine = np.flatnonzero(qlen == row["dim"])
             if not len(mine):
