@@ -24,15 +24,18 @@ def identicality(a: Column, b: Column, same_type: bool = True) -> Fields:
     }
 
 
-def correlation(a: Column, b: Column) -> Fields:
-    """Pearson's correlation over the rows where both are present; null where one of them does not vary."""
+def correlation(a: Column, b: Column, complete: bool = False) -> Fields:
+    """Pearson's correlation over the rows where both are present; null where one of them does not vary.
+
+    ``complete`` says that neither column has nulls, so that pairs share their columns' spreads.
+    """
     x, y = a.cast("double"), b.cast("double")
-    spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    spread = F.stddev_pop(x) * F.stddev_pop(y) if complete else F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
     r = F.try_divide(F.covar_pop(x, y), spread)
     r = F.when(~F.isnan(r), r)
     s = F.abs(r)
     return {
-        "correlation": r, "sample_size": F.count_if(a.isNotNull() & b.isNotNull()),
+        "correlation": r, "sample_size": X.rows() if complete else F.count_if(a.isNotNull() & b.isNotNull()),
         "strength": F.when(r.isNotNull(), X.ladder(s, [(0.8, "strong"), (0.5, "moderate"), (0.3, "weak")], "very weak")),
         "status": F.when(r.isNull(), "skipped").otherwise(X.ladder(s, [(0.8, "high"), (0.5, "medium")], "low")),
     }
@@ -57,11 +60,18 @@ def per_pair(df: DataFrame, pairs: list[tuple[str, str]], check) -> DataFrame:
 
 
 def pair_groups(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """p, a, b (text forms), n: counts of the values of all ``pairs``, nulls a value, in one shuffle."""
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("p"), X.col(a).cast("string").alias("a"), X.col(b).cast("string").alias("b")) for i, (a, b) in enumerate(pairs)
-    ])
-    return df.select(F.inline(cells)).groupBy("p", "a", "b").agg(X.rows().alias("n"))
+    """p, a, b, n: counts of the values of all ``pairs``, nulls a value, in one shuffle.
+
+    a and b are 64-bit hashes of the values, made once a column, so that a row of the shuffle has a fixed, small size
+    whatever the values are: two values of a column of 10^7 different ones share a hash with probability 3e-6.
+    """
+    names = sorted({n for x in pairs for n in x})
+    at = {n: f"h{i}" for i, n in enumerate(names)}
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    value = lambda n: F.to_json(X.col(n)) if kinds[n] in ("map", "variant") else X.col(n)
+    hashed = df.select(*[F.when(X.col(n).isNotNull(), F.xxhash64(value(n))).alias(h) for n, h in at.items()])
+    cells = F.array(*[F.struct(F.lit(i).alias("p"), F.col(at[a]).alias("a"), F.col(at[b]).alias("b")) for i, (a, b) in enumerate(pairs)])
+    return hashed.select(F.inline(cells)).groupBy("p", "a", "b").agg(X.rows().alias("n"))
 
 
 def _side(g: DataFrame, own: str, other: str, tag: str) -> DataFrame:

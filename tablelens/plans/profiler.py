@@ -10,6 +10,7 @@ error result.
 
 from __future__ import annotations
 
+import copy
 import math
 import threading
 import time
@@ -31,7 +32,7 @@ from tablelens.operators import nested as N
 from tablelens.operators import pairs as P
 from tablelens.operators.quantiles import BUILT_IN, exact_quantiles
 from tablelens.operators.regex_inference import infer_patterns
-from tablelens.operators.sampling import sample, should_sample
+from tablelens.operators.sampling import pair_sample_size, sample, should_sample
 from tablelens.plans.pairs import column_pairs, rule_takes
 from tablelens.plans.registry import Registry, analysis_depth
 from tablelens.plans.report import compile_report, plain
@@ -41,8 +42,8 @@ from tablelens.plans.types import ColumnAttributes, ProfilingConfig, ProfilingRe
 COLUMN_CHUNK, PAIR_CHUNK = 64, 32
 #: Rows (key, type) of a dictionary column in its result, which says if there are more.
 VALUE_TYPES = 1000
-#: Independent jobs that are submitted together.
-JOBS_AT_ONCE = 4
+#: Over a bounded sample the time goes into planning, which threads share: fewer columns and aggregates a job.
+SMALL_COLUMNS, SMALL_WIDTH, SMALL_PAIRS = 3, 48, 16
 
 _NESTED: dict[str, Callable[[DataFrame, str], DataFrame]] = {
     "array_length_analysis": N.array_lengths,
@@ -64,6 +65,8 @@ class Profiler:
         from tablelens.streaming.log import Logger
 
         self.config, self.registry, self.log = config or ProfilingConfig(), registry or Registry(), log or Logger()
+        #: The run reads a bounded sample.
+        self.small = False
 
     # -- jobs --------------------------------------------------------------------------------------------------------
 
@@ -84,22 +87,22 @@ class Profiler:
                 ))
             return out
 
-        return [a for part_ in self._together(df.sparkSession, [lambda names=names: part(names) for names in chunks(df.columns, COLUMN_CHUNK)]) for a in part_]
+        return [a for part_ in self._together(df.sparkSession, [lambda names=names: part(names) for names in chunks(df.columns, SMALL_COLUMNS if self.small else COLUMN_CHUNK)]) for a in part_]
 
     def _together(self, spark: SparkSession, tasks: list[Callable[[], Any]]) -> list[Any]:
         """Results of independent tasks, whose Spark jobs share the cluster; job groups are inherited."""
         if len(tasks) < 2:
             return [t() for t in tasks]
         inherit = inheritable_thread_target(spark)
-        with ThreadPoolExecutor(min(JOBS_AT_ONCE, len(tasks))) as pool:
+        with ThreadPoolExecutor(min(2 * self.config.max_workers if self.small else self.config.max_workers, len(tasks))) as pool:
             return [f.result() for f in [pool.submit(inherit(t)) for t in tasks]]
 
     def fused(self, df: DataFrame, wanted: list[tuple[Any, dict[str, Column]]]) -> dict[Any, dict | Exception]:
         """Values of many sets of aggregates, in chunks; a failing chunk is run set by set."""
         parts: list[list[tuple[Any, dict[str, Column]]]] = []
-        width = C.CHUNK
+        width = most = SMALL_WIDTH if self.small else C.CHUNK
         for item in wanted:
-            if width + len(item[1]) > C.CHUNK:
+            if width + len(item[1]) > most:
                 parts.append([])
                 width = 0
             parts[-1].append(item)
@@ -317,7 +320,18 @@ class Profiler:
 
     # -- pairs and the table -----------------------------------------------------------------------------------------
 
+    def _rows_of(self, rule: str, total: int) -> int:
+        """Rows that a pair rule looks at: all, unless pair sampling is switched on and the table is large."""
+        if not self.config.pair_sampling or total <= self.config.pair_sampling_threshold:
+            return total
+        return min(total, pair_sample_size(rule, self.config.sample_size))
+
+    def _sampled(self, df: DataFrame, rule: str, total: int) -> DataFrame:
+        n = self._rows_of(rule, total)
+        return df if n == total else sample(df, n, self.config.random_seed)
+
     def pair_results(self, df: DataFrame, attrs: list[ColumnAttributes]) -> list[RuleResult]:
+        total = attrs[0].total_count if attrs else 0
         by_name = {a.name: a for a in attrs}
         pairs = column_pairs(attrs, self.config.max_cross_column_pairs)
         rules = [r for r in self.registry.rules() if r.cross_column and r.enabled]
@@ -327,51 +341,68 @@ class Profiler:
         simple = lambda n: not isinstance(kinds[n], T.MapType | T.VariantType)
         pairs = [(a, b) for a, b in pairs if simple(a) and simple(b)]
         got: dict = {}
-        same = self.fused(df, [((a, b, "identicality"), P.identicality(X.col(a), X.col(b)) if kinds[a] == kinds[b] else _never()) for a, b in pairs])
-        got |= same
-        left = [(a, b) for a, b in pairs if not (isinstance(same[a, b, "identicality"], dict) and same[a, b, "identicality"]["identical"])]
+        # Equal columns have equal counts of values and nulls and the same mode: only such pairs are read row by row.
+        facts = {a.name: (kinds[a.name], a.unique_count, a.null_count, a.most_common_value, a.most_common_frequency) for a in attrs}
+        may = [x for x in pairs if facts[x[0]] == facts[x[1]]]
+        same = self.fused(self._sampled(df, "identicality", total), [((a, b, "identicality"), P.identicality(X.col(a), X.col(b))) for a, b in may])
+        differ = {"identical": False, "identical_without_nulls": False, "skip_other_checks": False, "status": "low"}
+        got |= {(a, b, "identicality"): dict(differ) for a, b in pairs} | same
+        left = [x for x in pairs if not (isinstance(got[*x, "identicality"], dict) and got[*x, "identicality"]["identical"])]
         takes = lambda r, a, b: rule_takes(r, by_name[a], by_name[b]) and (not self.config.strict_pair_types or _strict(r, by_name[a], by_name[b]))
         ids = {r.id for r in rules}
-        needs = []
-        for a, b in left:
-            needs += [((a, b, r), P.AGGREGATED[r](X.col(a), X.col(b))) for r in ("correlation", "missingness_relationships") if r in ids and takes(r, a, b)]
-            needs += [((a, b, r.id), self._custom(r, X.col(a), X.col(b))) for r in rules if r.function is not None]
-        got |= self.fused(df, needs)
+        whole = lambda n: by_name[n].null_count == 0
+        correlated = [((a, b, "correlation"), P.correlation(X.col(a), X.col(b), whole(a) and whole(b))) for a, b in left if "correlation" in ids and takes("correlation", a, b)]
+        missing = [((a, b, m), P.missingness(X.col(a), X.col(b))) for a, b in left if (m := "missingness_relationships") in ids and takes(m, a, b)]
+        custom = [((a, b, r.id), self._custom(r, X.col(a), X.col(b))) for a, b in left for r in rules if r.function is not None]
+        if self.config.pair_sampling and total > self.config.pair_sampling_threshold:
+            parts = [(self._sampled(df, "correlation", total), correlated), (self._sampled(df, "missingness_relationships", total), missing), (self._sampled(df, "custom", total), custom)]
+        else:
+            parts = [(df, correlated + missing + custom)]
+        for source, needs in parts:
+            got |= self.fused(source, needs)
         grouped = ("functional_dependency", "composite_uniqueness", "categorical_association_cramers_v")
 
         known = {a.name: (a.unique_count, a.total_count - a.null_count) for a in attrs}
 
-        def grouping(part: list[tuple[str, str]], only: tuple[str, ...] = grouped) -> dict:
+        def grouping(source: DataFrame, part: list[tuple[str, str]], only: tuple[str, ...]) -> dict:
             found: dict = {}
             failed: list[tuple[str, tuple[str, str]]] = []
-            g = P.pair_groups(df, part).persist()
+            g = P.pair_groups(source, part).persist()
             # Dependencies look at repetitive columns only, whose groups are few; the others need one pass each.
-            some = [i for i, x in enumerate(part) if takes("functional_dependency", *x)]
+            mine = {rule: [i for i, x in enumerate(part) if rule in ids and rule in only and takes(rule, *x)] for rule in grouped}
+            of = lambda rule: g if len(mine[rule]) == len(part) else g.where(F.col("p").isin(mine[rule]))
             tables = {
-                "functional_dependency": lambda: P.dependencies(P.pair_summary(g.where(F.col("p").isin(some))), part),
-                "composite_uniqueness": lambda: P.composites(P.pair_totals(g, part, known), part),
-                "categorical_association_cramers_v": lambda: P.associations(g, part),
+                "functional_dependency": lambda: P.dependencies(P.pair_summary(of("functional_dependency")), part),
+                "composite_uniqueness": lambda: P.composites(P.pair_totals(of("composite_uniqueness"), part, known), part),
+                "categorical_association_cramers_v": lambda: P.associations(of("categorical_association_cramers_v"), part),
             }
             try:
                 for rule, table in tables.items():
-                    mine = {(a, b) for a, b in part if rule in ids and rule in only and takes(rule, a, b)}
-                    rows = self._guard(df, lambda table=table: {"r": table().collect()}) if mine else {"r": []}
+                    wanted = {part[i] for i in mine[rule]}
+                    rows = self._guard(df, lambda table=table: {"r": table().collect()}) if wanted else {"r": []}
                     if isinstance(rows, Exception) and len(part) > 1:
-                        failed += [(rule, x) for x in part if x in mine]
+                        failed += [(rule, x) for x in part if x in wanted]
                     elif isinstance(rows, Exception):
-                        found |= {(a, b, rule): rows for a, b in mine}
+                        found |= {(a, b, rule): rows for a, b in wanted}
                     else:
-                        found |= {(r["column1"], r["column2"], rule): r.asDict() for r in rows["r"] if (r["column1"], r["column2"]) in mine}
+                        found |= {(r["column1"], r["column2"], rule): r.asDict() for r in rows["r"] if (r["column1"], r["column2"]) in wanted}
             finally:
                 g.unpersist()
             # Pair by pair, so that only those that fail alone are errors.
             for rule, x in failed:
-                found |= grouping([x], (rule,))
+                found |= grouping(source, [x], (rule,))
             return found
 
-        if ids & set(grouped):
-            for found in self._together(df.sparkSession, [lambda part=part: grouping(part) for part in chunks(left, PAIR_CHUNK)]):
-                got |= found
+        # Each grouping reads its rows once, so rules that look at the same rows share it.
+        by_rows: dict[int, list[str]] = {}
+        for rule in grouped:
+            by_rows.setdefault(self._rows_of(rule, total), []).append(rule)
+        parts = []
+        for same_rows in by_rows.values():
+            some = [x for x in left if any(rule in ids and takes(rule, *x) for rule in same_rows)]
+            parts += [(self._sampled(df, same_rows[0], total), part, tuple(same_rows)) for part in chunks(some, SMALL_PAIRS if self.small else PAIR_CHUNK)]
+        for found in self._together(df.sparkSession, [lambda x=x: grouping(*x) for x in parts]):
+            got |= found
         if self.config.enhanced_statistics:
             for a, b in left:
                 for rule, f in (("functional_dependency", P.functional_dependency_tested), ("categorical_association_cramers_v", P.cramers_v_tested)):
@@ -406,6 +437,10 @@ class Profiler:
         return RuleResult(rule.id, rule.name, status, points(status), value.get("message") or f"{rule.name}: {status}", details, category=rule.category, columns=columns)
 
     def profile(self, df: DataFrame, filename: str | None = None) -> ProfilingResult:
+        # What a run learns about its table stays with the run.
+        return copy.copy(self)._profile(df, filename)
+
+    def _profile(self, df: DataFrame, filename: str | None) -> ProfilingResult:
         began = time.time()
         self.log.set_stage("initialization")
         names = list(df.columns)
@@ -415,7 +450,7 @@ class Profiler:
         sampled = limit is not None and should_sample(total, limit)
         if sampled:
             # A bounded number of rows, read by every job.
-            df = sample(df, self.config.sample_size, self.config.random_seed).persist()
+            df, self.small = sample(df, self.config.sample_size, self.config.random_seed).persist(), True
         freq = Q.frequencies(df, names).persist() if names else None
         try:
             self.log.set_stage("analysis")
@@ -437,11 +472,6 @@ class Profiler:
         return compile_report(attrs, columns, crossed, whole, total, sampled, filename, time.time() - began, self.config)
 
 
-def _never() -> dict[str, Column]:
-    """Columns of different types are not identical."""
-    return {k: F.lit(False) for k in ("identical", "identical_without_nulls", "skip_other_checks")} | {"status": F.lit("low"), "rows": X.rows()}
-
-
 def _strict(rule: str, a: ColumnAttributes, b: ColumnAttributes) -> bool:
     """By option, association takes repetitive columns only."""
     repetitive = lambda x: x.diversity_level in ("binary", "low", "medium")

@@ -107,7 +107,8 @@ class RuleResult:
 class ProfilingConfig:
     """Settings of a run. ``sample_size`` rows are taken of tables above ``sampling_threshold``; None takes all rows.
 
-    ``timeout_seconds`` is for one try of one fused aggregation, grouping or nested check; None, the default, is no limit.
+    Up to ``max_workers`` independent jobs are submitted together. With ``pair_sampling`` each pair rule looks at a bounded number of rows (``operators.sampling.PAIR_SAMPLES``) of tables
+    above ``pair_sampling_threshold`` rows. ``timeout_seconds`` is for one try of one fused aggregation, grouping or nested check; None, the default, is no limit.
     """
 
     enable_cross_column: bool = True
@@ -121,6 +122,9 @@ class ProfilingConfig:
     strict_pair_types: bool = False
     null_as_text: bool = False
     literal_url: bool = False
+    max_workers: int = 4
+    pair_sampling: bool = False
+    pair_sampling_threshold: int = 50000
 
 
 @dataclass
