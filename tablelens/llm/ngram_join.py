@@ -2,18 +2,21 @@
 
 A document is the set of its distinct shingles. Shingles are hashed into groups, and the counts by group are the
 document's point. The summed minima of two points' coordinates are an upper bound of the overlap of their sets, and of
-a point and a node's largest coordinates one for all below the node, so an R-tree over the points leaves few pairs,
-which are then verified on the sets themselves.
-
-Points of texts differ little in any one coordinate, so that a tree over all documents would have to visit nearly all
-nodes of a length band. Documents are therefore first put into blocks: those that share a min-hash key of ``ROWS``
-values, one of ``KEYS``, are in one block, with all that are linked to them so. Sets of Jaccard similarity 0.75 share
-none with probability (1 - 0.75^4)^64, below 3 in 10^11, and more similar ones with less. Every pair of a block is then
-settled by the tree and exact verification; there are no caps.
-
-Equal sets are one class before anything else. A block of more than ``BLOCK_SHINGLES`` shingles is cut into parts, and
-each pair of parts is a task. A task leaves out pairs that are already connected, so a group of copies costs about one
-verification a copy, and returns the edges of a spanning forest, not the pairs.
+a point and a node's largest coordinates one for all below the node. Pairs whose bound can reach the threshold are
+verified on the sets themselves.
+
+Which documents share an R-tree follows from an exact prefix filter. In one order of all shingles, rare ones first, two
+sets of Jaccard similarity t share one of the first n - ceil(t n) + 1 shingles of each. So every such shingle has a tree
+over the documents that have it among their first, and every link is a pair of some tree: none is missed. The order puts
+the shingles that :func:`common_shingles` finds last; any order gives the same result, and this one keeps passages that
+many documents share from making large trees.
+
+1. Equal sets are one class before anything else.
+2. In each tree the smallest set is paired with all others; these pairs, each once, are bounded, verified, and joined to
+   components. A group of copies is settled here at about one verification a copy.
+3. Trees whose members are not all connected by then are searched: pairs of different components whose bound reaches the
+   threshold, each once, are verified as well. Trees of more than ``PART`` members are cut into parts, and each pair of
+   parts is a task of its own, which compares only across; trees of one leaf go pair by pair.
 
 Nulls: a null or empty text, or one of white space, has the empty set and is linked with nothing. A null id is kept; a
 component of null ids alone has a null component_id. Repeated rows and ids are classes by their sets. Empty tables give
@@ -22,7 +25,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,13 @@ from tablelens.llm.graph import components
 WIDTH = 5
 #: Jaccard similarity NUM / DEN or more is a link.
 NUM, DEN = 75, 100
-ROWS, KEYS = 4, 64
-BLOCK_SHINGLES = 2_000_000
-LEAF = 32
+#: Shingles counted at once in search of common ones, the least count of one, and the most that are kept (the broadcast
+#: is of 16 bytes each). They only order the prefix.
+COUNTED, COMMON_LEAST, COMMON_MOST = 1 << 20, 8, 1 << 19
+#: A shingle of more documents is dealt to several partitions.
+SPLIT = 50_000
+#: Shingles of the sets that a verifying task holds, members of a tree's part, and of a leaf.
+BLOCK_SHINGLES, PART, LEAF = 2_000_000, 1024, 32
 _CACHE_WORDS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,52 +88,116 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(_finish(acc))
 
 
-def _salts(n: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240229)
-    return rng.integers(1, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
-
-
-def block_keys(s: np.ndarray, rows: int = ROWS, keys: int = KEYS) -> np.ndarray:
-    """``keys`` min-hash keys of ``rows`` values each; the key's number is part of it."""
-    a, b = _salts(rows * keys)
-    base = (s >> np.uint64(32)).astype(np.uint32)
-    low = s.astype(np.uint32)
-    least = np.empty(rows * keys, np.uint32)
-    step = max(1, (1 << 20) // max(1, len(s)))
-    for k in range(0, rows * keys, step):
-        m = base[None, :] * a[k : k + step, None]
-        m ^= m >> np.uint32(15)
-        m += low[None, :] ^ b[k : k + step, None]
-        m *= np.uint32(0x2C1B3C6D)
-        least[k : k + step] = m.min(1)
-    acc = np.arange(keys, dtype=np.uint64)
-    for col in least.reshape(keys, rows).T:
-        acc = _finish(acc * _MIX + col.astype(np.uint64) + np.uint64(1))
-    return acc.view(np.int64)
-
-
-def sets_of(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id, n (set size), cls (digest of the set) and keys of every document; by option the digest of its text."""
+def _runs(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[np.ndarray]:
+    """Shingles of many texts together, in runs of about ``COUNTED``."""
+    held, size = [], 0
+    for b in batches:
+        for t in map(pa.StringScalar.as_py, b.column(column)):
+            held.append(shingles(t))
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if size:
+        yield np.concatenate(held)
+
+
+def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts share, sorted, and about how many texts: at most ``COMMON_MOST`` of them.
+
+    Counts are summed over all texts; a shingle is left out of a run's count if the run has it once.
+    """
+
+    def run(batches):
+        for x in _runs(batches, 0):
+            keys, n = np.unique(x, return_counts=True)
+            some = n > 1
+            yield pa.record_batch({"k": pa.array(keys[some].view(np.int64)), "n": pa.array(n[some], pa.int64())})
+        _WORDS.clear()
+        release()
+
+    counts = only(docs, text).select(F.col(text).cast("string").alias("text")).mapInArrow(run, "k long, n long")
+    counts = materialise(counts.groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST), "common")
+    # One row for each power of two.
+    by_size = {r["b"]: r["c"] for r in counts.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    least, total = 1 << 62, 0
+    for b in sorted(by_size, reverse=True):
+        total += by_size[b]
+        if total > COMMON_MOST:
+            break
+        least = 1 << b
+    got = counts.where(F.col("n") >= least).toArrow()
+    keys, n = got["k"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a set that come first in the order of (count as a common shingle, hash), as the bound asks for."""
+    n = len(s) - -(-len(s) * NUM // DEN) + 1
+    if not len(common):
+        return s[:n]
+    at = np.searchsorted(common, s)
+    at[at == len(common)] = 0
+    c = np.where(common[at] == s, counts[at], 0)
+    return s[np.argsort(c, kind="stable")[:n]] if c.any() else s[:n]
+
+
+def point(s: np.ndarray) -> bytes:
+    """Counts of the shingles by group; larger sets have more groups, always a power of two, and as wide numbers as it takes."""
+    groups = min(8192, max(32, 1 << (len(s) // 2).bit_length()))
+    c = np.bincount((s >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups)
+    kind = "<u1" if c.max(initial=0) < 1 << 8 else "<u2" if c.max() < 1 << 16 else "<u4"
+    return bytes([int(kind[2])]) + c.astype(kind).tobytes()
+
+
+def counts_of(p: bytes, groups: int | None = None) -> np.ndarray:
+    """The counts of a point, by option in as few groups as another point has."""
+    c = np.frombuffer(p, f"<u{p[0]}", offset=1)
+    return c if groups is None or groups == len(c) else c.reshape(-1, groups).sum(0, dtype=np.int64)
+
+
+def may_link(p: bytes, n: int, q: bytes, m: int) -> bool:
+    """Whether sets of sizes n and m with these points can have the wanted similarity."""
+    if n * DEN < m * NUM or m * DEN < n * NUM:
+        return False
+    a, b = counts_of(p), counts_of(q)
+    if len(a) != len(b):
+        groups = min(len(a), len(b))
+        a, b = counts_of(p, groups), counts_of(q, groups)
+    return int(np.minimum(a, b).sum(dtype=np.int64)) * (NUM + DEN) >= NUM * (n + m)
+
+
+def sets_of(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, mark (a hash of the text), n (set size), cls (digest of the set), keys (the prefix) and point of every document.
+
+    By option also the digest of the text.
+    """
     more = ["digest"] if digest else []
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
+        known, counts = shared.value
         for b in batches:
-            n, cls, keys = [], [], []
+            n, cls, keys, points = [], [], [], []
             for t in map(pa.StringScalar.as_py, b.column(1)):
                 s = shingles(t)
                 n.append(len(s))
-                cls.append(xxhash.xxh3_128_hexdigest(s.tobytes()))
-                keys.append(block_keys(s) if len(s) else None)
+                cls.append(xxhash.xxh3_128_digest(s.tobytes()))
+                keys.append(prefix(s, known, counts).view(np.int64) if len(s) else None)
+                points.append(point(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.string()), pa.array(keys, pa.list_(pa.int64())), *b.columns[2:]], names=["doc_id", "n", "cls", "keys", *more]
+                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary()), *b.columns[3:]],
+                names=["doc_id", "mark", "n", "cls", "keys", "point", *more],
             )
         _WORDS.clear()
         release()
 
     d = only(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    d = d.withColumn("mark", F.xxhash64("text"))
     if digest:
         d = d.withColumn("digest", F.md5("text"))
-    return d.mapInArrow(run, ", ".join(["doc_id long, n long, cls string, keys array<long>", *(f"{x} string" for x in more)]))
+    return d.mapInArrow(run, ", ".join(["doc_id long, mark long, n long, cls binary, keys array<long>, point binary", *(f"{x} string" for x in more)]))
 
 
 class Tree:
@@ -142,7 +213,7 @@ class Tree:
             self.levels.append((top, lo, hi))
 
     def near(self, i: int, end: int) -> np.ndarray:
-        """Places below ``end`` whose set may have the wanted similarity with that of place ``i``, best bound last."""
+        """Places below ``end`` whose set may have the wanted similarity with that of place ``i``."""
         p, n = self.points[i], int(self.sizes[i])
         at = None
         for top, lo, hi in reversed(self.levels):
@@ -156,9 +227,7 @@ class Tree:
         at = at[at < end]
         at = at[(self.sizes[at] * DEN >= n * NUM) & (self.sizes[at] * NUM <= n * DEN)]
         bound = np.minimum(self.points[at], p).sum(1, dtype=np.int64)
-        ok = bound * (NUM + DEN) >= NUM * (n + self.sizes[at])
-        at, bound = at[ok], bound[ok]
-        return at[np.argsort(bound / (n + self.sizes[at]), kind="stable")]
+        return at[bound * (NUM + DEN) >= NUM * (n + self.sizes[at])]
 
 
 def _children(at: np.ndarray, n: int) -> np.ndarray:
@@ -174,79 +243,185 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * DEN >= NUM * (len(a) + len(b) - both)
 
 
-def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the link graph over ``sets``: every link is between connected sets."""
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    sizes = np.array([len(sets[i]) for i in order], np.int64)
-    if not len(sizes):
-        return []
-    # Enough groups that sets of different shingles differ in counts, few enough that points stay small beside sets.
-    groups = int(min(1024, max(16, 1 << int(math.log2(max(1.0, float(np.median(sizes)) / 4)) + 0.5))))
-    points = np.zeros((len(sizes), groups), np.uint16)
-    for r, i in enumerate(order):
-        points[r] = np.minimum(np.bincount((sets[i] >> np.uint64(7)).astype(np.int64) % groups, minlength=groups), 65535)
-    tree = Tree(points, sizes)
-    boss = np.arange(len(sizes))
-    members: dict[int, list[int]] = {i: [i] for i in range(len(sizes))}
-    edges = []
-    for r in range(1, len(sizes)):
-        near = tree.near(r, r)
-        while len(near):
-            near = near[boss[near] != boss[r]]
-            if not len(near):
-                break
-            j, near = int(near[-1]), near[:-1]
-            if similar(sets[order[r]], sets[order[j]]):
-                edges.append((order[r], order[j]))
-                a, b = int(boss[r]), int(boss[j])
-                if len(members[a]) > len(members[b]):
-                    a, b = b, a
-                boss[members[a]] = b
-                members[b] += members.pop(a)
-    return edges
-
-
-def links(docs: DataFrame, sets: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Edges (a, b) between classes: a spanning forest of all links between different sets."""
-    reps = sets.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = reps.select("cls", F.explode("keys").alias("k"))
-    # One smallest class stands for each key; every other class of the key is joined to it.
-    heads = keyed.groupBy("k").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = keyed.join(heads.select("k", "head"), "k").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
-    blocks = materialise(components(stars.distinct(), "blocks"), "blocks")
-    totals = blocks.join(reps.select(F.col("cls").alias("v"), "n"), "v").groupBy("c").agg(F.sum("n").alias("total"))
-    # Only blocks of several parts are joined back, so that no common block gathers its rows anywhere.
-    large = totals.where(F.col("total") > BLOCK_SHINGLES).select("c", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("parts"))
-    large = materialise(large, "large-blocks")
-    parts = F.coalesce("parts", F.lit(1))
-    placed = blocks.join(large, "c", "left")
-    placed = materialise(placed.select("v", "c", parts.alias("parts"), F.pmod(F.xxhash64("v"), parts).cast("int").alias("part")), "placed")
-    # A text of each class: that of the smallest id, looked up by id. Copies are summed up before any join.
-    chosen = reps.select("cls", "doc_id").join(placed.select(F.col("v").alias("cls")), "cls", "left_semi")
-    texts = only(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    c, t = chosen.alias("c"), texts.alias("t")
-    bodies = t.join(c, F.expr("t.doc_id <=> c.doc_id")).select("c.cls", "t.text")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j")))
-    tasks = placed.join(bodies, placed["v"] == bodies["cls"]).select("c", F.explode(pairs).alias("ij"), "v", "text")
+def tree_pairs(points: list[bytes], sizes: np.ndarray, comps: list, parts: np.ndarray, across: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of different components whose bound reaches the threshold; ``across`` leaves out pairs of one part."""
+    order = np.argsort(sizes, kind="stable")
+    groups = np.array([(len(points[i]) - 1) // points[i][0] for i in order])
+    names = {c: k for k, c in enumerate(dict.fromkeys(comps))}
+    comp = np.array([names[comps[i]] for i in order])
+    # Points of one tree have equal groups. Sets that can be linked have as many groups, or one has twice as many.
+    for g in np.unique(groups):
+        mine = np.flatnonzero((groups == g) | (groups == 2 * g))
+        tree = Tree(np.stack([counts_of(points[order[i]], int(g)) for i in mine]).astype(np.int64), sizes[order[mine]])
+        own, c, part = groups[mine] == g, comp[mine], parts[order[mine]]
+        for r in range(1, len(mine)):
+            near = tree.near(r, r)
+            near = near[(c[near] != c[r]) & (own[near] | own[r])]
+            if across:
+                near = near[part[near] != part[r]]
+            for j in near:
+                yield int(order[mine[j]]), int(order[mine[r]])
+
+
+def _ordered(rows: DataFrame, by: str) -> DataFrame:
+    return rows.repartition(by).sortWithinPartitions(by, "n", "cls")
+
+
+def _stars(rows: DataFrame, split: dict[int, int]) -> DataFrame:
+    """(k, n, cls, m, head) of every row (k, n, cls) whose k has several: head, of size m, is the first of the k.
+
+    ``split`` names the k that stand for a part of another one; the first row of each such part comes with the other k and
+    without a head.
+    """
+    kinds = "k long, n long, cls binary, m long, head binary"
+
+    def run(batches):
+        last = None
+        for b in batches:
+            k, n, cls = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            if last is not None:
+                k, n = np.concatenate([[last[0]], k]), np.concatenate([[last[1]], n])
+                cls = pa.concat_arrays([pa.array([last[2]], pa.binary()), cls.cast(pa.binary())])
+            start = np.diff(k, prepend=k[0] - 1) != 0
+            place = np.arange(len(k))
+            first = np.maximum.accumulate(np.where(start, place, 0))
+            # A head is sent with its first follower, so once; the row that is carried over may have been sent before.
+            followed = np.zeros(len(k), bool)
+            followed[first[~start]] = True
+            out = np.flatnonzero(~start | (followed & ~((place == 0) & (last is not None and last[3]))))
+            of = np.array([split.get(x, x) for x in k[out].tolist()], np.int64) if split else k[out]
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(n[out]), cls.take(pa.array(out)), pa.array(n[first[out]]), cls.take(pa.array(first[out]))], names=["k", "n", "cls", "m", "head"])
+            if split:
+                new = np.flatnonzero(start & ~((place == 0) & (last is not None)))
+                new = new[[x in split for x in k[new].tolist()]]
+                none = pa.nulls(len(new))
+                yield pa.RecordBatch.from_arrays([pa.array([split[x] for x in k[new].tolist()], pa.int64()), pa.array(n[new]), cls.take(pa.array(new)), none.cast(pa.int64()), none.cast(pa.binary())], names=["k", "n", "cls", "m", "head"])
+            i = int(first[-1])
+            last = (int(k[i]), int(n[i]), cls[i].as_py(), bool(followed[i]) or (i == 0 and last is not None and last[3]))
+
+    return _ordered(rows.select("k", "n", "cls"), "k").mapInArrow(run, kinds)
+
+
+def shared_rows(reps: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The stars of all prefix shingles, k, n, cls, m and head, written. Shingles of very many documents are dealt in parts first."""
+    keyed = reps.select(F.explode("keys").alias("k"), "n", "cls")
+    large = common[1] > SPLIT
+    parts = {int(k): int(c // SPLIT + 1) for k, c in zip(common[0][large].view(np.int64), common[1][large], strict=True)}
+    split: dict[int, int] = {}
+    if parts:
+        names = {k: [xxhash.xxh3_64_intdigest(f"{k}:{i}") - (1 << 63) for i in range(n)] for k, n in parts.items()}
+        split = {x: k for k, of in names.items() for x in of}
+        cells = [x for k, of in names.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in of]))]
+        of = F.element_at(F.create_map(*cells), F.col("k"))
+        keyed = keyed.select(F.coalesce(F.get(of, F.pmod(F.xxhash64("cls"), F.size(of)).cast("int")), F.col("k")).alias("k"), "n", "cls")
+    stars = materialise(_stars(keyed, split), "stars")
+    if not split:
+        return stars
+    return materialise(stars.where("head is not null").unionByName(_stars(stars.where("head is null"), {})), "stars")
+
+
+def bounded(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, m, b, n) whose points can reach the threshold."""
+
+    def run(batches):
+        for b in batches:
+            m, n = b.column(1).to_pylist(), b.column(3).to_pylist()
+            ok = [may_link(p.as_py(), x, q.as_py(), y) for p, x, q, y in zip(b.column(4), m, b.column(5), n, strict=True)]
+            yield pa.RecordBatch.from_arrays(b.columns[:4], names=["a", "m", "b", "n"]).filter(pa.array(ok, pa.bool_()))
+
+    p, q = reps.select(F.col("cls").alias("a"), F.col("point").alias("p")), reps.select(F.col("cls").alias("b"), F.col("point").alias("q"))
+    return pairs.join(p, "a").join(q, "b").select("a", "m", "b", "n", "p", "q").mapInArrow(run, "a binary, m long, b binary, n long")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The pairs (a, b) whose sets have the wanted similarity, written. A task holds the set of one a and some of its b."""
+    pairs = materialise(pairs, "candidates")
+    load = pairs.groupBy("a").agg(F.sum("n").alias("s")).where(F.col("s") > BLOCK_SHINGLES).select("a", F.ceil(F.col("s") / BLOCK_SHINGLES).cast("int").alias("chunks"))
+    load = materialise(load, "large-stars")
+    placed = pairs.join(load, "a", "left").select("a", F.pmod(F.xxhash64("b"), F.coalesce("chunks", F.lit(1))).cast("int").alias("chunk"), "b")
+    placed = materialise(placed, "placed")
+    wanted = placed.select("a", "chunk", F.col("b").alias("cls")).unionByName(placed.select("a", "chunk", F.col("a").alias("cls")).distinct())
+    # A text of each class: that of its first row, found by id and hash. Copies of a row are equal in both and count once.
+    chosen = reps.select("cls", "row").join(placed.select(F.col("a").alias("cls")).unionByName(placed.select(F.col("b").alias("cls"))).distinct(), "cls", "left_semi").alias("c")
+    t = only(docs, key, text).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("mark", F.xxhash64("text")).alias("t")
+    bodies = t.join(chosen, F.expr("t.doc_id <=> c.row.doc_id and t.mark = c.row.mark")).select("c.cls", "t.text").dropDuplicates(["cls"])
+    tasks = wanted.join(bodies, "cls").select("a", "chunk", "cls", "text")
 
     def run(table: pa.Table) -> pa.Table:
-        names, found, seen = table["v"].to_pylist(), [], {}
-        for name, body in zip(names, table["text"], strict=True):
-            s = shingles(body.as_py())
-            # An id that repeats brings texts of other classes along: only the class's own text counts.
-            if name not in seen and xxhash.xxh3_128_hexdigest(s.tobytes()) == name:
-                seen[name] = s
-        names, found = list(seen), list(seen.values())
-        edges = forest(found)
-        return pa.table({"a": pa.array([names[i] for i, _ in edges], pa.string()), "b": pa.array([names[j] for _, j in edges], pa.string())})
+        lead, found = table["a"][0].as_py(), []
+        sets = {c.as_py(): shingles(x.as_py()) for c, x in zip(table["cls"], table["text"], strict=True)}
+        found = [c for c, s in sets.items() if c != lead and similar(sets[lead], s)]
+        return pa.table({"a": pa.array([lead] * len(found), pa.binary()), "b": pa.array(found, pa.binary())})
 
-    return tasks.groupBy("c", "ij").applyInArrow(run, "a string, b string")
+    return materialise(tasks.groupBy("a", "chunk").applyInArrow(run, "a binary, b binary"), "links")
 
 
-def _named(docs: DataFrame, sets: DataFrame, row: Column, key: str, text: str) -> DataFrame:
+def _leaf_pairs(rows: DataFrame) -> DataFrame:
+    """(a, m, b, n) of every pair of different components in trees of one leaf, rows (k, n, cls, c)."""
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if held is not None:
+                b = pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(held.columns, b.columns, strict=True)], schema=b.schema)
+            k, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cls, comp = np.array(b.column(2).to_pylist(), object), np.array(b.column(3).to_pylist(), object)
+            for d in range(1, min(LEAF, len(k))):
+                at = np.flatnonzero((k[d:] == k[:-d]) & (n[:-d] * DEN >= n[d:] * NUM) & (comp[d:] != comp[:-d]))
+                if len(at):
+                    yield pa.record_batch({"a": pa.array(cls[at], pa.binary()), "m": pa.array(n[at]), "b": pa.array(cls[at + d], pa.binary()), "n": pa.array(n[at + d])})
+            # The last tree may go on in the next batch.
+            held = b.slice(int(np.flatnonzero(k == k[-1])[0])) if len(k) else None
+
+    return _ordered(rows.select("k", "n", "cls", "c"), "k").mapInArrow(run, "a binary, m long, b binary, n long")
+
+
+def _tree_tasks(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, m, b, n) that the R-trees of more than a leaf give, rows (k, n, cls, c, size)."""
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    rows = rows.select("k", "n", "cls", "c", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    to = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least(p, F.col("part")).alias("i"), F.greatest(p, F.col("part")).alias("j")))
+    rows = rows.join(reps.select("cls", "point"), "cls").select("k", F.explode(to).alias("ij"), "cls", "n", "c", "part", "point")
+
+    def run(table: pa.Table) -> pa.Table:
+        cls = table["cls"].to_pylist()
+        at = list({c: i for i, c in enumerate(cls)}.values())
+        table = table.take(pa.array(at))
+        cls, sizes = table["cls"].to_pylist(), table["n"].to_numpy()
+        ij = table["ij"][0].as_py()
+        found = list(tree_pairs(table["point"].to_pylist(), sizes, table["c"].to_pylist(), table["part"].to_numpy(), ij["i"] != ij["j"]))
+        a, b = [i for i, _ in found], [j for _, j in found]
+        return pa.table({"a": pa.array([cls[i] for i in a], pa.binary()), "m": pa.array(sizes[a], pa.int64()), "b": pa.array([cls[j] for j in b], pa.binary()), "n": pa.array(sizes[b], pa.int64())})
+
+    return rows.groupBy("k", "ij").applyInArrow(run, "a binary, m long, b binary, n long")
+
+
+def links(docs: DataFrame, sets: DataFrame, common: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(v, c): the component of every class that is linked with another."""
+    first = F.min(F.struct("doc_id", "mark")).alias("row")
+    reps = materialise(sets.where("n > 0").groupBy("cls").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point")), "classes")
+    shared = shared_rows(reps, common)
+    stars = shared.where("cls <> head").select(F.col("head").alias("a"), "m", F.col("cls").alias("b"), "n").where(F.col("m") * DEN >= F.col("n") * NUM).distinct()
+    edges = verified(bounded(stars, reps), reps, docs, key, text)
+    comp = materialise(components(edges, "linked"), "components")
+    named = shared.join(comp, F.expr("cls = v"), "left").select("k", "n", "cls", F.coalesce("c", "cls").alias("c"))
+    named = materialise(named, "members")
+    mixed = named.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k", "size")
+    open_ = materialise(named.join(mixed, "k"), "open")
+    small, large = open_.where(F.col("size") <= LEAF), open_.where(F.col("size") > LEAF)
+    # Set sizes and classes order both ends of a pair alike everywhere, so that each pair comes once.
+    rest = _leaf_pairs(small).unionByName(_tree_tasks(large, reps))
+    x, y = (F.struct(F.col(size).alias("m"), F.col(name).alias("a")) for size, name in (("m", "a"), ("n", "b")))
+    rest = rest.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct().select(F.col("x.a").alias("a"), F.col("x.m").alias("m"), F.col("y.a").alias("b"), F.col("y.m").alias("n"))
+    more = verified(bounded(rest, reps), reps, docs, key, text)
+    if more.isEmpty():
+        return comp
+    return materialise(components(comp.select(F.col("v").alias("a"), F.col("c").alias("b")).unionByName(more), "linked"), "components")
+
+
+def _named(docs: DataFrame, sets: DataFrame, common: tuple[np.ndarray, np.ndarray], row: Column, key: str, text: str) -> DataFrame:
     """cls, least (the smallest ``row`` of the class) and comp (the key of its component) of every class but the empty set."""
-    edges = materialise(links(docs, sets, key, text), "links")
-    comp = components(edges, "linked").alias("c")
+    comp = links(docs, sets, common, key, text).alias("c")
     classes = sets.where("n > 0").groupBy("cls").agg(F.min(row).alias("least")).alias("k")
     named = classes.join(comp, F.expr("k.cls = c.v"), "left").select("k.cls", "k.least", F.coalesce("c.c", "k.cls").alias("comp"))
     return materialise(named, "named")
@@ -254,8 +429,9 @@ def _named(docs: DataFrame, sets: DataFrame, row: Column, key: str, text: str) -
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id that links reach, of every document."""
-    sets = materialise(sets_of(docs, key, text), "sets")
-    named = _named(docs, sets, F.col("doc_id"), key, text)
+    common = common_shingles(docs, text)
+    sets = materialise(sets_of(docs, common, key, text), "sets")
+    named = _named(docs, sets, common, F.col("doc_id"), key, text)
     lead = materialise(named.groupBy("comp").agg(F.min("least").alias("component_id")), "leads")
     # Written, so that the last join can split a class that most rows share.
     final = materialise(named.join(lead, "comp").select("cls", "component_id"), "classes").alias("f")
@@ -270,9 +446,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are chosen by their component, so null ids and ids that repeat in several groups count as any other. Rows that
     have the empty set are linked with nothing and all stay; of rows equal in id and text one stays.
     """
-    sets = materialise(sets_of(docs, digest=True), "sets")
+    common = common_shingles(docs)
+    sets = materialise(sets_of(docs, common, digest=True), "sets")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
-    least = _named(docs, sets, row, "doc_id", "text").groupBy("comp").agg(F.min("least").alias("r"))
+    least = _named(docs, sets, common, row, "doc_id", "text").groupBy("comp").agg(F.min("least").alias("r"))
     kept = least.select(F.col("r.doc_id").alias("__kept_id"), F.col("r.digest").alias("__kept_digest"))
     text = docs["text"].cast("string")
     # The white space at which shingles() cuts; a text of nothing else has the empty set.

@@ -1,6 +1,7 @@
 """Operators on documents against plain models: sharding, fingerprints, mixing, language, BPE, n-gram join, pipeline."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -295,17 +296,24 @@ def test_ngram_join(docs, rows):
     assert len(set(comp.values())) < len(comp) - 8
 
 
-def test_ngram_join_parts(spark, monkeypatch):
-    """A large group cut into parts, pair by pair, gives the same components."""
-    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 500)
+def test_ngram_join_of_large_groups(spark, monkeypatch):
+    """Trees cut into parts, stars into chunks and common shingles into several give the components of all pairs."""
+    for name, value in (("BLOCK_SHINGLES", 500), ("PART", 8), ("LEAF", 4), ("SPLIT", 10), ("COMMON_LEAST", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(7)
     base = [f"t{i}" for i in range(100)]
-    rows = []
+    texts = []
     for i in range(60):
         w = list(base)
         w[i] = f"edit{i}"
-        rows.append((i, " ".join(w), "en", "a", 0))
-    got = ngram_join.join(H.documents(spark, rows)).collect()
-    assert {r["component_id"] for r in got} == {0}
+        texts.append(" ".join(w))
+    # One passage in texts of their own, and chains of which only neighbours are linked.
+    texts += [" ".join(base[:40] + [f"own{i}x{j}" for j in range(rng.randrange(8, 40))]) for i in range(60)]
+    chain = [f"c{i}" for i in range(150)]
+    texts += [" ".join(base[:20] + chain[i : i + 60]) for i in range(0, 90, 5)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(H.documents(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])).collect()}
+    want = H.components({i: H.shingle_set(t) for i, t in enumerate(texts)})
+    assert got == want and 5 < len(set(want.values())) < 80
 
 
 def test_ngram_join_of_awkward_tables(spark):
@@ -337,29 +345,54 @@ def test_keep_one_of_null_and_repeated_ids(spark):
     assert ngram_join.keep_one(H.documents(spark, [])).count() == 0
 
 
-def test_forest_against_all_pairs():
-    rng = np.random.default_rng(4)
+def random_sets(rng, families=40):
     sets = []
-    for _ in range(40):
-        base = np.unique(rng.integers(0, 1 << 63, rng.integers(5, 300), dtype=np.uint64))
+    for _ in range(families):
+        base = np.unique(rng.integers(0, 1 << 63, rng.integers(5, 600), dtype=np.uint64))
         sets.append(base)
         for _ in range(rng.integers(0, 6)):
             keep = base[rng.random(len(base)) > rng.choice([0.02, 0.1, 0.2])]
             sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, len(base) // 12 + 1, dtype=np.uint64)])))
-    want = H.components({i: set(s.tolist()) for i, s in enumerate(sets)})
-    boss = {i: i for i in range(len(sets))}
+    return sets
 
-    def find(a):
-        while boss[a] != a:
-            a = boss[a]
-        return a
 
-    edges = ngram_join.forest(sets)
-    for a, b in edges:
-        assert ngram_join.similar(sets[a], sets[b])
-        boss[max(find(a), find(b))] = min(find(a), find(b))
-    assert {i: find(i) for i in boss} == want
-    assert len(edges) == len(sets) - len(set(want.values()))
+def linked_pairs(sets):
+    of = [set(x.tolist()) for x in sets]
+    return {(i, j) for j in range(len(of)) for i in range(j) if 100 * len(of[i] & of[j]) >= 75 * len(of[i] | of[j])}
+
+
+def test_linked_sets_share_a_prefix_shingle_in_any_order():
+    rng = np.random.default_rng(4)
+    sets = random_sets(rng)
+    links = linked_pairs(sets)
+    every = np.unique(np.concatenate(sets))
+    for share in (0.0, 0.3, 1.0):
+        common = every[rng.random(len(every)) < share]
+        first = [set(ngram_join.prefix(x, common, rng.integers(8, 100, len(common))).tolist()) for x in sets] if share == 0 else None
+        counts = rng.integers(8, 100, len(common))
+        first = first or [set(ngram_join.prefix(x, common, counts).tolist()) for x in sets]
+        assert len(links) > 50 and all(first[i] & first[j] for i, j in links)
+
+
+def test_trees_lose_no_link():
+    rng = np.random.default_rng(5)
+    sets = random_sets(rng)
+    links = linked_pairs(sets)
+    points, sizes = [ngram_join.point(x) for x in sets], np.array([len(x) for x in sets])
+    assert all(ngram_join.may_link(points[i], sizes[i], points[j], sizes[j]) for i, j in links)
+    parts = np.arange(len(sets)) % 2
+    found = {tuple(sorted(x)) for x in ngram_join.tree_pairs(points, sizes, list(range(len(sets))), parts, False)}
+    assert links <= found and len(found) < len(sets) ** 2 / 8
+    across = {tuple(sorted(x)) for x in ngram_join.tree_pairs(points, sizes, list(range(len(sets))), parts, True)}
+    assert across == {(i, j) for i, j in found if parts[i] != parts[j]}
+    comp = H.components({i: set(x.tolist()) for i, x in enumerate(sets)})
+    assert not links & {tuple(sorted(x)) for x in ngram_join.tree_pairs(points, sizes, [comp[i] for i in range(len(sets))], parts, False)}
+
+
+def test_points_of_large_counts():
+    many = np.arange(40_000_000 // 100, dtype=np.uint64) << np.uint64(20)
+    p = ngram_join.point(many)
+    assert p[0] == 4 and ngram_join.counts_of(p).sum() == len(many) and ngram_join.counts_of(p, 64).sum() == len(many)
 
 
 # -- the pipeline ----------------------------------------------------------------------------------------------------
