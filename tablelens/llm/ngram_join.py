@@ -7,16 +7,20 @@ verified on the sets themselves.
 
 Which documents share an R-tree follows from an exact prefix filter. In one order of all shingles, rare ones first, two
 sets of Jaccard similarity t share one of the first n - ceil(t n) + 1 shingles of each. So every such shingle has a tree
-over the documents that have it among their first, and every link is a pair of some tree: none is missed. The order puts
+over the documents that have it among their first (shingles of about the same documents have one together), and every
+link is a pair of some tree: none is missed. The order puts
 the shingles that :func:`common_shingles` finds last; any order gives the same result, and this one keeps passages that
 many documents share from making large trees.
 
 1. Equal sets are one class before anything else.
-2. In each tree the smallest set is paired with all others; these pairs, each once, are bounded, verified, and joined to
+2. In each tree the set with the fewest shingles of its own is paired with all others; these pairs, each once, are bounded, verified, and joined to
    components. A group of copies is settled here at about one verification a copy.
-3. Trees whose members are not all connected by then are searched: pairs of different components whose bound reaches the
-   threshold, each once, are verified as well. Trees of more than ``PART`` members are cut into parts, and each pair of
-   parts is a task of its own, which compares only across; trees of one leaf go pair by pair.
+3. Trees whose members are not all connected by then are searched. Each member of a tree of more than one leaf offers
+   the ``BEST`` members of other components with the highest bounds; trees of one leaf go pair by pair. The pairs, each
+   once, are verified and joined to components.
+4. In trees that are still not connected every pair of different components whose bound reaches the threshold is
+   verified. A tree of more than ``PART`` members is cut into parts, and each pair of parts is a task that compares only
+   across. So steps 2 and 3 only save work: no pair that can be a link is left out.
 
 Nulls: a null or empty text, or one of white space, has the empty set and is linked with nothing. A null id is kept; a
 component of null ids alone has a null component_id. Repeated rows and ids are classes by their sets. Empty tables give
@@ -44,6 +48,8 @@ NUM, DEN = 75, 100
 COUNTED, COMMON_LEAST, COMMON_MOST = 1 << 20, 8, 1 << 19
 #: A shingle of more documents is dealt to several partitions.
 SPLIT = 50_000
+#: Pairs that a member of a large tree offers before all that are left are tried.
+BEST = 2
 #: Shingles of the sets that a verifying task holds, members of a tree's part, and of a leaf.
 BLOCK_SHINGLES, PART, LEAF = 2_000_000, 1024, 32
 _CACHE_WORDS = 200_000
@@ -132,20 +138,23 @@ def common_shingles(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np
     return keys[order], n[order]
 
 
-def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of a set that come first in the order of (count as a common shingle, hash), as the bound asks for."""
+def prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The shingles of a set that come first in the order of (count as a common shingle, hash), as the bound asks for.
+
+    Also the number of the set's shingles that are not common.
+    """
     n = len(s) - -(-len(s) * NUM // DEN) + 1
     if not len(common):
-        return s[:n]
+        return s[:n], len(s)
     at = np.searchsorted(common, s)
     at[at == len(common)] = 0
     c = np.where(common[at] == s, counts[at], 0)
-    return s[np.argsort(c, kind="stable")[:n]] if c.any() else s[:n]
+    return s[np.argsort(c, kind="stable")[:n]], int((c == 0).sum())
 
 
 def point(s: np.ndarray) -> bytes:
     """Counts of the shingles by group; larger sets have more groups, always a power of two, and as wide numbers as it takes."""
-    groups = min(8192, max(32, 1 << (len(s) // 2).bit_length()))
+    groups = min(8192, max(64, 1 << len(s).bit_length()))
     c = np.bincount((s >> np.uint64(7)).astype(np.int64) & (groups - 1), minlength=groups)
     kind = "<u1" if c.max(initial=0) < 1 << 8 else "<u2" if c.max() < 1 << 16 else "<u4"
     return bytes([int(kind[2])]) + c.astype(kind).tobytes()
@@ -169,7 +178,8 @@ def may_link(p: bytes, n: int, q: bytes, m: int) -> bool:
 
 
 def sets_of(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
-    """doc_id, mark (a hash of the text), n (set size), cls (digest of the set), keys (the prefix) and point of every document.
+    """doc_id, mark (a hash of the text), n (set size), own (shingles that are not common), cls (digest of the set), keys (the
+    prefix) and point of every document.
 
     By option also the digest of the text.
     """
@@ -179,16 +189,18 @@ def sets_of(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], key: str = "
     def run(batches):
         known, counts = shared.value
         for b in batches:
-            n, cls, keys, points = [], [], [], []
+            n, own, cls, keys, points = [], [], [], [], []
             for t in map(pa.StringScalar.as_py, b.column(1)):
                 s = shingles(t)
                 n.append(len(s))
                 cls.append(xxhash.xxh3_128_digest(s.tobytes()))
-                keys.append(prefix(s, known, counts).view(np.int64) if len(s) else None)
+                first, alone = prefix(s, known, counts)
+                own.append(alone)
+                keys.append(first.view(np.int64) if len(s) else None)
                 points.append(point(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary()), *b.columns[3:]],
-                names=["doc_id", "mark", "n", "cls", "keys", "point", *more],
+                [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary()), *b.columns[3:]],
+                names=["doc_id", "mark", "n", "own", "cls", "keys", "point", *more],
             )
         _WORDS.clear()
         release()
@@ -197,7 +209,7 @@ def sets_of(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], key: str = "
     d = d.withColumn("mark", F.xxhash64("text"))
     if digest:
         d = d.withColumn("digest", F.md5("text"))
-    return d.mapInArrow(run, ", ".join(["doc_id long, mark long, n long, cls binary, keys array<long>, point binary", *(f"{x} string" for x in more)]))
+    return d.mapInArrow(run, ", ".join(["doc_id long, mark long, n long, own long, cls binary, keys array<long>, point binary", *(f"{x} string" for x in more)]))
 
 
 class Tree:
@@ -212,8 +224,8 @@ class Tree:
             top, lo, hi = np.maximum.reduceat(top, cuts), np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts)
             self.levels.append((top, lo, hi))
 
-    def near(self, i: int, end: int) -> np.ndarray:
-        """Places below ``end`` whose set may have the wanted similarity with that of place ``i``."""
+    def near(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places, others than ``i``, whose set may have the wanted similarity with that of place ``i``, and the bounds of the overlaps."""
         p, n = self.points[i], int(self.sizes[i])
         at = None
         for top, lo, hi in reversed(self.levels):
@@ -224,10 +236,11 @@ class Tree:
             bound = np.minimum(top[at], p).sum(1, dtype=np.int64)
             at = at[bound * (NUM + DEN) >= NUM * (n + np.maximum(lo[at], -(-n * NUM // DEN)))]
         at = np.arange(len(self.points)) if at is None else _children(at, len(self.points))
-        at = at[at < end]
+        at = at[at != i]
         at = at[(self.sizes[at] * DEN >= n * NUM) & (self.sizes[at] * NUM <= n * DEN)]
         bound = np.minimum(self.points[at], p).sum(1, dtype=np.int64)
-        return at[bound * (NUM + DEN) >= NUM * (n + self.sizes[at])]
+        ok = bound * (NUM + DEN) >= NUM * (n + self.sizes[at])
+        return at[ok], bound[ok]
 
 
 def _children(at: np.ndarray, n: int) -> np.ndarray:
@@ -243,8 +256,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * DEN >= NUM * (len(a) + len(b) - both)
 
 
-def tree_pairs(points: list[bytes], sizes: np.ndarray, comps: list, parts: np.ndarray, across: bool) -> Iterator[tuple[int, int]]:
-    """Pairs of different components whose bound reaches the threshold; ``across`` leaves out pairs of one part."""
+def tree_pairs(points: list[bytes], sizes: np.ndarray, comps: list, parts: np.ndarray, across: bool, best: int | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs of different components whose bound reaches the threshold; ``across`` leaves out pairs of one part.
+
+    With ``best`` only so many pairs for each member, those of the highest bounds for their sizes.
+    """
     order = np.argsort(sizes, kind="stable")
     groups = np.array([(len(points[i]) - 1) // points[i][0] for i in order])
     names = {c: k for k, c in enumerate(dict.fromkeys(comps))}
@@ -254,57 +270,68 @@ def tree_pairs(points: list[bytes], sizes: np.ndarray, comps: list, parts: np.nd
         mine = np.flatnonzero((groups == g) | (groups == 2 * g))
         tree = Tree(np.stack([counts_of(points[order[i]], int(g)) for i in mine]).astype(np.int64), sizes[order[mine]])
         own, c, part = groups[mine] == g, comp[mine], parts[order[mine]]
-        for r in range(1, len(mine)):
-            near = tree.near(r, r)
-            near = near[(c[near] != c[r]) & (own[near] | own[r])]
+        # The members of the largest component are found by the others.
+        most = np.bincount(c).argmax()
+        for r in np.flatnonzero(c != most):
+            near, bound = tree.near(r)
+            ok = (c[near] != c[r]) & (own[near] | own[r])
             if across:
-                near = near[part[near] != part[r]]
+                ok &= part[near] != part[r]
+            near, bound = near[ok], bound[ok]
+            if best is None:
+                near = near[(near < r) | (c[near] == most)]
+            elif len(near) > best:
+                near = near[np.argsort(-bound / (tree.sizes[near] + tree.sizes[r]), kind="stable")[:best]]
             for j in near:
-                yield int(order[mine[j]]), int(order[mine[r]])
+                yield int(order[mine[min(j, r)]]), int(order[mine[max(j, r)]])
 
 
-def _ordered(rows: DataFrame, by: str) -> DataFrame:
-    return rows.repartition(by).sortWithinPartitions(by, "n", "cls")
+def _ordered(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.repartition(by[0]).sortWithinPartitions(*by)
 
 
 def _stars(rows: DataFrame, split: dict[int, int]) -> DataFrame:
-    """(k, n, cls, m, head) of every row (k, n, cls) whose k has several: head, of size m, is the first of the k.
+    """(k, n, own, cls, m, head) of every row (k, n, own, cls) whose k has several: head, of size m, is the first of the k.
 
-    ``split`` names the k that stand for a part of another one; the first row of each such part comes with the other k and
-    without a head.
+    First is the set with the fewest shingles that are not common: among copies the one that the others are copies of, as
+    each edit makes shingles of its own. ``split`` names the k that stand for a part of another one; the first row of each
+    such part comes with the other k and without a head.
     """
-    kinds = "k long, n long, cls binary, m long, head binary"
+    names = ["k", "n", "own", "cls", "m", "head"]
 
     def run(batches):
-        last = None
+        last, sent = None, False
         for b in batches:
-            k, n, cls = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
-            if last is not None:
-                k, n = np.concatenate([[last[0]], k]), np.concatenate([[last[1]], n])
-                cls = pa.concat_arrays([pa.array([last[2]], pa.binary()), cls.cast(pa.binary())])
-            start = np.diff(k, prepend=k[0] - 1) != 0
-            place = np.arange(len(k))
+            carried = last is not None
+            if carried:
+                b = pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(last.columns, b.columns, strict=True)], schema=b.schema)
+            if not len(b):
+                continue
+            k, place = b.column(0).to_numpy(), np.arange(len(b))
+            start = np.concatenate([[True], k[1:] != k[:-1]])
             first = np.maximum.accumulate(np.where(start, place, 0))
             # A head is sent with its first follower, so once; the row that is carried over may have been sent before.
             followed = np.zeros(len(k), bool)
             followed[first[~start]] = True
-            out = np.flatnonzero(~start | (followed & ~((place == 0) & (last is not None and last[3]))))
-            of = np.array([split.get(x, x) for x in k[out].tolist()], np.int64) if split else k[out]
-            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(n[out]), cls.take(pa.array(out)), pa.array(n[first[out]]), cls.take(pa.array(first[out]))], names=["k", "n", "cls", "m", "head"])
+            out = np.flatnonzero(~start | (followed & ~((place == 0) & carried & sent)))
+            of, heads = b.take(pa.array(out)), b.take(pa.array(first[out]))
+            whole = pa.array([split.get(x, x) for x in k[out].tolist()], pa.int64()) if split else of.column(0)
+            yield pa.RecordBatch.from_arrays([whole, *of.columns[1:], heads.column(1), heads.column(3)], names=names)
             if split:
-                new = np.flatnonzero(start & ~((place == 0) & (last is not None)))
-                new = new[[x in split for x in k[new].tolist()]]
-                none = pa.nulls(len(new))
-                yield pa.RecordBatch.from_arrays([pa.array([split[x] for x in k[new].tolist()], pa.int64()), pa.array(n[new]), cls.take(pa.array(new)), none.cast(pa.int64()), none.cast(pa.binary())], names=["k", "n", "cls", "m", "head"])
+                new = np.flatnonzero(start & ~((place == 0) & carried))
+                new = new[np.array([x in split for x in k[new].tolist()], bool)]
+                of = b.take(pa.array(new))
+                whole = pa.array([split[x] for x in k[new].tolist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([whole, *of.columns[1:], pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.binary())], names=names)
             i = int(first[-1])
-            last = (int(k[i]), int(n[i]), cls[i].as_py(), bool(followed[i]) or (i == 0 and last is not None and last[3]))
+            last, sent = b.slice(i, 1), bool(followed[i]) or (i == 0 and carried and sent)
 
-    return _ordered(rows.select("k", "n", "cls"), "k").mapInArrow(run, kinds)
+    return _ordered(rows.select("k", "n", "own", "cls"), "k", "own", "n", "cls").mapInArrow(run, "k long, n long, own long, cls binary, m long, head binary")
 
 
 def shared_rows(reps: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The stars of all prefix shingles, k, n, cls, m and head, written. Shingles of very many documents are dealt in parts first."""
-    keyed = reps.select(F.explode("keys").alias("k"), "n", "cls")
+    """The stars of all prefix shingles, k, n, own, cls, m, head and tree, written. Shingles of very many documents are dealt in parts first."""
+    keyed = reps.select(F.explode("keys").alias("k"), "n", "own", "cls")
     large = common[1] > SPLIT
     parts = {int(k): int(c // SPLIT + 1) for k, c in zip(common[0][large].view(np.int64), common[1][large], strict=True)}
     split: dict[int, int] = {}
@@ -313,11 +340,16 @@ def shared_rows(reps: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataF
         split = {x: k for k, of in names.items() for x in of}
         cells = [x for k, of in names.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in of]))]
         of = F.element_at(F.create_map(*cells), F.col("k"))
-        keyed = keyed.select(F.coalesce(F.get(of, F.pmod(F.xxhash64("cls"), F.size(of)).cast("int")), F.col("k")).alias("k"), "n", "cls")
+        keyed = keyed.select(F.coalesce(F.get(of, F.pmod(F.xxhash64("cls"), F.size(of)).cast("int")), F.col("k")).alias("k"), "n", "own", "cls")
     stars = materialise(_stars(keyed, split), "stars")
     if not split:
-        return stars
-    return materialise(stars.where("head is not null").unionByName(_stars(stars.where("head is null"), {})), "stars")
+        return stars.withColumn("tree", F.col("head"))
+    # The heads of the parts of a shingle make one more star, whose head names the tree of all parts.
+    above = materialise(_stars(stars.where("head is null"), {}), "stars")
+    whole = above.select(F.col("k").alias("of"), F.col("cls").alias("part_head"), F.col("head").alias("tree")).distinct()
+    below = stars.where("head is not null").join(whole, F.expr("k = of and head = part_head"), "left")
+    below = below.select("k", "n", "own", "cls", "m", "head", F.coalesce("tree", "head").alias("tree"))
+    return materialise(below.unionByName(above.withColumn("tree", F.col("head"))), "stars")
 
 
 def bounded(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -364,19 +396,21 @@ def _leaf_pairs(rows: DataFrame) -> DataFrame:
         for b in batches:
             if held is not None:
                 b = pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(held.columns, b.columns, strict=True)], schema=b.schema)
-            k, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            if not len(b):
+                continue
+            k, n = b.column(0).dictionary_encode().indices.to_numpy(), b.column(1).to_numpy()
             cls, comp = np.array(b.column(2).to_pylist(), object), np.array(b.column(3).to_pylist(), object)
             for d in range(1, min(LEAF, len(k))):
                 at = np.flatnonzero((k[d:] == k[:-d]) & (n[:-d] * DEN >= n[d:] * NUM) & (comp[d:] != comp[:-d]))
                 if len(at):
                     yield pa.record_batch({"a": pa.array(cls[at], pa.binary()), "m": pa.array(n[at]), "b": pa.array(cls[at + d], pa.binary()), "n": pa.array(n[at + d])})
             # The last tree may go on in the next batch.
-            held = b.slice(int(np.flatnonzero(k == k[-1])[0])) if len(k) else None
+            held = b.slice(int(np.flatnonzero(k == k[-1])[0]))
 
-    return _ordered(rows.select("k", "n", "cls", "c"), "k").mapInArrow(run, "a binary, m long, b binary, n long")
+    return _ordered(rows.select("k", "n", "cls", "c"), "k", "n", "cls").mapInArrow(run, "a binary, m long, b binary, n long")
 
 
-def _tree_tasks(rows: DataFrame, reps: DataFrame) -> DataFrame:
+def _tree_tasks(rows: DataFrame, reps: DataFrame, best: int | None) -> DataFrame:
     """(a, m, b, n) that the R-trees of more than a leaf give, rows (k, n, cls, c, size)."""
     parts = F.ceil(F.col("size") / PART).cast("int")
     rows = rows.select("k", "n", "cls", "c", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
@@ -389,34 +423,53 @@ def _tree_tasks(rows: DataFrame, reps: DataFrame) -> DataFrame:
         table = table.take(pa.array(at))
         cls, sizes = table["cls"].to_pylist(), table["n"].to_numpy()
         ij = table["ij"][0].as_py()
-        found = list(tree_pairs(table["point"].to_pylist(), sizes, table["c"].to_pylist(), table["part"].to_numpy(), ij["i"] != ij["j"]))
+        found = list(tree_pairs(table["point"].to_pylist(), sizes, table["c"].to_pylist(), table["part"].to_numpy(), ij["i"] != ij["j"], best))
         a, b = [i for i, _ in found], [j for _, j in found]
         return pa.table({"a": pa.array([cls[i] for i in a], pa.binary()), "m": pa.array(sizes[a], pa.int64()), "b": pa.array([cls[j] for j in b], pa.binary()), "n": pa.array(sizes[b], pa.int64())})
 
     return rows.groupBy("k", "ij").applyInArrow(run, "a binary, m long, b binary, n long")
 
 
+def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """k, n, cls, c, size of the members of trees that are not all of one component, written."""
+    named = members.join(comp, F.expr("cls = v"), "left").select("k", "n", "cls", F.coalesce("c", "cls").alias("c"))
+    named = materialise(named, "members")
+    mixed = named.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k", "size")
+    return materialise(named.join(mixed, "k"), "open")
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair once: set sizes and classes order its ends alike everywhere."""
+    x, y = (F.struct(F.col(size).alias("m"), F.col(name).alias("a")) for size, name in (("m", "a"), ("n", "b")))
+    pairs = pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct()
+    return pairs.select(F.col("x.a").alias("a"), F.col("x.m").alias("m"), F.col("y.a").alias("b"), F.col("y.m").alias("n"))
+
+
 def links(docs: DataFrame, sets: DataFrame, common: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(v, c): the component of every class that is linked with another."""
     first = F.min(F.struct("doc_id", "mark")).alias("row")
-    reps = materialise(sets.where("n > 0").groupBy("cls").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point")), "classes")
+    reps = materialise(sets.where("n > 0").groupBy("cls").agg(first, F.first("n").alias("n"), F.first("own").alias("own"), F.first("keys").alias("keys"), F.first("point").alias("point")), "classes")
     shared = shared_rows(reps, common)
-    stars = shared.where("cls <> head").select(F.col("head").alias("a"), "m", F.col("cls").alias("b"), "n").where(F.col("m") * DEN >= F.col("n") * NUM).distinct()
-    edges = verified(bounded(stars, reps), reps, docs, key, text)
-    comp = materialise(components(edges, "linked"), "components")
-    named = shared.join(comp, F.expr("cls = v"), "left").select("k", "n", "cls", F.coalesce("c", "cls").alias("c"))
-    named = materialise(named, "members")
-    mixed = named.groupBy("k").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("k", "size")
-    open_ = materialise(named.join(mixed, "k"), "open")
-    small, large = open_.where(F.col("size") <= LEAF), open_.where(F.col("size") > LEAF)
-    # Set sizes and classes order both ends of a pair alike everywhere, so that each pair comes once.
-    rest = _leaf_pairs(small).unionByName(_tree_tasks(large, reps))
-    x, y = (F.struct(F.col(size).alias("m"), F.col(name).alias("a")) for size, name in (("m", "a"), ("n", "b")))
-    rest = rest.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).distinct().select(F.col("x.a").alias("a"), F.col("x.m").alias("m"), F.col("y.a").alias("b"), F.col("y.m").alias("n"))
-    more = verified(bounded(rest, reps), reps, docs, key, text)
-    if more.isEmpty():
+    stars = shared.where("cls <> head").select(F.col("head").alias("a"), "m", F.col("cls").alias("b"), "n").where((F.col("m") * DEN >= F.col("n") * NUM) & (F.col("n") * DEN >= F.col("m") * NUM)).distinct()
+    comp = materialise(components(verified(bounded(stars, reps), reps, docs, key, text), "linked"), "components")
+
+    def join_more(comp: DataFrame, pairs: DataFrame) -> DataFrame:
+        more = verified(pairs, reps, docs, key, text)
+        if more.isEmpty():
+            return comp
+        return materialise(components(comp.select(F.col("v").alias("a"), F.col("c").alias("b")).unionByName(more), "linked"), "components")
+
+    # Shingles with the same head have about the same members: they are one tree.
+    members = materialise(shared.select(F.col("tree").alias("k"), "n", "cls").distinct(), "members")
+    open_ = _open(members, comp)
+    large = F.col("size") > LEAF
+    tried = materialise(_once(_tree_tasks(open_.where(large), reps, BEST)), "tried")
+    comp = join_more(comp, bounded(_once(_leaf_pairs(open_.where(~large))), reps).unionByName(tried))
+    open_ = _open(members, comp).where(large)
+    if open_.isEmpty():
         return comp
-    return materialise(components(comp.select(F.col("v").alias("a"), F.col("c").alias("b")).unionByName(more), "linked"), "components")
+    rest = _once(_tree_tasks(open_, reps, None))
+    return join_more(comp, rest.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "m", "b", "n"))
 
 
 def _named(docs: DataFrame, sets: DataFrame, common: tuple[np.ndarray, np.ndarray], row: Column, key: str, text: str) -> DataFrame:
