@@ -15,6 +15,8 @@ LOCAL_WORK_DIR = "file:///tmp/checkpoints"
 def work_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` if the session sets it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(base or LOCAL_WORK_DIR).rstrip('/')}/tablelens"
 
 

@@ -2,7 +2,8 @@
 
 A document is a bag of letter trigrams drawn from a mixture of languages. Expectation-maximisation estimates the
 document's proportions from the trigrams' likelihoods; the set of languages is the one with the best penalised
-likelihood; the prediction is the language with the largest share in it, and the score that share.
+likelihood, of at most ``MOST_LANGUAGES`` languages; the prediction is the language with the largest share in it, and the
+score that share.
 
 Training uses a bounded sample of labelled documents: all of a language's documents up to ``SAMPLE`` of them, beyond
 that a hash-drawn share that keeps about as many. Whole texts are used, in training and prediction.

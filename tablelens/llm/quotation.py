@@ -69,22 +69,18 @@ def parse(messages: DataFrame) -> DataFrame:
 def quoted_units(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, level, unit, weight: hashes of quoted lines, and of whole passages of several lines.
 
-    A passage is a run of lines of one level; it starts where the level changes.
+    A passage is a run of lines of one level; it starts where the level changes. The work grows with the lines.
     """
-    runs = F.aggregate(
-        "lines",
-        F.expr("cast(array() as array<struct<level:int,body:string>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["level"] == x["level"]),
-            F.concat(
-                F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(F.struct(x["level"].alias("level"), F.concat(F.try_element_at(acc, F.lit(-1))["body"], F.lit("\n"), x["body"]).alias("body"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["level"].alias("level"), x["body"].alias("body"))))),
-    )
-    source = parsed.where("lines is not null and turn is not null")
+    # Written, as the runs look lines up by place.
+    source = materialise(parsed.where("lines is not null and turn is not null").select("conv_id", "turn", "lines"), "quoted")
+    level = lambda i: F.get("lines", i)["level"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | (level(i) != level(i - 1)))
+    found = source.withColumn("starts", starts)
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts") - 1), F.array(F.size("lines")))
+    body = lambda a, b: F.array_join(F.transform(F.slice("lines", a + 1, b - a), lambda x: x["body"]), "\n")
+    runs = F.zip_with("starts", ends, lambda a, b: F.struct(level(a).alias("level"), body(a, b).alias("body")))
     lines = source.select("conv_id", "turn", F.explode("lines").alias("q"), F.lit(1).alias("weight"))
-    whole = source.select("conv_id", "turn", F.explode(runs).alias("q"), F.lit(1000).alias("weight"))
+    whole = found.select("conv_id", "turn", F.explode(runs).alias("q"), F.lit(1000).alias("weight"))
     units = lines.unionByName(whole.where("q.body like '%\n%'")).where("q.level > 0")
     units = units.select("conv_id", "turn", F.col("q.level").alias("level"), normal(F.col("q.body")).alias("n"), "weight").where("n <> ''")
     return units.select("conv_id", "turn", "level", F.md5("n").alias("unit"), "weight").distinct()

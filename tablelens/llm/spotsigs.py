@@ -7,7 +7,7 @@ meet, and within them only the rarest part of each set is looked up.
 
 Nulls: a null text counts as an empty one; a null id is kept and orders first. A text without any anchor takes the
 chains of all its content words, and one of common words alone the words themselves, so only texts without words have
-the empty set. Two empty sets have likeness 1, an empty and another 0. Ties of ids are ordered by text. Empty tables
+the empty set. Two empty sets have likeness 1, an empty and another 0. Ties of ids are ordered by a hash of the text. Empty tables
 give an empty result; other columns are ignored.
 """
 

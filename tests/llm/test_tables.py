@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 from pathlib import Path
 from urllib.parse import quote
@@ -264,3 +265,16 @@ def test_recall_on_the_drivers_vectors(spark):
         s[ids == q] = -2
         hits += len(got & set(ids[np.argsort(-s, kind="stable")[:5]]))
     assert len(found) == asked.count() and hits >= 0.95 * 5 * len(found)
+
+
+def test_quotes_of_many_lines_are_linear(spark):
+    """A message of 32,000 lines of alternating levels, and one passage of as many."""
+    lines = "\n".join(f"{'>' * (1 + i % 2)} line {i}" for i in range(32_000))
+    block = "\n".join(f"> part {i}" for i in range(32_000))
+    rows = [(1, 0, "user", "\n".join(f"part {i}" for i in range(32_000))), (1, 1, "assistant", lines), (1, 2, "user", block)]
+    parsed = quotation.parse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    began = time.time()
+    units = quotation.quoted_units(parsed).groupBy("turn", "weight").count().collect()
+    assert time.time() - began < 30
+    assert {(r["turn"], r["weight"]): r["count"] for r in units} == {(1, 1): 32_000, (2, 1): 32_000, (2, 1000): 1}
+    assert {(r["turn"], r["parent_turn"]) for r in quotation.link(parsed).collect()} == {(1, None), (2, 0)}
