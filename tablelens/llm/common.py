@@ -29,7 +29,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared work folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(_nullable(df.schema)).parquet(path)
 
 

@@ -329,9 +329,9 @@ def _stars(rows: DataFrame, split: dict[int, int]) -> DataFrame:
     return _ordered(rows.select("k", "n", "own", "cls"), "k", "own", "n", "cls").mapInArrow(run, "k long, n long, own long, cls binary, m long, head binary")
 
 
-def shared_rows(reps: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def shared_rows(classes: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """The stars of all prefix shingles, k, n, own, cls, m, head and tree, written. Shingles of very many documents are dealt in parts first."""
-    keyed = reps.select(F.explode("keys").alias("k"), "n", "own", "cls")
+    keyed = classes.select(F.explode("keys").alias("k"), "n", "own", "cls")
     large = common[1] > SPLIT
     parts = {int(k): int(c // SPLIT + 1) for k, c in zip(common[0][large].view(np.int64), common[1][large], strict=True)}
     split: dict[int, int] = {}
@@ -447,9 +447,10 @@ def _once(pairs: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, sets: DataFrame, common: tuple[np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(v, c): the component of every class that is linked with another."""
-    first = F.min(F.struct("doc_id", "mark")).alias("row")
-    reps = materialise(sets.where("n > 0").groupBy("cls").agg(first, F.first("n").alias("n"), F.first("own").alias("own"), F.first("keys").alias("keys"), F.first("point").alias("point")), "classes")
-    shared = shared_rows(reps, common)
+    some = sets.where("n > 0").groupBy("cls")
+    reps = materialise(some.agg(F.min(F.struct("doc_id", "mark")).alias("row"), F.first("point").alias("point")), "classes")
+    # The prefixes go straight to the shuffle of the stars and are not written again.
+    shared = shared_rows(some.agg(F.first("n").alias("n"), F.first("own").alias("own"), F.first("keys").alias("keys")), common)
     stars = shared.where("cls <> head").select(F.col("head").alias("a"), "m", F.col("cls").alias("b"), "n").where((F.col("m") * DEN >= F.col("n") * NUM) & (F.col("n") * DEN >= F.col("m") * NUM)).distinct()
     comp = materialise(components(verified(bounded(stars, reps), reps, docs, key, text), "linked"), "components")
 
