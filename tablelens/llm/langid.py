@@ -2,8 +2,9 @@
 
 A document is a bag of letter trigrams drawn from a mixture of languages. Expectation-maximisation estimates the
 document's proportions from the trigrams' likelihoods; the set of languages is the one with the best penalised
-likelihood, of at most ``MOST_LANGUAGES`` languages; the prediction is the language with the largest share in it, and the
-score that share.
+likelihood, of the likeliest language alone and the 2, 3, ... languages of the largest proportions, as long as the last of
+these has a share of more than ``LEAST_SHARE``, up to all that were learned; the prediction is the language with the
+largest share in the set, and the score that share.
 
 Training uses a bounded sample of labelled documents: all of a language's documents up to ``SAMPLE`` of them, beyond
 that a hash-drawn share that keeps about as many. Whole texts are used, in training and prediction.
@@ -31,7 +32,8 @@ SAMPLE = 3000
 CELLS = 1 << 16
 SMOOTH = 0.5
 ROUNDS = 10
-MOST_LANGUAGES = 3
+#: A language joins the sets that are tried if its share among all languages is larger.
+LEAST_SHARE = 0.02
 #: Trigrams overlap, so a letter's evidence counts a third.
 OVERLAP = 3.0
 #: Characters of text worked on at once; a longer text is worked on alone.
@@ -146,9 +148,8 @@ def infer(texts: list[str], logp: np.ndarray) -> np.ndarray:
     score = alone[np.arange(len(present)), best] / OVERLAP
     pi, _ = _mix(like, shift, n, doc, starts, np.full_like(chosen, 1.0 / logp.shape[0]), ROUNDS)
     order = np.argsort(-pi, axis=1, kind="stable")
-    for k in range(2, min(MOST_LANGUAGES, logp.shape[0]) + 1):
-        # Only where the k-th language has a share at all.
-        some = np.flatnonzero(pi[np.arange(len(present)), order[:, k - 1]] > 0.02)
+    for k in range(2, logp.shape[0] + 1):
+        some = np.flatnonzero(pi[np.arange(len(present)), order[:, k - 1]] > LEAST_SHARE)
         if not len(some):
             break
         rows = np.isin(doc, some)

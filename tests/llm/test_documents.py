@@ -1,6 +1,7 @@
 """Operators on documents against plain models: sharding, fingerprints, mixing, language, BPE, n-gram join, pipeline."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -233,14 +234,71 @@ def test_language(spark):
     assert langid.identify(H.documents(spark, [])).count() == 0
 
 
+def plain_cell(trigram):
+    """The cell of three characters, by the same mixing hash in plain integers."""
+    m = 0xFFFFFFFF
+    x, y, z = (ord(c) for c in trigram)
+    h = (x * 0x9E3779B1 + y * 0x85EBCA77 + z * 0xC2B2AE3D) & m
+    h ^= h >> 15
+    return ((h * 0x2C1B3C6D) & m) >> 16
+
+
+def plain_mixture(text, logp):
+    """Shares of a text's languages: one trigram, one language, one round at a time."""
+    langs = range(len(logp))
+    padded = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    grams = [plain_cell(padded[i - 1 : i + 2]) for i in range(1, len(padded) - 1) if padded[i] != " "]
+    if not grams:
+        return [0.0 for _ in langs]
+    chance = [[math.exp(float(logp[g][c])) for g in langs] for c in grams]
+
+    def expect(shares, rounds):
+        for _ in range(rounds):
+            sums = [0.0 for _ in langs]
+            for row in chance:
+                parts = [p * q for p, q in zip(row, shares, strict=True)]
+                sums = [s + p / sum(parts) for s, p in zip(sums, parts, strict=True)]
+            shares = [s / sum(sums) for s in sums]
+        return shares
+
+    def value(shares, k):
+        like = sum(math.log(sum(p * q for p, q in zip(row, shares, strict=True))) for row in chance)
+        return like / langid.OVERLAP - 0.5 * (k - 1) * math.log(max(len(grams) / langid.OVERLAP, math.e))
+
+    alone = [[float(g == only) for g in langs] for only in langs]
+    best = max((value(s, 1), -i, s) for i, s in enumerate(alone))[2]
+    top = value(best, 1)
+    every = expect([1 / len(logp) for _ in langs], langid.ROUNDS)
+    ranked = sorted(langs, key=lambda g: -every[g])
+    for k in range(2, len(logp) + 1):
+        if every[ranked[k - 1]] <= langid.LEAST_SHARE:
+            break
+        kept = [every[g] if g in ranked[:k] else 0.0 for g in langs]
+        shares = expect([x / sum(kept) for x in kept], langid.ROUNDS // 2)
+        if value(shares, k) > top:
+            best, top = shares, value(shares, k)
+    return best
+
+
 def test_mixture_against_plain_loop():
+    """Five languages with words of their own: texts of one to five of them, short and long, mixed and pure."""
     rng = np.random.default_rng(1)
-    logp = np.log(rng.dirichlet(np.full(langid.CELLS, 0.05), 3) + 1e-12).astype(np.float32)
-    text = "abcde fghij klmno pqrst"
-    share = langid.infer([text, "", text], logp)
-    assert share[0] == pytest.approx(share[2])
-    assert share[1].sum() == 0
-    assert share[0].sum() == pytest.approx(1)
+    words = [["".join(chr(97 + 5 * g + i) for i in rng.integers(0, 5, 5)) for _ in range(30)] for g in range(5)]
+    counts = np.full((5, langid.CELLS), langid.SMOOTH)
+    for g, own in enumerate(words):
+        _, cell, n = langid.trigrams([" ".join(own)])
+        counts[g, cell] += n
+    logp = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+    texts = ["", "12 34", "a", "abcde fghij klmno"]
+    for several in range(1, 6):
+        for length in (4, 40, 200):
+            texts.append(" ".join(words[rng.integers(0, several)][rng.integers(0, 30)] for _ in range(length)))
+    got = langid.infer(texts, logp)
+    for text, row in zip(texts, got, strict=True):
+        assert row == pytest.approx(plain_mixture(text, logp), abs=1e-6)
+    assert got[1].sum() == 0
+    # More than three languages can be the best set.
+    assert (got[-1] > 0.05).sum() == 5
 
 
 # -- BPE -------------------------------------------------------------------------------------------------------------
