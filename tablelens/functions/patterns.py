@@ -7,7 +7,7 @@ BASIC_PATTERNS = {
     "url_like": r"^https?://[^\s/$.?#][^\s]*$",
 }
 
-#: The URL pattern in its strict literal form, which takes one character before the first dot.
+# Fixed value: the URL pattern in its strict literal form, which takes one character before the first dot.
 LITERAL_URL = r"^https?://[^\s/$\.?#]\.[^\s]*$"
 
 # Patterns of personal data.
@@ -30,30 +30,30 @@ FORMAT_PATTERNS = {
     "snake_case": r"^[a-z][a-z0-9_]*$",
 }
 
-# Common patterns that inference tries first, with their descriptions.
+# Common patterns that inference tries first; the descriptions are free.
 COMMON_PATTERNS = {
-    "date_yyyy_mm_dd": (r"^\d{4}-\d{2}-\d{2}$", "Date in YYYY-MM-DD format"),
-    "date_mm_dd_yyyy": (r"^\d{2}/\d{2}/\d{4}$", "Date in MM/DD/YYYY format"),
-    "date_dd_mm_yyyy": (r"^\d{2}/\d{2}/\d{4}$", "Date in DD/MM/YYYY format"),
-    "numeric_id": (r"^\d+$", "Numeric identifier"),
-    "alphanumeric_id": (r"^[A-Z0-9]+$", "Alphanumeric identifier"),
-    "mixed_case_id": (r"^[A-Za-z0-9]+$", "Mixed case alphanumeric identifier"),
-    "product_code": (r"^[A-Z]{1,3}\d{3,6}$", "Product code (letters + numbers)"),
-    "license_plate": (r"^[A-Z]{1,3}\s?\d{1,4}$", "License plate format"),
-    "email": (r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", "Email address"),
-    "phone_basic": (r"^\d{10}$", "10-digit phone number"),
-    "phone_formatted": (r"^\(\d{3}\)\s?\d{3}-\d{4}$", "Formatted phone number"),
-    "zip_code": (r"^\d{5}(-\d{4})?$", "US ZIP code"),
-    "postal_code": (r"^[A-Z]\d[A-Z]\s?\d[A-Z]\d$", "Canadian postal code"),
-    "currency": (r"^\$\d+(\.\d{2})?$", "Currency amount"),
-    "account_number": (r"^\d{8,12}$", "Account number"),
-    "single_word": (r"^[A-Za-z]+$", "Single word"),
-    "capitalized_word": (r"^[A-Z][a-z]+$", "Capitalized word"),
-    "all_caps": (r"^[A-Z]+$", "All uppercase letters"),
-    "title_case": (r"^[A-Z][a-z]+(\s[A-Z][a-z]+)*$", "Title case text"),
-    "version_number": (r"^\d+\.\d+(\.\d+)?$", "Version number"),
-    "ip_address": (r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$", "IP address"),
-    "hex_color": (r"^#[0-9A-Fa-f]{6}$", "Hex color code"),
+    "date_yyyy_mm_dd": (r"^\d{4}-\d{2}-\d{2}$", "year, month and day with hyphens"),
+    "date_mm_dd_yyyy": (r"^\d{2}/\d{2}/\d{4}$", "month, day and year with slashes"),
+    "date_dd_mm_yyyy": (r"^\d{2}/\d{2}/\d{4}$", "day, month and year with slashes"),
+    "numeric_id": (r"^\d+$", "digits only"),
+    "alphanumeric_id": (r"^[A-Z0-9]+$", "capitals and digits"),
+    "mixed_case_id": (r"^[A-Za-z0-9]+$", "letters and digits"),
+    "product_code": (r"^[A-Z]{1,3}\d{3,6}$", "one to three capitals, then three to six digits"),
+    "license_plate": (r"^[A-Z]{1,3}\s?\d{1,4}$", "short capitals, then up to four digits, as on plates"),
+    "email": (r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$", "mail address"),
+    "phone_basic": (r"^\d{10}$", "ten digits, as of a telephone"),
+    "phone_formatted": (r"^\(\d{3}\)\s?\d{3}-\d{4}$", "telephone with the area in brackets"),
+    "zip_code": (r"^\d{5}(-\d{4})?$", "five-digit postcode, with or without four more"),
+    "postal_code": (r"^[A-Z]\d[A-Z]\s?\d[A-Z]\d$", "postcode of letters and digits in turn"),
+    "currency": (r"^\$\d+(\.\d{2})?$", "amount in dollars"),
+    "account_number": (r"^\d{8,12}$", "eight to twelve digits"),
+    "single_word": (r"^[A-Za-z]+$", "one word of letters"),
+    "capitalized_word": (r"^[A-Z][a-z]+$", "one word with a capital first"),
+    "all_caps": (r"^[A-Z]+$", "capitals only"),
+    "title_case": (r"^[A-Z][a-z]+(\s[A-Z][a-z]+)*$", "words with capitals first"),
+    "version_number": (r"^\d+\.\d+(\.\d+)?$", "two or three numbers with points"),
+    "ip_address": (r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$", "four numbers with points"),
+    "hex_color": (r"^#[0-9A-Fa-f]{6}$", "colour in hexadecimal"),
 }
 
 # Regexes of character compositions.
@@ -65,4 +65,6 @@ COMPOSITION_PATTERNS = {
     "mixed_case_letters": r"^[A-Za-z]+$",
     "alphanumeric": r"^[A-Za-z0-9]+$",
 }
+
+# Separators of structured values, tried in this order.
 SEPARATORS = ("-", "/", "_", ".", " ", ":", ";", ",")
