@@ -74,7 +74,10 @@ class Registry:
         self.builtin = {r.id: r for r in builtin_rules()}
         self.user: dict[str, Rule] = {}
 
-    def add(self, rule: Rule) -> None:
+    def add(self, rule: Rule, spark=None) -> None:
+        """Register a user rule; with a session its function is tried first, and a rule that fails is refused."""
+        if spark is not None and (error := dry_run(rule, spark)) is not None:
+            raise ValueError(f"rule {rule.id}: {error}")
         self.user[rule.id] = rule
 
     def remove(self, rule_id: str) -> bool:

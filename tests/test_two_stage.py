@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablelens import Profiler, ProfilingConfig, Rule
 from tablelens.operators import two_stage as S
 from tablelens.plans import profiler
-from tablelens.plans.registry import dry_run
+from tablelens.plans.registry import Registry, dry_run
 
 
 def test_formats(spark):
@@ -107,3 +107,12 @@ def test_dry_run(spark):
     assert dry_run(Rule("a", "A", cross_column=True, function=lambda a, b: {"x": F.corr(a, b)}), spark) is None
     assert dry_run(Rule("a", "A"), spark) == "the rule has no function"
     assert dry_run(Rule("a", "A", category="table", function=lambda df: {"n": 1}), spark) is None
+
+
+def test_add_refuses_rules_that_fail(spark):
+    registry = Registry()
+    registry.add(Rule("good", "Good", function=lambda c, k: {"x": F.max(c)}), spark)
+    with pytest.raises(ValueError, match="bad"):
+        registry.add(Rule("bad", "Bad", function=lambda c, k: 1 / 0), spark)
+    assert registry.get("good") is not None
+    assert registry.get("bad") is None
