@@ -6,7 +6,7 @@ tests hold these against plain models.
 
 from __future__ import annotations
 
-from tablelens.llm import mixing, quotation, spotsigs, url_filter
+from tablelens.llm import exponion, mixing, quotation, spotsigs, url_filter
 
 UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
 
@@ -131,5 +131,29 @@ SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(c.b) AS compon
 """
 
 
+def _op11() -> str:
+    """Every round is a plain scan of all centroids."""
+    k, scale, dim = exponion.CLUSTERS, exponion.SCALE, exponion.DIM
+    digest = f"sha256('{exponion.SEED}:' || vec_id)"
+    parts = [
+        f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY {digest} NULLS LAST, v) - 1 AS c, v AS m FROM v ORDER BY {digest} NULLS LAST, v LIMIT {k})",
+    ]
+    for r in range(exponion.ROUNDS + 1):
+        d = f"(list_dot_product(v, v) + list_dot_product(m, m) - 2 * list_dot_product(v, m))::BIGINT"
+        parts.append(f"a{r} AS MATERIALIZED (SELECT r, min(d * {k} + c) % {k} AS c, min(d) AS d FROM (SELECT r, c, {d} AS d FROM v, c{r}) GROUP BY r)")
+        if r < exponion.ROUNDS:
+            x = "SELECT c, unnest(v)::BIGINT AS x, generate_subscripts(v, 1) AS i FROM v JOIN a{0} USING (r)".format(r)
+            mean = f"SELECT c, i, ((sum(x) - ((sum(x) % count(*) + count(*)) % count(*))) // count(*))::DOUBLE AS x FROM ({x}) GROUP BY 1, 2"
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.m, o.m) AS m FROM c{r} o LEFT JOIN (SELECT c, list(x ORDER BY i) AS m FROM ({mean}) GROUP BY c) n USING (c))")
+    last = exponion.ROUNDS
+    return ",\n".join(parts) + f"""
+SELECT v.vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+sha256(array_to_string(list_transform(m, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM v JOIN a{last} a USING (r) JOIN c{last} USING (c)
+"""
+
+
 def oracles(rules: list[tuple[str, str]]) -> dict[str, str]:
-    return {"op2_fingerprints": OP2, "op3_url_filter": op3(rules), "op4_mixing": OP4, "op5_chat_format": OP5, "op6_warc": OP6, "op10_ngram_join": OP10}
+    return {"op2_fingerprints": OP2, "op3_url_filter": op3(rules), "op4_mixing": OP4, "op5_chat_format": OP5, "op6_warc": OP6, "op10_ngram_join": OP10, "op11_centroids": _op11()}

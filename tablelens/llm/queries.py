@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import bpe, hnsw, langid, mixing, ngram_join, quotation, sharding, spotsigs, url_filter, warc
+from tablelens.llm import bpe, exponion, hnsw, langid, mixing, ngram_join, quotation, sharding, spotsigs, url_filter, warc
 from tablelens.llm.common import table
 from tablelens.llm.oracle import oracles
 
@@ -66,6 +66,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +80,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_fingerprints, op3_url_filter, op4_mixing, op5_chat_format, op6_warc, op7_language_id, op8_neighbours, op9_bpe,
-        op10_ngram_join, pipeline,
+        op10_ngram_join, op11_centroids, pipeline,
     )
 }
 
