@@ -70,6 +70,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written intermediate table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def remove_work_tables(spark: SparkSession, older_than_hours: float = 24.0) -> int:
     """Delete written intermediate tables that are older; how many went. Lazy results read them, so use them first."""
     jvm = spark._jvm
