@@ -70,10 +70,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a written intermediate table that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+class WorkTables:
+    """Written tables of one run, each deleted once no later step reads it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self._paths: dict[int, tuple[DataFrame, str, str | None]] = {}
+
+    def write(self, df: DataFrame, tag: str, part: str | None = None, bucket: str | None = None) -> DataFrame:
+        """``df`` written and read back; in folders by ``part``, or in buckets of ``bucket``, on which joins leave its rows in place."""
+        path, name = new_path(self.spark, tag), None
+        writer = df.write.option("compression", "zstd")
+        if bucket:
+            name = f"{tag}_{path.rpartition('-')[2]}".replace("-", "_")
+            writer = writer.bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), bucket).format("parquet").option("path", path)
+            writer.saveAsTable(name)
+            out = self.spark.table(name)
+        else:
+            (writer.partitionBy(part) if part else writer).parquet(path)
+            out = self.spark.read.schema(_nullable(df.schema)).parquet(path)
+        self._paths[id(out)] = out, path, name
+        return out
+
+    def discard(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing will read any more."""
+        for t in tables:
+            _, path, name = self._paths.pop(id(t))
+            if name:
+                self.spark.sql(f"DROP TABLE {name}")
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def discard_others(self, *keep: DataFrame) -> None:
+        """Delete all tables but these."""
+        self.discard(*[t for t, *_ in list(self._paths.values()) if all(t is not k for k in keep)])
 
 
 def remove_work_tables(spark: SparkSession, older_than_hours: float = 24.0) -> int:

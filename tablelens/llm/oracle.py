@@ -1,12 +1,12 @@
 """DuckDB SQL for the queries that SQL can express.
 
-Without SQL are op1 (DuckDB has no crc32), op7 and op8 (learned and approximate), op9 and the pipeline (merging): the
-tests hold these against plain models.
+Without SQL are op1 (a crc32 of whole texts is too slow), op7 and op8 (learned and approximate), op9 and the pipeline
+(merging), op13 (all windows of 400 bytes): the tests hold these against plain models.
 """
 
 from __future__ import annotations
 
-from tablelens.llm import exponion, mixing, quotation, spotsigs, url_filter
+from tablelens.llm import exponion, mixing, prefix_trie, quotation, spotsigs, url_filter
 
 UPPER, LOWER = url_filter.UPPER, url_filter.LOWER
 
@@ -155,5 +155,21 @@ FROM v JOIN a{last} a USING (r) JOIN c{last} USING (c)
 """
 
 
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+OP12 = rf"""
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t),
+own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS pos, d, w FROM (SELECT conv_id, turn, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+  len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}'))::BIGINT AS w FROM conversations WHERE conv_id IS NOT NULL)),
+conv AS (SELECT c, c - c % {prefix_trie.FAMILY} AS f, {_CRC} % {prefix_trie.HEADS} AS h FROM (SELECT DISTINCT c FROM own), tab),
+r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS depth, d, w FROM (SELECT v.c, 0 AS part, o.pos, o.d, o.w FROM conv v JOIN own o ON o.c = v.f AND o.pos <= v.h UNION ALL SELECT v.c, 1, o.pos, o.d, o.w FROM conv v JOIN own o ON o.c = v.c AND o.pos > v.h)),
+s AS (SELECT c, depth, md5(string_agg(d, '') OVER (PARTITION BY c ORDER BY depth)) AS k, w FROM r UNION ALL SELECT c, 0, '', 0 FROM conv),
+e AS (SELECT *, lag(k) OVER o AS pk, lead(k) OVER o AS ck FROM s WINDOW o AS (PARTITION BY c ORDER BY depth)),
+n AS (SELECT k, any_value(depth) AS depth, any_value(pk) AS pk, any_value(w) AS w, min(c) AS conv_id, count(*) AS n_convs, count(DISTINCT ck) AS n_children, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ck IS NULL), '')) AS ends_sha256 FROM e GROUP BY k),
+p AS (SELECT DISTINCT a.k, b.k AS below FROM s a JOIN s b ON a.c = b.c AND b.depth >= a.depth),
+t AS (SELECT p.k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * w)::BIGINT AS saved_tokens FROM p JOIN n ON n.k = p.below GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, t.n_leaves, t.saved_tokens, n.ends_sha256 FROM n JOIN t USING (k) LEFT JOIN n u ON u.k = n.pk
+"""
+
+
 def oracles(rules: list[tuple[str, str]]) -> dict[str, str]:
-    return {"op2_fingerprints": OP2, "op3_url_filter": op3(rules), "op4_mixing": OP4, "op5_chat_format": OP5, "op6_warc": OP6, "op10_ngram_join": OP10, "op11_centroids": _op11()}
+    return {"op2_fingerprints": OP2, "op3_url_filter": op3(rules), "op4_mixing": OP4, "op5_chat_format": OP5, "op6_warc": OP6, "op10_ngram_join": OP10, "op11_centroids": _op11(), "op12_prefix_trie": OP12}

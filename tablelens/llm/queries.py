@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.llm import bpe, exponion, hnsw, langid, mixing, ngram_join, quotation, sharding, spotsigs, suffix_dedup, url_filter, warc
+from tablelens.llm import bpe, exponion, hnsw, langid, mixing, ngram_join, prefix_trie, quotation, sharding, spotsigs, suffix_dedup, url_filter, warc
 from tablelens.llm.common import table
 from tablelens.llm.oracle import oracles
 
@@ -70,6 +70,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exponion.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("centroid")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -84,7 +88,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_fingerprints, op3_url_filter, op4_mixing, op5_chat_format, op6_warc, op7_language_id, op8_neighbours, op9_bpe,
-        op10_ngram_join, op11_centroids, op13_suffix_dedup, pipeline,
+        op10_ngram_join, op11_centroids, op12_prefix_trie, op13_suffix_dedup, pipeline,
     )
 }
 
