@@ -34,7 +34,7 @@ from tablelens.llm.common import WorkTables, only
 from tablelens.llm.mixing import count_words
 
 #: Turns of one first turn that a task takes: four even shares, within these bounds. Turns of a task.
-LEAST, MOST, TASK = 1 << 10, 1 << 14, 1 << 16
+LEAST, MOST, TASK = 1 << 9, 1 << 14, 1 << 16
 #: Ids that are written out together.
 IDS = 1 << 13
 #: Conversation c takes up to crc32(c) mod HEADS turns from conversation c - c mod FAMILY.
