@@ -261,6 +261,8 @@ SINGLE: dict[str, Callable[[Column, T.DataType], Fields]] = {
 }
 
 
+#: Checks that compare with bounds, which a first aggregation finds.
+BOUNDED = ("outlier_detection", "outlier_detection_zscore", "numeric_histogram_quantiles", "modality_estimation")
 #: Those that take the number of distinct values.
 WITH_UNIQUE = ("unique_count", "duplicate_value_analysis", "memory_usage_analysis", "cardinality_analysis")
 

@@ -50,6 +50,38 @@ def missingness(a: Column, b: Column) -> Fields:
     }
 
 
+#: Pairs looked at in one search for differing rows, rows that one search brings, and searches before all is aggregated.
+TOGETHER, FIRST, SEARCHES = 100, 20, 8
+
+
+def differ_first(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], bool]:
+    """Whether the columns of each pair are equal in every row, nulls included.
+
+    A search ends at the first few rows in which some pair differs; it starts with one partition and takes more only
+    if it found none. Pairs that were seen to differ drop out, and the next search has the others. So different columns
+    cost a few rows, and equal ones one pass for all of them. Pairs that are still open after ``SEARCHES`` searches
+    are settled by one aggregation.
+    """
+    found: dict[tuple[str, str], bool] = {}
+    for at in range(0, len(pairs), TOGETHER):
+        left = pairs[at : at + TOGETHER]
+        for _ in range(SEARCHES):
+            unequal = [(~X.col(a).eqNullSafe(X.col(b))).alias(f"d{i}") for i, (a, b) in enumerate(left)]
+            some = F.greatest(*[F.col(f"d{i}") for i in range(len(left))]) if len(left) > 1 else F.col("d0")
+            rows = df.select(*unequal).where(some).limit(FIRST).collect()
+            found |= {x: False for i, x in enumerate(left) if any(r[i] for r in rows)}
+            left = [x for x in left if x not in found]
+            if not rows:
+                found |= dict.fromkeys(left, True)
+                left = []
+            if not left:
+                break
+        if left:
+            row = df.agg(*[F.coalesce(F.bool_and(X.col(a).eqNullSafe(X.col(b))), F.lit(True)) for a, b in left]).first()
+            found |= dict(zip(left, row, strict=True))
+    return found
+
+
 AGGREGATED = {"identicality": identicality, "correlation": correlation, "missingness_relationships": missingness}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions import exprs as X
@@ -12,11 +12,20 @@ def should_sample(rows: int, threshold: int) -> bool:
     return rows > threshold
 
 
-def sample(df: DataFrame, size: int, seed: int = 42) -> DataFrame:
-    """Exactly ``size`` rows, the same for any partitioning: those with the smallest hash of seed and values."""
+def sample_order(df: DataFrame, seed: int = 42, by: tuple[str, ...] | None = None) -> Column:
+    """What rows are ordered by before the first are taken: a hash of seed and values, or a digest of seed and the columns ``by``.
+
+    The digest, of the texts of seed and values with colons between, can be made anywhere; it needs columns that tell rows apart.
+    """
+    if by:
+        return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(X.col(n).cast("string"), F.lit("")) for n in by]))
     kinds = {f.name: f.dataType.typeName() for f in df.schema}
-    values = [F.to_json(X.col(n)) if kinds[n] in ("map", "variant") else X.col(n) for n in df.columns]
-    return df.orderBy(F.xxhash64(F.lit(seed), *values)).limit(size)
+    return F.xxhash64(F.lit(seed), *[F.to_json(X.col(n)) if kinds[n] in ("map", "variant") else X.col(n) for n in df.columns])
+
+
+def sample(df: DataFrame, size: int, seed: int = 42, by: tuple[str, ...] | None = None) -> DataFrame:
+    """Exactly ``size`` rows, the same for any partitioning: the first in :func:`sample_order`."""
+    return df.orderBy(sample_order(df, seed, by)).limit(size)
 
 
 def optimal_size(rows: int, distinct: int, non_null: int, base: int = 10000) -> int:

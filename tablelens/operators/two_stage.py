@@ -18,8 +18,8 @@ from tablelens.operators.sampling import sample
 
 # Rules with two stages, the rows from which on they apply, and rows to look at first.
 HEAVY_RULES = (
-    "text_patterns", "data_format_patterns", "pii_pattern_detection", "outlier_detection", "outlier_detection_zscore", "parseability_analysis",
-    "stability_entropy", "modality_estimation", "top_k_frequencies",
+    "text_patterns", "outlier_detection", "outlier_detection_zscore", "text_regex_inference", "parseability_analysis", "stability_entropy",
+    "modality_estimation", "functional_dependency",
 )
 HEAVY_ROWS = 25000
 SAMPLES = {"text": 2000, "outlier": 3000, "other": 5000}
@@ -31,7 +31,7 @@ def applies(rule: str, rows: int) -> bool:
 
 
 def sample_rows(rule: str) -> int:
-    return SAMPLES["outlier" if rule.startswith("outlier") else "text" if rule in ("text_patterns", "data_format_patterns", "pii_pattern_detection") else "other"]
+    return SAMPLES["outlier" if rule.startswith("outlier") else "text" if rule == "text_patterns" else "other"]
 
 
 def may_stop_early(rule: str, rows: int) -> bool:

@@ -27,12 +27,14 @@ from pyspark.sql import types as T
 from tablelens.functions import exprs as X
 from tablelens.operators import attributes as A
 from tablelens.operators import columns as C
+from tablelens.operators import discovery as D
 from tablelens.operators import frequency as Q
 from tablelens.operators import nested as N
 from tablelens.operators import pairs as P
 from tablelens.operators.quantiles import BUILT_IN, exact_quantiles
 from tablelens.operators.regex_inference import infer_patterns
 from tablelens.operators.sampling import pair_sample_size, sample, should_sample
+from tablelens.operators.two_stage import may_stop_early
 from tablelens.plans.pairs import column_pairs, rule_takes
 from tablelens.plans.registry import Registry, analysis_depth
 from tablelens.plans.report import compile_report, plain
@@ -146,8 +148,11 @@ class Profiler:
 
     def column_results(self, df: DataFrame, attrs: list[ColumnAttributes], freq: DataFrame, modes: dict[str, dict]) -> list[RuleResult]:
         kinds = {f.name: f.dataType for f in df.schema}
-        plan = {a.name: self._rules(a) for a in attrs}
+        every = {a.name: self._rules(a) for a in attrs}
         by_name = {a.name: a for a in attrs}
+        heavy, found = self._discover(df, attrs, every)
+        # Rules that go in two stages are in no other plan.
+        plan = {n: [r for r in rules if r.id not in heavy.get(n, ())] for n, rules in every.items()}
         # Quantiles come from the kept frequencies; columns with very many values get theirs by narrowing, as the
         # built-in percentile gathers a column's distinct values in one task.
         numeric = [a for a in attrs if a.type_category == "numeric" and a.unique_count]
@@ -166,8 +171,9 @@ class Profiler:
                     needs.append(((name, r.id), C.SINGLE[r.id](*args)))
                 elif r.id == "numeric_histogram_quantiles":
                     needs.append(((name, r.id), C.quantiles(X.col(name), kinds[name], known.get(name))))
-            if by_name[name].type_category == "numeric":
+            if by_name[name].type_category == "numeric" and any(r.id in C.BOUNDED for r in rules):
                 needs.append(((name, "_bounds"), C.bounds(X.col(name), kinds[name], known.get(name))))
+        needs += [((n, r), D.confirm(X.col(n), kinds[n], r, found.get(n))) for n, rules in heavy.items() for r in rules]
         source = self._as_text(df, attrs)
         nested = [(n, r.id) for n, rules in plan.items() for r in rules if r.id in _NESTED or r.id == "array_element_type_analysis"]
 
@@ -180,14 +186,16 @@ class Profiler:
 
         tasks = [phases, lambda: self._from_frequencies(plan, freq, modes), *(lambda key=key: one(key) for key in nested)]
         got = {k: v for found in self._together(df.sparkSession, tasks) for k, v in found.items()}
-        patterned = [k for k, v in got.items() if k[1] == "text_patterns" and isinstance(v, dict)]
+        for n, rules in heavy.items():
+            got |= {(n, r): D.conclude(r, found.get(n), got[n, r]) for r in rules if isinstance(got[n, r], dict)}
+        patterned = [k for k, v in got.items() if k[1] not in heavy.get(k[0], ()) and k[1] == "text_patterns" and isinstance(v, dict)]
         open_ = [k for k in patterned if not got[k]["skip_regex_inference"]]
         inferred = dict(zip(open_, self._together(df.sparkSession, [lambda k=k: self._guard(df, lambda: {"p": infer_patterns(df, k[0])}) for k in open_]), strict=True))
         for k in patterned:
             found = inferred.get(k, {"p": []})
             got[k] = found if isinstance(found, Exception) else got[k] | {"inferred_patterns": [vars(p) for p in found["p"]]}
         out = []
-        for name, rules in plan.items():
+        for name, rules in every.items():
             for r in rules:
                 value = got.get((name, r.id), RuntimeError("the rule has no plan"))
                 out.append(self._result(r, value, (name,)))
@@ -198,6 +206,19 @@ class Profiler:
             return self.registry.relevant_at_depth(a, cross_column=False, depth=analysis_depth(a))
         return self.registry.relevant(a, cross_column=False)
 
+    def _discover(self, df: DataFrame, attrs: list[ColumnAttributes], plan: dict[str, list[Rule]]) -> tuple[dict[str, list[str]], dict[str, dict]]:
+        """By option: the rules of each column that go in two stages, and what one job over a sample shows for them."""
+        total = attrs[0].total_count if attrs else 0
+        if not self.config.two_stage:
+            return {}, {}
+        heavy = {n: D.two_stage_rules([r.id for r in rules if r.function is None], total, self.config.heavy_rule_threshold) for n, rules in plan.items()}
+        heavy = {n: rules for n, rules in heavy.items() if rules}
+        if not heavy:
+            return {}, {}
+        found = self._guard(df, lambda: D.found_by_column(D.discover(df, heavy, self.config.discovery_rows, self.config.random_seed, self.config.sample_key)))
+        # Without a sample the rules go over all rows, as they would without the option.
+        return ({}, {}) if isinstance(found, Exception) else (heavy, found)
+
     def _as_text(self, df: DataFrame, attrs: list[ColumnAttributes]) -> DataFrame:
         """By option, nulls of text columns count as the word that stands for them."""
         if not self.config.null_as_text:
@@ -246,8 +267,7 @@ class Profiler:
             ids = {r.id for r in rules}
             if isinstance(b, Exception):
                 # Without bounds none of these has a result.
-                rules_of_bounds = ("outlier_detection", "outlier_detection_zscore", "numeric_histogram_quantiles", "modality_estimation")
-                out |= {(name, r): b for r in rules_of_bounds if r in ids}
+                out |= {(name, r): b for r in C.BOUNDED if r in ids}
             if not isinstance(b, dict):
                 continue
             lit = F.struct(*[F.lit(b[k]).cast("double").alias(k) for k in fields])
@@ -344,8 +364,14 @@ class Profiler:
         # Equal columns have equal counts of values and nulls and the same mode: only such pairs are read row by row.
         facts = {a.name: (kinds[a.name], a.unique_count, a.null_count, a.most_common_value, a.most_common_frequency) for a in attrs}
         may = [x for x in pairs if facts[x[0]] == facts[x[1]]]
-        same = self.fused(self._sampled(df, "identicality", total), [((a, b, "identicality"), P.identicality(X.col(a), X.col(b))) for a, b in may])
         differ = {"identical": False, "identical_without_nulls": False, "skip_other_checks": False, "status": "low"}
+        source = self._sampled(df, "identicality", total)
+        early = self._guard(df, lambda: P.differ_first(source, may)) if self.config.early_exit and may_stop_early("identicality", total) else None
+        if isinstance(early, dict):
+            alike = {"identical": True, "identical_without_nulls": True, "skip_other_checks": True, "status": "high"}
+            same = {(*x, "identicality"): dict(alike if equal else differ) for x, equal in early.items()}
+        else:
+            same = self.fused(source, [((a, b, "identicality"), P.identicality(X.col(a), X.col(b))) for a, b in may])
         got |= {(a, b, "identicality"): dict(differ) for a, b in pairs} | same
         left = [x for x in pairs if not (isinstance(got[*x, "identicality"], dict) and got[*x, "identicality"]["identical"])]
         takes = lambda r, a, b: rule_takes(r, by_name[a], by_name[b]) and (not self.config.strict_pair_types or _strict(r, by_name[a], by_name[b]))

@@ -108,7 +108,9 @@ class ProfilingConfig:
     """Settings of a run. ``sample_size`` rows are taken of tables above ``sampling_threshold``; None takes all rows.
 
     Up to ``max_workers`` independent jobs are submitted together. With ``pair_sampling`` each pair rule looks at a bounded number of rows (``operators.sampling.PAIR_SAMPLES``) of tables
-    above ``pair_sampling_threshold`` rows. ``timeout_seconds`` is for one try of one fused aggregation, grouping or nested check; None, the default, is no limit.
+    above ``pair_sampling_threshold`` rows. With ``two_stage`` heavy rules of tables above ``heavy_rule_threshold`` rows are settled by what ``discovery_rows`` of a
+    sample show (``operators.discovery``), whose results have a shape of their own; ``sample_key`` names columns that tell rows apart, by which samples are then drawn.
+    With ``early_exit`` columns of tables above 10000 rows are compared only until they differ. ``timeout_seconds`` is for one try of one fused aggregation, grouping or nested check; None, the default, is no limit.
     """
 
     enable_cross_column: bool = True
@@ -125,6 +127,11 @@ class ProfilingConfig:
     max_workers: int = 4
     pair_sampling: bool = False
     pair_sampling_threshold: int = 50000
+    two_stage: bool = False
+    heavy_rule_threshold: int = 25000
+    discovery_rows: dict[str, int] = field(default_factory=lambda: {"text": 2000, "outlier": 3000, "other": 5000})
+    sample_key: tuple[str, ...] | None = None
+    early_exit: bool = True
 
 
 @dataclass

@@ -15,6 +15,7 @@ from tablelens.functions import exprs as X
 from tablelens.functions.patterns import BASIC_PATTERNS, FORMAT_PATTERNS, PII_PATTERNS
 from tablelens.operators import attributes as A
 from tablelens.operators import columns as C
+from tablelens.operators import discovery as D
 from tablelens.operators import frequency as Q
 from tablelens.operators import keys as K
 from tablelens.operators import nested as N
@@ -305,13 +306,61 @@ def q_format_signatures(spark, sf_dir):
     return S.format_signatures(load(spark, sf_dir, "part"), "p_brand")
 
 
-@query()
+_OUTLIERS, _PEAKS, _TYPES, _ENTROPY, _FORMATS, _LEVELS = ("outlier_detection", "outlier_detection_zscore"), ("modality_estimation",), ("parseability_analysis",), ("stability_entropy",), ("text_patterns",), ("functional_dependency",)
+_HEAVY = {
+    "lineitem": (("l_orderkey", "l_linenumber"), {"l_extendedprice": [*_OUTLIERS, *_PEAKS, *_TYPES], "l_quantity": [*_OUTLIERS, *_PEAKS, *_ENTROPY], "l_returnflag": [*_FORMATS, *_ENTROPY, *_LEVELS], "l_shipdate": [*_TYPES]}),
+    "part": (("p_partkey",), {"p_brand": [*_FORMATS, *_ENTROPY, *_LEVELS, *_TYPES], "p_name": [*_FORMATS], "p_partkey": [*_LEVELS]}),
+    "events": (("event_id",), {"value": [*_OUTLIERS, *_PEAKS], "props": [*_TYPES, *_FORMATS]}),
+}
+
+
+def _two_stage_sql() -> str:
+    """Stage 1 over the rows of smallest digest, stage 2 over the table: a row for each measure."""
+    out, samples = [], []
+    for t, (key, wanted) in _HEAVY.items():
+        digest = "md5('42:' || " + " || ':' || ".join(f"{k}::VARCHAR" for k in key) + ")"
+        s = f"s_{t}"
+        samples.append(f"{s} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {digest}) AS nth FROM {t}) WHERE nth <= 5000)")
+        for c, rules in wanted.items():
+            sig = f"regexp_replace(regexp_replace({c}::VARCHAR, '\\p{{L}}', 'L', 'g'), '\\p{{Nd}}', 'D', 'g')"
+            row = lambda rule, status, measures: f"SELECT '{t}.{c}' AS \"column\", '{rule}' AS rule, {status} AS status, unnest([{', '.join(repr(m) for m in measures)}]) AS measure, unnest([{', '.join(f'({v})::DOUBLE' for v in measures.values())}]) AS value"  # noqa: E731, B023
+            values = f"(SELECT {c}::VARCHAR AS v, count(*) AS k, (SELECT count(*) FROM {s}) AS n FROM {s} GROUP BY 1)"
+            for rule in rules:
+                if rule in _OUTLIERS:
+                    b = f"(SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b, avg({c}) AS m, stddev_samp({c}) AS d FROM {s} WHERE nth <= 3000)"
+                    x = f"(SELECT count({c}) AS n, count(*) FILTER ({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) AS i, count(*) FILTER ({c} < m - 3 * d OR {c} > m + 3 * d) AS z FROM {t}, {b})"
+                    share = "least(i, z)::DOUBLE / n"
+                    out.append(row(rule, f"CASE WHEN {share} <= 0.05 THEN 'passed' WHEN {share} <= 0.15 THEN 'warning' ELSE 'failed' END", {"outlier_count": "least(i, z)", "outlier_ratio": share, "iqr_outliers": "i", "zscore_outliers": "z"}) + f" FROM {x}")
+                elif rule in _PEAKS:
+                    b = f"(SELECT min({c}) AS lo, max({c}) AS hi, least(20, count({c}) // 2) AS bins FROM {s})"
+                    h = f"(SELECT count(*) AS k FROM {s}, {b} GROUP BY least(floor(({c} - lo) / ((hi - lo) / bins)) + 1, bins))"
+                    x = f"(SELECT (SELECT count(*) FROM {h} WHERE k > 0.1 * (SELECT max(k) FROM {h})) AS p, avg({c}) AS m, stddev_samp({c}) AS d, min({c}) AS lo, max({c}) AS hi FROM {s})"
+                    out.append(row(rule, "CASE WHEN p IN (1, 2) THEN 'passed' ELSE 'warning' END", {"estimated_peaks": "p", "mean": "m", "std": "d", "min": "lo", "max": "hi"}) + f" FROM {x}")
+                elif rule in _TYPES:
+                    tests = {"numeric": f"try_cast({c} AS DOUBLE) IS NOT NULL" if c != "l_shipdate" else "false", "datetime": "true" if c == "l_shipdate" else "false", "json": f"json_valid({c})" if c == "props" else "false"}
+                    m = {f"{k}_{w}": f"{k}_r" if w == "ratio" else f"floor({k}_r * n)" for k in tests for w in ("count", "ratio")}
+                    out.append(row(rule, "'passed'", m) + f" FROM (SELECT {', '.join(f'count(*) FILTER ({v})::DOUBLE / count({c}) AS {k}_r' for k, v in tests.items())} FROM {s}), (SELECT count(*) AS n FROM {t})")
+                elif rule in _ENTROPY:
+                    h = "-sum(k::DOUBLE / n * log2(k::DOUBLE / n + 1e-12)) FILTER (v IS NOT NULL)"
+                    out.append(row(rule, "'passed'", {"estimated_entropy": "h", "sample_entropy": "h"}) + f" FROM (SELECT {h} AS h FROM {values})")
+                elif rule in _LEVELS:
+                    x = f"(SELECT count(v) AS c, max(k) FILTER (v IS NOT NULL) AS hi, min(k) FILTER (v IS NOT NULL) AS lo, (SELECT count(*) FROM {t}) AS n FROM {values})"
+                    out.append(row(rule, "'passed'", {"category_count": "c", "most_common_freq": "hi", "least_common_freq": "lo"}) + f" FROM {x} WHERE c <= n * 0.8")
+                    out.append(row(rule, "'skipped'", {"category_count": "c"}) + f" FROM {x} WHERE c > n * 0.8")
+                else:
+                    f = f"(SELECT f FROM (SELECT {sig} AS f, count(*) AS k, sum(count(*)) OVER () AS n FROM {s} WHERE nth <= 2000 AND {c} IS NOT NULL GROUP BY 1 ORDER BY k DESC, f LIMIT 5) WHERE k >= 0.1 * n)"
+                    x = f"(SELECT f, (SELECT count(*) FILTER ({sig} = f)::DOUBLE / count({c}) FROM {t}) AS r FROM {f})"
+                    status = f"(SELECT CASE WHEN sum(r) >= 0.8 THEN 'passed' WHEN sum(r) >= 0.5 THEN 'warning' WHEN count(*) > 0 THEN 'failed' ELSE 'warning' END FROM {x})"
+                    out.append(f"SELECT '{t}.{c}' AS \"column\", '{rule}' AS rule, {status} AS status, measure, value FROM (SELECT f AS measure, r AS value FROM {x} UNION ALL SELECT CASE WHEN count(*) > 0 THEN 'total_coverage' ELSE '' END, coalesce(sum(r), 0) FROM {x})")
+    return f"WITH {', '.join(samples)} SELECT \"column\", rule, status, measure, {r6('value')} AS value FROM ({union(out)})"
+
+
+@query(_two_stage_sql())
 def q_two_stage(spark, sf_dir):
-    line, part = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "part")
-    formats = S.discover_formats(part, "p_brand")
-    a = part.agg(*[v.alias(k) for k, v in S.apply_formats(F.col("p_brand"), formats).items()]).select(F.lit("p_brand").alias("column"), F.col("match_ratio").alias("ratio"), "status")
-    b = line.agg(*[v.alias(k) for k, v in S.apply_thresholds(F.col("l_extendedprice"), S.discover_thresholds(line, "l_extendedprice")).items()])
-    return a.unionByName(b.select(F.lit("l_extendedprice").alias("column"), F.col("outlier_ratio").alias("ratio"), "status"))
+    rows = []
+    for t, (key, wanted) in _HEAVY.items():
+        rows += [(f"{t}.{m[0]}", *m[1:]) for m in D.measures(D.two_stage(load(spark, sf_dir, t), wanted, by=key))]
+    return spark.createDataFrame(rows, "column string, rule string, status string, measure string, value double")
 
 
 # -- arrays, dictionaries, dates, storage ----------------------------------------------------------------------------
