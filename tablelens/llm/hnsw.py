@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by hierarchical navigable small-world graphs, one per shard.
 
-Vectors of one direction (equal components once each is divided by the vector's largest) are one node. Nodes are dealt
+Equal vectors are one. They are dealt
 by hash to shards of about ``SHARD_BYTES``, so the number of shards follows from the memory of a task; each shard's
 graph is built in one task and stored as flat neighbour arrays, one per layer, with its vectors. A block of queries is
 searched in each shard and the shards' results are merged.
@@ -9,9 +9,14 @@ A graph grows by insertion: nodes join in batches that are small beside the grap
 search in the graph of the nodes before it, and among the nearest of its own batch. The work of a shard grows with n log
 n, and the search of a query with log n for each shard.
 
-Only the ids that can matter are kept with a node: the ``keep`` smallest, as vectors of one direction tie and ties go to
-the smaller id. An index made with ``keep`` answers searches for up to ``keep - 1`` neighbours (one place is for the
-query itself); a search for more is refused.
+Only the ids that can matter are kept with a node: the ``keep`` smallest, as equal vectors tie and ties go to the smaller
+id. An index made with ``keep`` answers searches for up to ``keep - 1`` neighbours (one place is for the query itself); a
+search for more is refused.
+
+A graph's nodes are cells: vectors whose components, at length 1, are equal when rounded to 2^-20. Graphs are searched in
+single precision; then the members of every cell of the last beam that can still hold one of the nearest, by the error of
+rounding, are scored in double precision on the original vectors. So near copies, which single precision can't put in
+order, come in their true order, however many they are. Scores beyond 1 by rounding are 1; equal scores go by id.
 
 Nulls: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows with a null
 id. With fewer candidates than ``k`` all are returned. Rows that repeat an id and a vector count once. Empty tables give
@@ -39,6 +44,8 @@ BATCH, BESIDE = 512, 16
 SEARCH_WIDTH = 500
 #: A search opens one node in this many of its beam at each step.
 FAN = 16
+#: Cells are this fine; likenesses of cells and of their members differ by less than this.
+CELLS, ERROR = float(1 << 20), 2e-5
 #: Queries that are searched at once in a task, and queries in a block.
 TOGETHER, QUERY_BLOCK = 64, 16384
 
@@ -239,8 +246,8 @@ def search(v: np.ndarray, layers: list[Layer], queries: np.ndarray, width: int =
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def directions(vectors: pa.Array) -> list[bytes | None]:
-    """Each vector divided by its largest component, in double precision; None for vectors that take no part."""
+def packed(vectors: pa.Array) -> list[bytes | None]:
+    """Each vector as the bytes of doubles; None for vectors that take no part."""
     out: list[bytes | None] = [None] * len(vectors)
     lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
     for dim in np.unique(lengths[lengths > 0]):
@@ -250,19 +257,19 @@ def directions(vectors: pa.Array) -> list[bytes | None]:
         largest = np.abs(v).max(1)
         ok = np.isfinite(largest) & (largest > 0)
         # The sum with 0.0 makes one zero of two.
-        for r, x in zip(rows[ok], v[ok] / largest[ok, None] + 0.0, strict=True):
+        for r, x in zip(rows[ok], v[ok] + 0.0, strict=True):
             out[r] = x.astype("<f8").tobytes()
     return out
 
 
 def nodes_of(df: DataFrame, key: str, vector: str, keep: int) -> DataFrame:
-    """vec (a direction, as bytes) and the ``keep`` smallest ids of every distinct direction; h is a hash of it."""
+    """vec (as bytes) and the ``keep`` smallest ids of every distinct vector; h is a hash of it."""
 
     def run(batches):
         for b in batches:
-            # Only so many ids leave a batch, so a direction that many rows share gathers nowhere.
+            # Only so many ids leave a batch, so a vector that many rows share gathers nowhere.
             held: dict[bytes, set[int]] = {}
-            for i, x in zip(b.column(0).to_pylist(), directions(b.column(1)), strict=True):
+            for i, x in zip(b.column(0).to_pylist(), packed(b.column(1)), strict=True):
                 if i is None or x is None:
                     continue
                 ids = held.setdefault(x, set())
@@ -279,20 +286,44 @@ def nodes_of(df: DataFrame, key: str, vector: str, keep: int) -> DataFrame:
     return d.withColumn("r", rank).where(F.col("r") <= keep).groupBy("h", "vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def _unit(direction: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    norm = np.sqrt((direction**2).sum(1))
-    return (direction / norm[:, None]).astype(np.float32), norm
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1. Division by the largest component first keeps squares in range."""
+    v = vectors / np.abs(vectors).max(1, keepdims=True)
+    return v / np.sqrt((v**2).sum(1))[:, None]
+
+
+def cells_of(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the vectors by cell, cells in the order of their first vectors; how many each has; the cells' own vectors."""
+    at = np.round(_unit(vectors) * CELLS)
+    _, first, cell, count = np.unique(at.astype(np.int32), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(first)
+    rank = np.empty(len(first), np.int64)
+    rank[order] = np.arange(len(first))
+    return np.argsort(rank[cell.ravel()], kind="stable"), count[order], (at[first[order]] / CELLS).astype(np.float32)
+
+
+def cosines(vectors: np.ndarray, norms: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosine of each vector and ``q`` in double precision, within -1 to 1. Sums go over one row each, so equal rows have equal scores."""
+    own = np.sqrt((q**2).sum())
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        s = (vectors * q).sum(1) / (norms * own)
+    # Where squares leave the range of doubles, the vectors are brought to a largest component of 1.
+    far = ~((norms > 1e-100) & (norms < 1e100)) | ~(1e-100 < own < 1e100)
+    if far.any():
+        v, u = vectors[far] / np.abs(vectors[far]).max(1, keepdims=True), q / np.abs(q).max()
+        s[far] = (v * u).sum(1) / (np.sqrt((v**2).sum(1)) * np.sqrt((u**2).sum()))
+    return np.clip(s, -1.0, 1.0)
 
 
 def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", keep: int = 6, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The stored index: a row for each shard with ids, directions, members, layers (flat arrays as bytes) and ``keep``."""
+    """The stored index: a row for each shard with ids, vectors, members, layers (flat arrays as bytes) and ``keep``."""
     nodes = materialise(nodes_of(df, key, vector, keep), "ann-nodes")
     size = nodes.agg(F.sum(F.octet_length("vec") + F.size("ids") * 8 + DEGREE * 10 + 16)).first()[0] or 0
     shards = max(1, math.ceil(size / shard_bytes))
     dealt = nodes.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h", "vec", "ids")
-    kind = "shard int, n int, dim int, keep int, ids binary, counts binary, vectors binary, members array<binary>, layers array<binary>"
+    kind = "shard int, n int, dim int, keep int, cells binary, ids binary, counts binary, vectors binary, members array<binary>, layers array<binary>"
     arrow = pa.schema([
-        ("shard", pa.int32()), ("n", pa.int32()), ("dim", pa.int32()), ("keep", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()),
+        ("shard", pa.int32()), ("n", pa.int32()), ("dim", pa.int32()), ("keep", pa.int32()), ("cells", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()),
         ("vectors", pa.binary()), ("members", pa.list_(pa.binary())), ("layers", pa.list_(pa.binary())),
     ])
 
@@ -304,9 +335,11 @@ def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k
         for dim in np.unique(lengths):
             t = table.filter(pa.array(lengths == dim))
             vec, ids = np.frombuffer(b"".join(t["vec"].to_pylist()), "<f8").reshape(-1, dim), t["ids"].combine_chunks()
-            layers = build_graph(_unit(vec)[0])
+            order, members, cells = cells_of(vec)
+            vec, ids = vec[order], ids.take(pa.array(order))
+            layers = build_graph(cells)
             out.append({
-                "shard": t["shard"][0].as_py(), "n": len(vec), "dim": int(dim), "keep": keep, "ids": ids.flatten().to_numpy().astype("<i8").tobytes(),
+                "shard": t["shard"][0].as_py(), "n": len(cells), "dim": int(dim), "keep": keep, "cells": members.astype("<i4").tobytes(), "ids": ids.flatten().to_numpy().astype("<i8").tobytes(),
                 "counts": pc.list_value_length(ids).to_numpy().astype("<i4").tobytes(), "vectors": vec.tobytes(),
                 "members": [x.members.astype("<i4").tobytes() for x in layers], "layers": [x.links.astype("<i4").tobytes() for x in layers],
             })
@@ -322,7 +355,7 @@ def search_index(index: DataFrame, queries: DataFrame, key: str = "vec_id", vect
     """
     about = index.agg(F.max("shard"), F.min("keep")).first()
     if about[1] is not None and about[1] < k + 1:
-        raise ValueError(f"the index keeps {about[1]} ids of equal directions, a search for {k} needs {k + 1}")
+        raise ValueError(f"the index keeps {about[1]} ids of equal vectors, a search for {k} needs {k + 1}")
     shards = (about[0] or 0) + 1
     q = only(queries, key, vector).select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vec"))
     q = q.where(F.col("query_id").isNotNull() & usable(F.col("vec")))
@@ -330,7 +363,7 @@ def search_index(index: DataFrame, queries: DataFrame, key: str = "vec_id", vect
     blocks = max(1, math.ceil(q.count() / QUERY_BLOCK))
     number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     asked = q.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), number.alias("block"), "query_id", "vec")
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
         got = {"query_id": [], "vec_id": [], "score": []}
@@ -339,29 +372,41 @@ def search_index(index: DataFrame, queries: DataFrame, key: str = "vec_id", vect
             mine = np.flatnonzero(qlen == row["dim"])
             if not len(mine):
                 continue
-            vec = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], row["dim"])
-            unit, norm = _unit(vec)
-            ends = np.concatenate([[0], np.cumsum(np.frombuffer(row["counts"], "<i4"))])
-            ids = np.frombuffer(row["ids"], "<i8")
+            vec, ids = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"]), np.frombuffer(row["ids"], "<i8")
+            with np.errstate(over="ignore", under="ignore"):
+                norms = np.sqrt((vec**2).sum(1))
+            counts = np.frombuffer(row["counts"], "<i4")
+            first = np.cumsum(counts) - counts
+            held = np.frombuffer(row["cells"], "<i4")
+            begin = np.cumsum(held) - held
+            # Ids of a cell, and the vector that stands for it.
+            many = np.add.reduceat(counts, begin)
+            unit = (np.round(_unit(vec[begin]) * CELLS) / CELLS).astype(np.float32)
             members = [np.frombuffer(m, "<i4") for m in row["members"]]
             layers = [Layer(row["n"], m, np.frombuffer(x, "<i4").reshape(len(m), -1)) for m, x in zip(members, row["layers"], strict=True)]
             asked_vec = right["vec"].take(pa.array(mine)).combine_chunks().flatten().to_numpy().reshape(-1, row["dim"])
-            qn = asked_vec / np.abs(asked_vec).max(1, keepdims=True)
-            qunit, qnorm = _unit(qn)
-            beam, like = search(unit, layers, qunit, max(width, 2 * k))
-            # Exact scores of the best few; some more nodes than asked for, as a query's own vector is among them.
-            few = np.argsort(-like, axis=1, kind="stable")[:, : 2 * k + 2]
+            beam, like = search(unit, layers, _unit(asked_vec).astype(np.float32), max(width, 2 * k))
             for r, i in enumerate(mine):
-                nodes = beam[r, few[r]]
-                nodes = nodes[nodes >= 0]
-                s = (vec[nodes] * qn[r]).sum(1) / (norm[nodes] * qnorm[r])
-                found = sorted((-float(x), int(v)) for x, n in zip(s, nodes, strict=True) for v in ids[ends[n] : ends[n + 1]] if v != qid[i])[:k]
-                got["query_id"] += [int(qid[i])] * len(found)
-                got["vec_id"] += [v for _, v in found]
-                got["score"] += [max(-1.0, min(1.0, -x)) for x, _ in found]
+                order = np.argsort(-like[r], kind="stable")
+                order = order[beam[r][order] >= 0]
+                # The best cells with k ids besides the query's own, and all that may be as near as the last of them.
+                enough = min(int(np.searchsorted(np.cumsum(many[beam[r][order]]), k + 1)), len(order) - 1)
+                near = beam[r][order[like[r][order] >= like[r][order[enough]] - ERROR]]
+                size = held[near]
+                nodes = np.repeat(begin[near] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                score = cosines(vec[nodes], norms[nodes], asked_vec[r])
+                # All their ids, but for the query's own.
+                size = counts[nodes]
+                at = np.repeat(first[nodes] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                found, s = ids[at], np.repeat(score, size)
+                found, s = found[found != qid[i]], s[found != qid[i]]
+                best = np.lexsort((found, -s))[:k]
+                got["query_id"] += [int(qid[i])] * len(best)
+                got["vec_id"] += found[best].tolist()
+                got["score"] += s[best].tolist()
         return pa.table(got, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    hits = held.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(find, "query_id long, vec_id long, score double")
+    hits = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(find, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -233,15 +233,66 @@ def test_graph_is_flat_and_linked():
     assert len(seen) > 490
 
 
-def test_vectors_of_one_direction_tie(spark):
+def test_equal_vectors_tie(spark):
     base = np.array([0.5, -1.25, 3.0, 0.125])
-    rows = [(i, [float(x) for x in base * (1 + i)]) for i in range(400)]
+    rows = [(i, [float(x) for x in base * 2.0 ** (i % 3)]) for i in range(400)]
     df = spark.createDataFrame(rows + [(1000, [1.0, 1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
     got = hnsw.search_index(hnsw.build_index(df), df.where("vec_id in (0, 300)")).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["vec_id"]) for r in got] == [(0, i) for i in (1, 2, 3, 4, 5)] + [(300, i) for i in range(5)]
     assert all(abs(r["score"] - 1) < 1e-12 for r in got)
 
 
+@pytest.mark.parametrize("noise", [1e-2, 1e-3, 1e-4, 1e-6])
+def test_recall_among_near_copies(spark, noise):
+    """Families of copies that single precision can't put in order."""
+    rng = np.random.default_rng(11)
+    v = np.repeat(rng.normal(size=(20, 64)), 100, axis=0) + noise * rng.normal(size=(2000, 64))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in hnsw.search_index(hnsw.build_index(df), df.where("vec_id % 50 = 0")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(found) == 40
+    norms = np.sqrt((v**2).sum(1))
+    hits = 0
+    for q, got in found.items():
+        s = (v * v[q]).sum(1) / (norms * norms[q])
+        s[q] = -2
+        hits += len(set(np.argsort(-s, kind="stable")[:5].tolist()) & got)
+    assert hits >= 0.95 * 5 * 40
+
+
+def test_multiples_tie_by_their_scores(spark):
+    """Vectors that point one way but for rounding: of the best score, the smallest ids."""
+    base = np.random.default_rng(2).normal(size=16)
+    v = np.array([(0.1 * (1 + i)) * base for i in range(400)])
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    norms = np.sqrt((v**2).sum(1))
+    for r in hnsw.search_index(hnsw.build_index(df), df.where("vec_id in (0, 300)")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("r")).collect():
+        s = np.clip((v * v[r["query_id"]]).sum(1) / (norms * norms[r["query_id"]]), -1, 1)
+        want = [i for i in np.lexsort((np.arange(400), -s)).tolist() if i != r["query_id"]][:5]
+        assert [x["vec_id"] for x in r["r"]] == want
+        assert [x["score"] for x in r["r"]] == s[want].tolist()
+
+
+def test_cells():
+    rng = np.random.default_rng(4)
+    v = np.repeat(rng.normal(size=(7, 5)), 30, axis=0) * rng.uniform(0.1, 9, (210, 1))
+    order, count, cells = hnsw.cells_of(v)
+    assert sorted(order.tolist()) == list(range(210)) and count.sum() == 210 and len(count) == len(cells)
+    assert 7 <= len(cells) < 210
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert np.abs(unit[order] - np.repeat(cells, count, axis=0)).max() <= 0.5 / hnsw.CELLS + 1e-9
+    firsts = [order[i] for i in np.cumsum(count) - count]
+    assert firsts == sorted(firsts)
+
+
+def test_vectors_of_extreme_size(spark):
+    rows = [(0, [1e300, 1e300]), (1, [1e-300, 1e-300]), (2, [1.0, 0.0]), (3, [-1e200, 1e200]), (4, [5e-324, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], round(r["score"], 12)) for r in hnsw.search_index(hnsw.build_index(df), df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 1.0), (4, 1.0), (2, round(0.5**0.5, 12)), (3, 0.0)]
+
+
 def test_search_beyond_what_the_index_keeps_is_refused(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)], "vec_id long, embedding array<double>")
     with pytest.raises(ValueError):
