@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.functions import exprs as X
 from tablelens.functions.patterns import BASIC_PATTERNS, FORMAT_PATTERNS, LITERAL_URL, PII_PATTERNS
+from tablelens.operators.quantiles import exact_quantiles
 
 Fields = dict[str, Column]
 QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -82,10 +83,15 @@ def bounds(c: Column, kind: T.DataType, known: dict[float, float] | None = None)
     return {"n": F.count(c), "q1": q[0], "q3": q[1], "mean": F.avg(c.cast("double")), "std": F.stddev_pop(c.cast("double")), "lo": F.min(d), "hi": F.max(d), "finite": F.count(d)}
 
 
-def outliers_iqr(c: Column, b: Column, first: int = 10) -> Fields:
-    """b: struct of ``bounds``. Strictly outside Q1 - 1.5 IQR to Q3 + 1.5 IQR; the smallest ``first`` are examples."""
-    d, iqr = c.cast("double"), b["q3"] - b["q1"]
-    lo, hi = b["q1"] - 1.5 * iqr, b["q3"] + 1.5 * iqr
+def fences(b) -> tuple:
+    """Q1 - 1.5 IQR and Q3 + 1.5 IQR of ``bounds``, as columns or as numbers."""
+    iqr = b["q3"] - b["q1"]
+    return b["q1"] - 1.5 * iqr, b["q3"] + 1.5 * iqr
+
+
+def outliers_iqr(c: Column, b: Column) -> Fields:
+    """b: struct of ``bounds``. Strictly outside the fences; ``outlier_examples`` has the first of them."""
+    d, (lo, hi) = c.cast("double"), fences(b)
     n, k = F.count(c), F.count_if((d < lo) | (d > hi))
     r = X.ratio(k, n)
     few = n < 4
@@ -95,6 +101,17 @@ def outliers_iqr(c: Column, b: Column, first: int = 10) -> Fields:
     }
 
 
+def outlier_examples(df: DataFrame, limits: dict[str, tuple[float, float]], first: int = 10) -> DataFrame:
+    """column, rank, value: the ``first`` smallest values outside (low, high) of each column, one job for all columns.
+
+    Ranks are cut off before rows move, so that a column sends at most ``first`` values a task.
+    """
+    d = lambda n: X.col(n).cast("double")
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.when((d(n) < lo) | (d(n) > hi), d(n)).alias("value")) for n, (lo, hi) in limits.items()])
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    return df.select(F.inline(cells)).where("value is not null").withColumn("rank", rank).where(F.col("rank") <= first).select("column", "rank", "value")
+
+
 def outliers_zscore(c: Column, b: Column, threshold: float = 3.0) -> Fields:
     n = F.count(c)
     k = F.count_if(F.abs((c.cast("double") - b["mean"]) / F.nullif(b["std"], F.lit(0.0))) > threshold)
@@ -141,8 +158,6 @@ def modality(df: DataFrame, name: str) -> DataFrame:
 
     A peak is an inner bin above both neighbours and at least a tenth of the highest.
     """
-    from pyspark.sql import Window
-
     w = Window.orderBy("bin")
     h = histogram(df, name, 20)
     h = h.withColumn("s", (F.col("count") + F.coalesce(F.lag("count").over(w), F.lit(0)) + F.coalesce(F.lead("count").over(w), F.lit(0))) / 3.0)
@@ -274,8 +289,22 @@ def per_column(df: DataFrame, names: list[str], check: Callable[[Column, T.DataT
     return df.agg(F.array(*made).alias("r")).select(F.inline("r"))
 
 
+def known_quantiles(df: DataFrame, names: list[str]) -> dict[str, dict[float, float | None]]:
+    """``QUANTILES`` of numeric columns by narrowing, whatever the number of distinct values; None where there are no values."""
+    found = exact_quantiles(df, names, list(QUANTILES))
+    return {n: found.get(n, dict.fromkeys(QUANTILES)) for n in names}
+
+
+def per_numeric_column(df: DataFrame, names: list[str], check: Callable[..., Fields]) -> DataFrame:
+    """As ``per_column`` for checks with quantiles, which are found first, so that no task gathers a column's values."""
+    kinds, known = {f.name: f.dataType for f in df.schema}, known_quantiles(df, names)
+    made = [F.struct(F.lit(n).alias("column"), *[v.alias(k) for k, v in check(X.col(n), kinds[n], known[n]).items()]) for n in names]
+    return df.agg(F.array(*made).alias("r")).select(F.inline("r"))
+
+
 def with_bounds(df: DataFrame, name: str, check: Callable[[Column, Column], Fields]) -> DataFrame:
-    """A check that needs ``bounds``, which come from a scalar subquery over the same data."""
+    """A check that needs ``bounds``: quantiles by narrowing, if it takes them, the others from a scalar subquery over the same data."""
     kind = df.schema[name].dataType
-    b = df.agg(F.struct(*[v.alias(k) for k, v in bounds(X.col(name), kind).items()]).alias("b")).scalar()
+    known = dict.fromkeys(QUANTILES) if check is outliers_zscore else known_quantiles(df, [name])[name]
+    b = df.agg(F.struct(*[v.alias(k) for k, v in bounds(X.col(name), kind, known).items()]).alias("b")).scalar()
     return df.agg(*[v.alias(k) for k, v in check(X.col(name), b).items()]).select(F.lit(name).alias("column"), "*")

@@ -1,13 +1,7 @@
-"""Checks of arrays and dictionaries, as JSON text or as native types.
-
-Everything goes over variants, JVM-side; only nesting depth, which has no bound, is measured by an Arrow UDF.
-"""
+"""Checks of arrays and dictionaries, as JSON text or as native types, all by built-in functions."""
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,27 +44,21 @@ def array_lengths(df: DataFrame, name: str) -> DataFrame:
     return a.withColumn("median_length", mid.scalar()).withColumn("status", F.when(F.col("valid_count") == 0, "warning").otherwise("passed"))
 
 
-def _depth(text: str | None) -> int | None:
-    """Nesting depth of a JSON value, scalars 0, without recursion."""
-    if text is None:
-        return None
-    most, todo = 0, [(json.loads(text), 1)]
-    while todo:
-        v, d = todo.pop()
-        if isinstance(v, list | dict):
-            most = max(most, d)
-            todo += [(x, d + 1) for x in (v.values() if isinstance(v, dict) else v) if isinstance(x, list | dict)]
-    return most
+def nesting(j: Column) -> Column:
+    """Nesting depth of valid JSON text, scalars 0: the most brackets that are open at once outside strings.
+
+    Escaped backslashes and quotes go first, then strings, then all that is no bracket; what is left is counted along.
+    """
+    bare = F.replace(F.replace(j, F.lit("\\\\")), F.lit('\\"'))
+    brackets = F.regexp_replace(F.regexp_replace(bare, '"[^"]*"', ""), r"[^\[\]{}]", "")
+    step = lambda b: F.when(b.isin("[", "{"), 1).when(b == "", 0).otherwise(-1)
+    open_ = lambda a, b: F.struct((a["now"] + step(b)).alias("now"), F.greatest(a["most"], a["now"] + step(b)).alias("most"))
+    return F.aggregate(F.split(brackets, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), open_, lambda a: a["most"])
 
 
 def depths(df: DataFrame, name: str, shape: str) -> DataFrame:
     """mean, min, max nesting depth: 1 for a flat value, one more for each list or object inside."""
-
-    @F.pandas_udf("int")
-    def depth(s: pd.Series) -> pd.Series:
-        return s.map(_depth).astype("Int32")
-
-    p = _parts(df, name, shape).select("present", depth("j").alias("d"), "j")
+    p = _parts(df, name, shape).select("present", nesting(F.col("j")).alias("d"), "j")
     return p.agg(
         F.avg("d").alias("mean_depth"), F.min("d").alias("min_depth"), F.max("d").alias("max_depth"), F.count("d").alias("valid_count"),
         F.count_if(F.col("present") & F.col("j").isNull()).alias("invalid_count"), F.when(F.count("d") == 0, "warning").otherwise("passed").alias("status"),
@@ -146,6 +134,7 @@ def value_types(df: DataFrame, name: str) -> DataFrame:
 def schema_summary(df: DataFrame, name: str) -> DataFrame:
     s = schemas(df, name)
     best = F.min(F.struct((-F.col("count")).alias("c"), F.col("signature").alias("s"), F.col("ratio").alias("r")))
+    invalid = _parts(df, name, "object").agg(F.count_if(F.col("present") & F.col("j").isNull()).alias("n"))
     return s.agg(
         X.rows().alias("unique_schemas"), best["s"].alias("most_common_schema"), best["r"].alias("consistency_ratio"), F.coalesce(F.sum("count"), F.lit(0)).alias("valid_count")
-    ).withColumn("status", F.when(F.col("valid_count") == 0, "warning").otherwise("passed"))
+    ).withColumn("invalid_count", invalid.scalar()).withColumn("status", F.when(F.col("valid_count") == 0, "warning").otherwise("passed"))

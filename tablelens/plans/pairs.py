@@ -14,7 +14,7 @@ def compatible(a: ColumnAttributes, b: ColumnAttributes) -> bool:
     return near and not (mostly_null(a) and mostly_null(b))
 
 
-def column_pairs(attributes: list[ColumnAttributes], most: int = 1000) -> list[tuple[str, str]]:
+def column_pairs(attributes: list[ColumnAttributes], most: int | None = 1000) -> list[tuple[str, str]]:
     """Pairs worth comparing: numeric ones first, then repetitive ones, then the other compatible ones.
 
     Constant and all-null columns are left out. In each class pairs keep the order numeric, repetitive, diverse columns.

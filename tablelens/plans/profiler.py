@@ -67,8 +67,8 @@ class Profiler:
         from tablelens.streaming.log import Logger
 
         self.config, self.registry, self.log = config or ProfilingConfig(), registry or Registry(), log or Logger()
-        #: The run reads a bounded sample.
-        self.small = False
+        #: The run reads a bounded sample; pairs beyond the most that are compared.
+        self.small, self.left_out = False, 0
 
     # -- jobs --------------------------------------------------------------------------------------------------------
 
@@ -281,6 +281,11 @@ class Profiler:
                 if "modality_estimation" in ids:
                     bins.append((name, "m", 20, b))
         out |= self.fused(df, needs)
+        limits = {n: C.fences(got[n, "_bounds"]) for n, r in out if r == "outlier_detection" and isinstance(out[n, r], dict) and out[n, r]["outlier_count"]}
+        for part in chunks(list(limits), COLUMN_CHUNK):
+            rows = self._guard(df, lambda part=part: {"r": C.outlier_examples(df, {n: limits[n] for n in part}).orderBy("rank").collect()})
+            for n in part:
+                out[n, "outlier_detection"] = rows if isinstance(rows, Exception) else out[n, "outlier_detection"] | {"outlier_examples": [r["value"] for r in rows["r"] if r["column"] == n]}
         counts: dict[tuple[str, str], list[int]] = {(n, k): [0] * size for n, k, size, _ in bins}
         for part in chunks(bins, COLUMN_CHUNK):
             cells = F.array(*[
@@ -353,7 +358,9 @@ class Profiler:
     def pair_results(self, df: DataFrame, attrs: list[ColumnAttributes]) -> list[RuleResult]:
         total = attrs[0].total_count if attrs else 0
         by_name = {a.name: a for a in attrs}
-        pairs = column_pairs(attrs, self.config.max_cross_column_pairs)
+        pairs = column_pairs(attrs, None)
+        self.left_out = max(0, len(pairs) - self.config.max_cross_column_pairs)
+        pairs = pairs[: self.config.max_cross_column_pairs]
         rules = [r for r in self.registry.rules() if r.cross_column and r.enabled]
         if not pairs or not rules:
             return []
@@ -495,7 +502,7 @@ class Profiler:
             for kept in ([freq] if freq is not None else []) + ([df] if sampled else []):
                 kept.unpersist()
         self.log.set_stage("compilation")
-        return compile_report(attrs, columns, crossed, whole, total, sampled, filename, time.time() - began, self.config)
+        return compile_report(attrs, columns, crossed, whole, total, sampled, filename, time.time() - began, self.config, self.left_out)
 
 
 def _strict(rule: str, a: ColumnAttributes, b: ColumnAttributes) -> bool:
@@ -515,13 +522,22 @@ def _peaks(counts: list[int]) -> dict:
 
 
 def table_stats(df: DataFrame) -> DataFrame:
-    """row_count, column_count, estimated_bytes, duplicate_rows."""
+    """row_count, column_count, estimated_bytes, duplicate_rows.
+
+    Rows are told apart by 128 bits: hashes of their values in either order, and of which ones are null. So what is
+    shuffled for a row has one size, however many columns there are; n different rows are taken for fewer with
+    probability n^2 / 2^129.
+    """
     kinds = {f.name: f.dataType for f in df.schema}
-    cells = [F.to_json(X.col(n)).alias(f"c{i}") if isinstance(kinds[n], T.MapType | T.VariantType) else X.col(n).alias(f"c{i}") for i, n in enumerate(df.columns)]
+    # Hashes skip nulls inside nested values, so these go as text that keeps them.
+    nested = T.ArrayType | T.StructType | T.MapType | T.VariantType
+    cells = [F.to_json(X.col(n), {"ignoreNullFields": "false"}) if isinstance(kinds[n], nested) else X.col(n) for n in df.columns]
     width = sum((X.width_bytes(X.col(n), kinds[n]) for n in df.columns), F.lit(0)).cast("long")
-    keys = [f"c{i}" for i in range(len(cells))]
-    if not keys:
-        return df.agg(X.rows().alias("row_count")).select("row_count", F.lit(0).cast("long").alias("column_count"), F.lit(0).cast("long").alias("estimated_bytes"), F.lit(0).cast("long").alias("duplicate_rows"))
-    g = df.select(*cells, width.alias("bytes")).groupBy(*keys).agg(X.rows().alias("n"), F.sum("bytes").alias("bytes"))
+    if not cells:
+        return df.agg(X.rows().alias("row_count")).select("row_count", *[F.lit(0).cast("long").alias(n) for n in ("column_count", "estimated_bytes", "duplicate_rows")])
+    # A null leaves a hash as it is, so which ones are null is hashed too.
+    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])
+    hashed = df.select(F.xxhash64(nulls, *cells).alias("h"), F.xxhash64(*reversed(cells), nulls).alias("g"), width.alias("bytes"))
+    g = hashed.groupBy("h", "g").agg(X.rows().alias("n"), F.sum("bytes").alias("bytes"))
     s = g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("estimated_bytes"), X.rows().alias("d"))
     return s.select("row_count", F.lit(len(cells)).cast("long").alias("column_count"), "estimated_bytes", (F.col("row_count") - F.col("d")).alias("duplicate_rows"))

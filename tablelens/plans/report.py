@@ -37,7 +37,7 @@ def score(results: list[RuleResult]) -> float:
 
 def compile_report(
     attrs: list[ColumnAttributes], columns: list[RuleResult], pairs: list[RuleResult], table: list[RuleResult], rows: int, sampled: bool,
-    filename: str | None, seconds: float, config: ProfilingConfig,
+    filename: str | None, seconds: float, config: ProfilingConfig, pairs_left_out: int = 0,
 ) -> ProfilingResult:
     every = [*columns, *pairs, *table]
     statuses = {s: sum(r.status == s for r in every) for s in sorted({r.status for r in every})}
@@ -56,7 +56,7 @@ def compile_report(
     return ProfilingResult(
         metadata={
             "filename": filename, "timestamp": datetime.now(timezone.utc).isoformat(), "row_count": rows, "column_count": len(attrs), "sampled": sampled,
-            "sample_size": config.sample_size if sampled else None, "execution_time_seconds": seconds, "config": plain(asdict(config)),
+            "sample_size": config.sample_size if sampled else None, "execution_time_seconds": seconds, "pairs_left_out": pairs_left_out, "config": plain(asdict(config)),
         },
         summary={
             "total_checks": len(every), "status_counts": statuses, "overall_score": total, "grade": grade(total), "errors": len(errors),

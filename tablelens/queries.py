@@ -21,6 +21,7 @@ from tablelens.operators import keys as K
 from tablelens.operators import nested as N
 from tablelens.operators import pairs as P
 from tablelens.operators import two_stage as S
+from tablelens.operators.quantiles import exact_quantiles
 from tablelens.operators.regex_inference import infer_patterns
 from tablelens.operators.sampling import sample
 from tablelens.plans.insights import insights
@@ -169,7 +170,7 @@ def q_parseability(spark, sf_dir):
     f"{r6('max({c}) - min({c})')} AS range", "count({c})::BIGINT AS non_null_count", "'passed' AS status",
 ])))
 def q_numeric_stats(spark, sf_dir):
-    return C.per_column(load(spark, sf_dir, "lineitem"), NUMBERS, C.numeric_stats)
+    return C.per_numeric_column(load(spark, sf_dir, "lineitem"), NUMBERS, C.numeric_stats)
 
 
 def _iqr_sql(t: str, c: str) -> str:
@@ -184,6 +185,19 @@ def q_outlier_iqr(spark, sf_dir):
     return a.unionByName(C.with_bounds(load(spark, sf_dir, "events"), "value", C.outliers_iqr))
 
 
+def _examples_sql(t: str, c: str) -> str:
+    return f"""SELECT '{c}' AS "column", row_number() OVER (ORDER BY x)::BIGINT AS rank, {r6('x')} AS value FROM (SELECT {c} AS x FROM {t}),
+(SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (SELECT quantile_cont({c}, 0.4) AS q1, quantile_cont({c}, 0.6) AS q3 FROM {t})) WHERE x < lo OR x > hi QUALIFY rank <= 10"""
+
+
+@query(union([_examples_sql("lineitem", c) for c in ("l_extendedprice", "l_quantity")]))
+def q_outlier_examples(spark, sf_dir):
+    """Fences from the middle fifth, as the given tables have no values outside those of the quartiles."""
+    df, names = load(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"]
+    q = exact_quantiles(df, names, [0.4, 0.6])
+    return C.outlier_examples(df, {n: C.fences({"q1": q[n][0.4], "q3": q[n][0.6]}) for n in names})
+
+
 def _z_sql(t: str, c: str) -> str:
     hit = "count(*) FILTER (WHERE abs((x - m) / s) > 3)"
     return f"""SELECT '{c}' AS "column", {hit}::BIGINT AS outlier_count, {r6(hit + '::DOUBLE / count(x)')} AS outlier_ratio, 3.0::DOUBLE AS threshold, count(x)::BIGINT AS non_null_count,
@@ -210,7 +224,7 @@ def q_histogram(spark, sf_dir):
 
 @query(each("lineitem", NUMBERS, ", ".join([f"{r6(f'quantile_cont({{c}}, {x})')} AS q{int(x * 100):02d}" for x in C.QUANTILES] + ["count({c})::BIGINT AS non_null_count"])))
 def q_quantiles(spark, sf_dir):
-    return C.per_column(load(spark, sf_dir, "lineitem"), NUMBERS, C.quantiles)
+    return C.per_numeric_column(load(spark, sf_dir, "lineitem"), NUMBERS, C.quantiles)
 
 
 @query(f"""WITH h AS ({_bins_sql('events', 'value', '20')}), s AS (SELECT bin, (k + coalesce(lag(k) OVER w, 0) + coalesce(lead(k) OVER w, 0)) / 3.0::DOUBLE AS s FROM h WINDOW w AS (ORDER BY bin)),
@@ -387,6 +401,16 @@ def q_dict_depth(spark, sf_dir):
     return N.depths(load(spark, sf_dir, "events"), "props", "object")
 
 
+@query(f"""SELECT round(avg(d), 6) AS mean_depth, min(d)::BIGINT AS min_depth, max(d)::BIGINT AS max_depth, count(d)::BIGINT AS valid_count,
+count(*) FILTER (WHERE event_type = 'error')::BIGINT AS invalid_count, 'passed' AS status
+FROM (SELECT *, CASE WHEN event_type <> 'error' AND user_id % 7 <> 0 THEN 1 + 2 * (user_id % 5) END AS d FROM events)""")
+def q_nested_depth(spark, sf_dir):
+    """Depth of dictionaries whose strings hold brackets, quotes and backslashes."""
+    deep = F.concat(F.lit('{"s": "]{[[\\"[[\\\\", "v": '), F.expr("repeat('[{\"a}\": ', int(user_id % 5))"), F.lit('"[x"'), F.expr("repeat('}, 1]', int(user_id % 5))"), F.lit("}"))
+    df = load(spark, sf_dir, "events").select(F.when(F.col("event_type") == "error", "[[ no json").when(F.col("user_id") % 7 != 0, deep).alias("deep"))
+    return N.depths(df, "deep", "object")
+
+
 @query('SELECT k AS "key", count(*)::BIGINT AS count, count(*) = (SELECT count(*) FROM events) AS in_all FROM (SELECT unnest(json_keys(props)) AS k FROM events) GROUP BY 1')
 def q_dict_keys(spark, sf_dir):
     return N.key_counts(load(spark, sf_dir, "events"), "props")

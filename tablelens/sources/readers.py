@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from tablelens.functions import exprs as X
 
 #: Rows that a preview of a table shows.
 PREVIEW_ROWS, PARTITION_VALUES = 10000, 500
+# Fixed value: the name of the folder of null partition values.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -17,12 +22,17 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_object_csv(spark: SparkSession, uri: str) -> DataFrame:
-    """A CSV object of a store; only ``s3://bucket/key`` is taken."""
+    """A CSV object of a store; only ``s3://bucket/key`` is taken. Where the session has no file system for ``s3``, that of ``s3a`` reads it."""
     scheme, _, rest = uri.partition("://")
     bucket, _, key = rest.partition("/")
     if scheme != "s3" or not bucket or not key:
         raise ValueError(f"not an s3://bucket/key address: {uri}")
-    return read_csv(spark, uri)
+    return read_csv(spark, store_path(spark, uri))
+
+
+def store_path(spark: SparkSession, uri: str) -> str:
+    known = any(spark._jsc.hadoopConfiguration().get(k) for k in ("fs.s3.impl", "fs.AbstractFileSystem.s3.impl"))
+    return uri if known else "s3a" + uri.removeprefix("s3")
 
 
 def run_query(spark: SparkSession, sql: str) -> DataFrame:
@@ -62,11 +72,29 @@ def tables(spark: SparkSession, database: str, catalog: str | None = None) -> li
         return [t.name for t in spark.catalog.listTables(database)]
 
 
+def partition_names(spark: SparkSession, table: str) -> list[dict[str, str]]:
+    """Partitions of a table, as key to text, from the catalog, or where it keeps none from the names of folders; no data file is opened."""
+    try:
+        found = [r[0] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    except AnalysisException:
+        found = {p.rpartition("/")[0] for p in spark.table(table).inputFiles()}
+    pairs = [[s.partition("=") for s in f.split("/") if "=" in s] for f in found]
+    return [{unquote(k): unquote(v) for k, _, v in p} for p in pairs]
+
+
 def partitions(spark: SparkSession, table: str) -> dict:
-    """Partition keys and the first values of each; empty for tables without partitions."""
+    """Partition keys and the first values of each, in order; empty for tables without partitions."""
     keys = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
-    t = spark.table(table)
-    return {"keys": keys, "values": {k: [r[0] for r in t.select(X.col(k)).distinct().orderBy(X.col(k)).limit(PARTITION_VALUES).collect()] for k in keys}}
+    if not keys:
+        return {"keys": [], "values": {}}
+    schema, names = spark.table(table).schema, partition_names(spark, table)
+    values = {}
+    for k in keys:
+        text = sorted({p[k] for p in names if k in p} - {NULL_PARTITION})
+        typed = spark.createDataFrame([(t,) for t in text], "v string").select(F.col("v").cast(schema[k].dataType).alias("v"))
+        rows = [r["v"] for r in typed.orderBy("v").limit(PARTITION_VALUES).collect()]
+        values[k] = ([None] + rows if any(p.get(k) == NULL_PARTITION for p in names) else rows)[:PARTITION_VALUES]
+    return {"keys": keys, "values": values}
 
 
 class _Catalog:
