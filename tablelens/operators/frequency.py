@@ -1,4 +1,9 @@
-"""Value frequencies: modes, top values, entropy, repeated values, from one table of (column, value, count)."""
+"""Value frequencies: modes, top values, entropy, repeated values, from one table of (column, value, count).
+
+Long texts stand in this table by their first characters and a digest, so that neither a shuffle nor the kept table holds
+them; ``with_texts`` brings back the texts of the few values that a result shows. Ties go by the value as it stands here:
+texts that begin with the same ``LONG`` characters and are equally frequent go by digest.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +15,50 @@ from tablelens.functions import exprs as X
 
 EPSILON = 1e-12
 TOP = 10
+#: Characters from which on a text is long, and that stand for it before its digest of 32 digits.
+LONG = 128
 
 
-def frequencies(df: DataFrame, names: list[str]) -> DataFrame:
-    """column, value (as text), count of every distinct value, nulls included, of all ``names`` in one shuffle."""
+def _texts(df: DataFrame, names: list[str]) -> dict[str, Column]:
     kinds = {f.name: f.dataType.typeName() for f in df.schema}
-    text = lambda n: F.to_json(X.col(n)) if kinds[n] in ("array", "map", "struct", "variant") else X.col(n).cast("string")
-    cells = F.array(*[F.struct(F.lit(n).alias("column"), text(n).alias("value")) for n in names])
+    return {n: F.to_json(X.col(n)) if kinds[n] in ("array", "map", "struct", "variant") else X.col(n).cast("string") for n in names}
+
+
+def short_form(text: Column) -> Column:
+    """The text itself, or of a long one its first characters, a zero and its digest. No short text is as long as that."""
+    return F.when(F.char_length(text) > LONG, F.concat(F.left(text, F.lit(LONG)), F.lit("\0"), F.md5(text))).otherwise(text)
+
+
+def is_short_form(value: str | None) -> bool:
+    """The value stands for a long text."""
+    return value is not None and len(value) == LONG + 33
+
+
+def with_texts(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (column, value, ...) of few values, as ``top_values`` makes them, with long texts in place of their short forms.
+
+    The rows are broadcast, so they must be few: ranks of columns, not frequencies.
+    """
+    asked = rows.where(F.char_length("value") == LONG + 33).select("column", "value").distinct()
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.when(F.char_length(t) > LONG, t).alias("text")) for n, t in _texts(df, df.columns).items()])
+    long = df.select(F.inline(cells)).where("text is not null").select("column", short_form(F.col("text")).alias("value"), "text")
+    found = long.join(F.broadcast(asked), ["column", "value"]).groupBy("column", "value").agg(F.first("text").alias("text"))
+    return rows.join(found, ["column", "value"], "left").withColumn("value", F.coalesce("text", "value")).select(rows.columns)
+
+
+def whole_texts(df: DataFrame, wanted: list[tuple[str, str]]) -> dict[tuple[str, str], str]:
+    """Texts of short forms (column, value), by one job; few of them, as they come to the driver."""
+    wanted = sorted({(c, v) for c, v in wanted if is_short_form(v)})
+    if not wanted:
+        return {}
+    rows = df.sparkSession.createDataFrame([(c, v, v) for c, v in wanted], "column string, value string, short string")
+    some = df.select(*[X.col(n) for n in sorted({c for c, _ in wanted})])
+    return {(r["column"], r["short"]): r["value"] for r in with_texts(some, rows).collect()}
+
+
+def frequencies(df: DataFrame, names: list[str]) -> DataFrame:
+    """column, value (as text, long ones in their short form), count of every distinct value, nulls included, of all ``names`` in one shuffle."""
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), short_form(t).alias("value")) for n, t in _texts(df, names).items()])
     return df.select(F.inline(cells)).groupBy("column", "value").agg(X.rows().alias("count"))
 
 

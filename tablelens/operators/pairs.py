@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions import exprs as X
@@ -99,13 +99,98 @@ def pair_groups(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """
     names = sorted({n for x in pairs for n in x})
     at = {n: f"h{i}" for i, n in enumerate(names)}
-    kinds = {f.name: f.dataType.typeName() for f in df.schema}
-    value = lambda n: F.to_json(X.col(n)) if kinds[n] in ("map", "variant") else X.col(n)
-    hashed = df.select(*[F.when(X.col(n).isNotNull(), F.xxhash64(value(n))).alias(h) for n, h in at.items()])
+    hashed = _hashed(df, names)
     cells = F.array(*[F.struct(F.lit(i).alias("p"), F.col(at[a]).alias("a"), F.col(at[b]).alias("b")) for i, (a, b) in enumerate(pairs)])
     return hashed.select(F.inline(cells)).groupBy("p", "a", "b").agg(X.rows().alias("n"))
 
 
+#: From so many levels on a column is wide, and a value of more than this part of all rows is hot.
+WIDE, HOT_PART = 5000, 16
+
+
+def _hashed(df: DataFrame, names: list[str]) -> DataFrame:
+    """h0, h1, ...: 64-bit hashes of the columns' values, null for null."""
+    kinds = {f.name: f.dataType.typeName() for f in df.schema}
+    value = lambda n: F.to_json(X.col(n)) if kinds[n] in ("map", "variant") else X.col(n)
+    return df.select(*[F.when(X.col(n).isNotNull(), F.xxhash64(value(n))).alias(f"h{i}") for i, n in enumerate(names)])
+
+
+def hot_values(hashed: DataFrame, names: list[str], rows: int) -> dict[str, list[int | None]]:
+    """Hashes that more than a ``HOT_PART`` of the rows have, of each column h0, h1, ...: one job, fewer than ``HOT_PART`` a column."""
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"h{i}").alias("h")) for i in range(len(names))])
+    out: dict[str, list[int | None]] = {n: [] for n in names}
+    for r in hashed.select(F.inline(cells)).groupBy("i", "h").agg(X.rows().alias("n")).where(F.col("n") > rows / HOT_PART).collect():
+        out[names[r["i"]]].append(r["h"])
+    return out
+
+
+def wide_sums(df: DataFrame, pairs: list[tuple[str, str]], levels: dict[str, int], rows: int) -> DataFrame:
+    """p, total, distinct_rows, s (sum of o^2 / (row total * column total) of the crosstab) of pairs with a wide column.
+
+    Rows are dealt once for each wide column, by its value, with the values of all columns it is paired with; the cells
+    of all these pairs lie together then and are counted where they are. What leaves is one row for each pair and value
+    of the other column. Rows of hot values are counted before they move instead, pair by pair.
+    """
+    names = sorted({n for x in pairs for n in x})
+    at = {n: f"h{i}" for i, n in enumerate(names)}
+    owner = [max(x, key=lambda n: levels[n]) for x in pairs]
+    hashed = _hashed(df, names)
+    hot = hot_values(hashed.select(*[F.col(at[n]).alias(f"h{i}") for i, n in enumerate(sorted(set(owner)))]), sorted(set(owner)), rows)
+    whole = None
+    for a in sorted(set(owner)):
+        mine = [(i, x[1] if x[0] == a else x[0]) for i, x in enumerate(pairs) if owner[i] == a]
+        own = F.col(at[a])
+        is_hot = F.lit(False)
+        for h in hot[a]:
+            is_hot = is_hot | own.eqNullSafe(F.lit(h).cast("long"))
+        cells = F.array(*[F.struct(F.lit(i).alias("p"), F.col(at[b]).alias("b")) for i, b in mine])
+        slim = hashed.select(own.alias("a"), cells.alias("cells"), is_hot.alias("hot"))
+        dealt = slim.where("not hot").repartition("a").withColumn("r", F.count(F.lit(1)).over(Window.partitionBy("a")))
+        counted = dealt.select("a", "r", F.inline("cells")).groupBy("a", "p", "b", "r").agg(X.rows().alias("n"))
+        if hot[a]:
+            few = slim.where("hot")
+            totals = few.groupBy("a").agg(X.rows().alias("r"))
+            cut = few.select("a", F.inline("cells")).groupBy("a", "p", "b").agg(X.rows().alias("n"))
+            # Fewer than HOT_PART rows.
+            cut = cut.join(F.broadcast(totals.withColumnRenamed("a", "v")), F.col("a").eqNullSafe(F.col("v"))).select("a", "p", "b", "r", "n")
+            counted = counted.unionByName(cut)
+        o = F.col("n").cast("double")
+        by_b = counted.groupBy("p", "b").agg(F.sum(o * o / F.col("r")).alias("t"), F.sum("n").alias("c"), X.rows().alias("cells"))
+        part = by_b.groupBy("p").agg(F.sum("c").alias("total"), F.sum("cells").alias("distinct_rows"), F.sum(F.col("t") / F.col("c")).alias("s"))
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
+
+
+def with_sides(sums: DataFrame, pairs: list[tuple[str, str]], known: dict[str, tuple[int, int]], levels: dict[str, int]) -> DataFrame:
+    """``wide_sums`` with what is known of the columns: present and distinct values, levels, and chi2."""
+    at = F.col("p") + 1
+    pick = lambda value: F.element_at(F.array(*[F.lit(value(x)).cast("long") for x in pairs]), at)
+    return sums.select(
+        "p", "total", "distinct_rows", F.col("total").alias("sample_size"), F.greatest(F.lit(0.0), F.col("total") * (F.col("s") - 1)).alias("chi2"),
+        pick(lambda x: levels[x[0]]).alias("n_rows"), pick(lambda x: levels[x[1]]).alias("n_cols"),
+        pick(lambda x: known[x[0]][0]).alias("forward_unique"), pick(lambda x: known[x[0]][1]).alias("forward_present"),
+        pick(lambda x: known[x[1]][0]).alias("reverse_unique"), pick(lambda x: known[x[1]][1]).alias("reverse_present"),
+    )
+
+
+def settled_composite(x: tuple[str, str], known: dict[str, tuple[int, int]]) -> dict | None:
+    """The result of composite uniqueness where one column is unique by itself, which needs no row."""
+    alone = [n for n in x if known[n][1] > 0 and known[n][0] == known[n][1]]
+    share = lambda n: known[n][0] / known[n][1] if known[n][1] else 0.0
+    return {
+        "duplicate_rows": 0, "uniqueness_ratio": 1.0, "column1_ratio": share(x[0]), "column2_ratio": share(x[1]), "unique_column": alone[0], "status": "skipped",
+    } if alone else None
+
+
+def settled_association(x: tuple[str, str], levels: dict[str, int], rows: int) -> dict | None:
+    """Cramer's V where one column has as many levels as there are rows: each row total is 1, so chi2 is n (levels of the other - 1)."""
+    if not rows or rows not in (levels[x[0]], levels[x[1]]):
+        return None
+    k = min(levels[x[0]], levels[x[1]])
+    out = {"sample_size": rows, "chi2": float(rows * (k - 1)), "n_rows": levels[x[0]], "n_cols": levels[x[1]]}
+    return out | ({"cramers_v": 1.0, "strength": "strong", "status": "high"} if k >= 2 else {"cramers_v": None, "strength": None, "status": "skipped"})
+
+
 def _side(g: DataFrame, own: str, other: str, tag: str) -> DataFrame:
     """By p: groups of one column that have a value of the other, those with several, distinct and present values."""
     s = g.groupBy("p", own).agg(F.sum("n").alias("r"), F.count(other).alias("d"))
@@ -184,9 +269,14 @@ def chi_squares(g: DataFrame) -> DataFrame:
 
 def associations(g: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Cramer's V of each pair."""
+    return strengths(chi_squares(g), pairs)
+
+
+def strengths(chi: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Cramer's V from p, sample_size, chi2, n_rows and n_cols."""
     k = F.least("n_rows", "n_cols")
     v = F.when(k >= 2, F.sqrt(F.col("chi2") / (F.col("sample_size") * (k - 1))))
-    return _named(chi_squares(g), pairs).select(
+    return _named(chi, pairs).select(
         "column1", "column2", "sample_size", "chi2", "n_rows", "n_cols", v.alias("cramers_v"),
         F.when(v.isNotNull(), X.ladder(v, [(0.5, "strong"), (0.3, "moderate"), (0.1, "weak")], "very weak")).alias("strength"),
         F.when(v.isNull(), "skipped").otherwise(X.ladder(v, [(0.5, "high"), (0.3, "medium")], "low")).alias("status"),

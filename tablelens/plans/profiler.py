@@ -17,6 +17,7 @@ import time
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -42,6 +43,9 @@ from tablelens.plans.types import ColumnAttributes, ProfilingConfig, ProfilingRe
 
 #: Columns in one aggregation of types and levels, and pairs in one grouping.
 COLUMN_CHUNK, PAIR_CHUNK = 64, 32
+#: Pairs with a wide column in one job.
+WIDE_CHUNK = 128
+_SIDES = "p int, total long, distinct_rows long, sample_size long, chi2 double, n_rows long, n_cols long, forward_unique long, forward_present long, reverse_unique long, reverse_present long"
 #: Rows (key, type) of a dictionary column in its result, which says if there are more.
 VALUE_TYPES = 1000
 #: Over a bounded sample the time goes into planning, which threads share: fewer columns and aggregates a job.
@@ -184,7 +188,7 @@ class Profiler:
         def one(key: tuple[str, str]) -> dict:
             return {key: self._guard(df, lambda: self._nested(df, *key))}
 
-        tasks = [phases, lambda: self._from_frequencies(plan, freq, modes), *(lambda key=key: one(key) for key in nested)]
+        tasks = [phases, lambda: self._from_frequencies(df, plan, freq, modes), *(lambda key=key: one(key) for key in nested)]
         got = {k: v for found in self._together(df.sparkSession, tasks) for k, v in found.items()}
         for n, rules in heavy.items():
             got |= {(n, r): D.conclude(r, found.get(n), got[n, r]) for r in rules if isinstance(got[n, r], dict)}
@@ -309,7 +313,7 @@ class Profiler:
                 out.setdefault((name, "modality_estimation"), _peaks([]))
         return out
 
-    def _from_frequencies(self, plan: dict[str, list[Rule]], freq: DataFrame, modes: dict[str, dict]) -> dict:
+    def _from_frequencies(self, df: DataFrame, plan: dict[str, list[Rule]], freq: DataFrame, modes: dict[str, dict]) -> dict:
         known = {n: (m["total"], m["non_null"]) for n, m in modes.items()}
         own = ("column", "total", "non_null", "unique")
         empty = {"status": "warning", "message": "No data"}
@@ -329,7 +333,21 @@ class Profiler:
                 alone = dict.fromkeys(names, rows)
             return {(n, rule): r if isinstance(r, Exception) else {k: v for k, v in r.get(n, empty).items() if k not in own} for n, r in alone.items()}
 
-        return {k: v for found in self._together(freq.sparkSession, [lambda r=r: one(r) for r in tables]) for k, v in found.items()}
+        out = {k: v for found in self._together(freq.sparkSession, [lambda r=r: one(r) for r in tables]) for k, v in found.items()}
+        return self._whole_texts(df, out)
+
+    def _whole_texts(self, df: DataFrame, results: dict) -> dict:
+        """Long texts in place of the short forms by which they were counted, in all results by one job."""
+        shown = [(n, v) for (n, _), r in results.items() if isinstance(r, dict) for v in [r.get("most_common_value"), r.get("most_common_non_null"), *(x["value"] for x in r.get("values", []))]]
+        texts = self._guard(df, lambda: Q.whole_texts(df, shown))
+        if isinstance(texts, Exception):
+            return {k: texts if isinstance(r, dict) and k[1] in ("most_common_value", "top_k_frequencies") else r for k, r in results.items()}
+        for (n, _), r in results.items():
+            if isinstance(r, dict):
+                r |= {k: texts.get((n, r[k]), r[k]) for k in ("most_common_value", "most_common_non_null") if k in r}
+                for x in r.get("values", []):
+                    x["value"] = texts.get((n, x["value"]), x["value"])
+        return results
 
     @staticmethod
     def _top(values: DataFrame, known: dict[str, tuple[int, int]]) -> dict[str, dict]:
@@ -396,13 +414,48 @@ class Profiler:
         grouped = ("functional_dependency", "composite_uniqueness", "categorical_association_cramers_v")
 
         known = {a.name: (a.unique_count, a.total_count - a.null_count) for a in attrs}
+        levels = {a.name: a.unique_count + (a.null_count > 0) for a in attrs}
+        # What is known of the columns settles some pairs; others with a wide column go by its values. Neither is
+        # exploded. What is known holds for all rows, so rules that look at a sample are left as they are.
+        aside: set[tuple[str, str, str]] = set()
+        wide: dict[str, list[tuple[str, str]]] = {}
+        for rule, settle in (("composite_uniqueness", lambda x: P.settled_composite(x, known)), ("categorical_association_cramers_v", lambda x: P.settled_association(x, levels, total))):
+            for x in left if rule in ids and self._rows_of(rule, total) == total else []:
+                if not takes(rule, *x):
+                    continue
+                if (value := settle(x)) is not None:
+                    got[*x, rule] = value
+                    aside.add((*x, rule))
+                elif max(levels[x[0]], levels[x[1]]) >= P.WIDE and not self.small:
+                    wide.setdefault(rule, []).append(x)
+                    aside.add((*x, rule))
+
+        def by_wide_columns() -> dict:
+            some = [x for x in left if any(x in w for w in wide.values())]
+            found: dict = {}
+            for part in chunks(some, WIDE_CHUNK):
+                rows = self._guard(df, lambda part=part: {"r": P.with_sides(P.wide_sums(df, part, levels, total), part, known, levels).collect()})
+                if isinstance(rows, Exception) and len(part) > 1:
+                    # Pair by pair, so that only those that fail alone are errors.
+                    rows = [(x, self._guard(df, lambda x=x: {"r": P.with_sides(P.wide_sums(df, [x], levels, total), [x], known, levels).collect()})) for x in part]
+                else:
+                    rows = [(part, rows)]
+                for of, one in rows:
+                    these = of if isinstance(of, list) else [of]
+                    if isinstance(one, Exception):
+                        found |= {(*x, rule): one for x in these for rule, w in wide.items() if x in w}
+                        continue
+                    sums = df.sparkSession.createDataFrame(one["r"], _SIDES)
+                    for rule, table in (("composite_uniqueness", P.composites), ("categorical_association_cramers_v", P.strengths)):
+                        found |= {(r["column1"], r["column2"], rule): r.asDict() for r in table(sums, these).collect() if (r["column1"], r["column2"]) in wide.get(rule, ())}
+            return found
 
         def grouping(source: DataFrame, part: list[tuple[str, str]], only: tuple[str, ...]) -> dict:
             found: dict = {}
             failed: list[tuple[str, tuple[str, str]]] = []
             g = P.pair_groups(source, part).persist()
             # Dependencies look at repetitive columns only, whose groups are few; the others need one pass each.
-            mine = {rule: [i for i, x in enumerate(part) if rule in ids and rule in only and takes(rule, *x)] for rule in grouped}
+            mine = {rule: [i for i, x in enumerate(part) if rule in ids and rule in only and takes(rule, *x) and (*x, rule) not in aside] for rule in grouped}
             of = lambda rule: g if len(mine[rule]) == len(part) else g.where(F.col("p").isin(mine[rule]))
             tables = {
                 "functional_dependency": lambda: P.dependencies(P.pair_summary(of("functional_dependency")), part),
@@ -432,9 +485,9 @@ class Profiler:
             by_rows.setdefault(self._rows_of(rule, total), []).append(rule)
         parts = []
         for same_rows in by_rows.values():
-            some = [x for x in left if any(rule in ids and takes(rule, *x) for rule in same_rows)]
+            some = [x for x in left if any(rule in ids and takes(rule, *x) and (*x, rule) not in aside for rule in same_rows)]
             parts += [(self._sampled(df, same_rows[0], total), part, tuple(same_rows)) for part in chunks(some, SMALL_PAIRS if self.small else PAIR_CHUNK)]
-        for found in self._together(df.sparkSession, [lambda x=x: grouping(*x) for x in parts]):
+        for found in self._together(df.sparkSession, [by_wide_columns, *(lambda x=x: grouping(*x) for x in parts)]):
             got |= found
         if self.config.enhanced_statistics:
             for a, b in left:
@@ -498,6 +551,8 @@ class Profiler:
                 lambda: self.pair_results(df, attrs) if pairs else [],
                 lambda: self.table_results(df),
             ])
+            texts = Q.whole_texts(df, [(a.name, a.most_common_value) for a in attrs])
+            attrs = [replace(a, most_common_value=texts.get((a.name, a.most_common_value), a.most_common_value)) for a in attrs]
         finally:
             for kept in ([freq] if freq is not None else []) + ([df] if sampled else []):
                 kept.unpersist()

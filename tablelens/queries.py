@@ -137,6 +137,19 @@ def q_top_k(spark, sf_dir):
     return Q.top_values(Q.frequencies(load(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"]))
 
 
+_FORM = "CASE WHEN length(v) > 128 THEN left(v, 128) || chr(1) || md5(v) ELSE v END"
+
+
+@query(union([
+    f"""SELECT '{c}' AS "column", row_number() OVER (ORDER BY k DESC, {_FORM})::BIGINT AS rank, v AS value, k::BIGINT AS count, {r6('k::DOUBLE / sum(k) OVER ()')} AS ratio
+FROM (SELECT {c} AS v, count(*) AS k FROM documents WHERE {c} IS NOT NULL GROUP BY 1) QUALIFY rank <= 10""" for c in ("text", "lang", "source")
+]))
+def q_top_texts(spark, sf_dir):
+    """Most frequent values of whole texts; they are counted by digest and fetched for the ranks."""
+    docs = load(spark, sf_dir, "documents").select("text", "lang", "source")
+    return Q.with_texts(docs, Q.top_values(Q.frequencies(docs, docs.columns)))
+
+
 @query(union([
     f"""SELECT '{c}' AS "column", {r6('sum(CASE WHEN k > 1 THEN k ELSE 0 END)::DOUBLE / max(n)')} AS repeated_value_share, {r6('-sum(k / n * log2(k / n + 1e-12))')} AS entropy,
 {r6('CASE WHEN count(*) > 1 THEN -sum(k / n * log2(k / n + 1e-12)) / log2(count(*)) ELSE 0 END')} AS normalized_entropy, count(*)::BIGINT AS unique_count
@@ -611,12 +624,15 @@ def q_sql_source(spark, sf_dir):
     return run_query(spark, "SELECT n_regionkey, count(*) AS k FROM nation_view GROUP BY n_regionkey;")
 
 
-@query()
+@query("SELECT * FROM orders ORDER BY md5('42:' || o_orderkey::VARCHAR) LIMIT 100")
 def q_sample(spark, sf_dir):
-    return sample(load(spark, sf_dir, "orders"), 100, 42)
+    return sample(load(spark, sf_dir, "orders"), 100, 42, ("o_orderkey",))
 
 
-@query()
+@query(union([
+    f"""SELECT '{c}' AS "column", 'passed' AS status, {r6(f'count(*) FILTER ({c} > 0)::DOUBLE / count({c})')} AS share FROM customer
+HAVING NOT (count({c}) >= 500 AND count(DISTINCT {c})::DOUBLE / count({c}) >= 0.99 AND bool_and({c} % 1 = 0))""" for c in ("c_custkey", "c_nationkey", "c_acctbal")
+]))
 def q_custom_rule(spark, sf_dir):
     registry = Registry()
     registry.add(Rule("positive_share", "Share of positive values", column_types=("numeric",), function=lambda c, kind: {"share": X.ratio(F.count_if(c > 0), F.count(c)), "status": F.lit("passed")}))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tablelens import Profiler, ProfilingConfig
 from tablelens.operators import columns as C
+from tablelens.operators import frequency as Q
 from tablelens.operators import nested as N
 from tablelens.plans.profiler import table_stats
 from tablelens.sources import readers
@@ -137,3 +138,34 @@ def test_store_addresses(spark):
         spark._jsc.hadoopConfiguration().unset("fs.s3.impl")
     with pytest.raises(ValueError):
         readers.read_object_csv(spark, "file:///etc/passwd")
+
+
+def test_long_texts_are_counted_by_digest(spark):
+    """Texts around the length at which digests take over, those that begin alike, and one that has a zero itself."""
+    start = "y" * Q.LONG
+    texts = [start] * 3 + [start + "a"] * 5 + [start + "b"] * 4 + [start[:-1]] * 2 + [start + "\0" + "0" * 32] * 2 + ["short"] * 6 + [None] * 7
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "t string, i int")
+    freq = Q.frequencies(df, ["t"])
+    assert {r["count"] for r in freq.collect() if r["value"] and len(r["value"]) > Q.LONG} == {5, 4, 2}
+    assert all(len(r["value"] or "") <= Q.LONG + 33 for r in freq.collect())
+    top = [(r["rank"], r["value"], r["count"]) for r in Q.with_texts(df, Q.top_values(freq)).orderBy("rank").collect()]
+    assert top[:5] == [(1, "short", 6), (2, start + "a", 5), (3, start + "b", 4), (4, start, 3), (5, start[:-1], 2)]
+    assert top[5] == (6, start + "\0" + "0" * 32, 2)
+    assert Q.whole_texts(df, [("t", "short"), ("t", None)]) == {}
+
+
+def test_long_texts_in_a_profile(spark):
+    long = "z" * 500
+    df = spark.createDataFrame([(long + str(i % 3) if i % 4 else long,) for i in range(80)], "t string")
+    report = Profiler().profile(df)
+    by_rule = {r.rule_id: r.details for r in report.results}
+    assert by_rule["most_common_value"]["most_common_value"] in (long, *(long + str(i) for i in range(3)))
+    assert {v["value"] for v in by_rule["top_k_frequencies"]["values"]} == {long, *(long + str(i) for i in range(3))}
+    assert report.column_analysis["t"]["most_common_value"] == by_rule["most_common_value"]["most_common_value"]
+
+
+def test_counting_long_texts_moves_little(spark):
+    df = spark.range(2000).select(F.concat(F.repeat(F.md5(F.col("id").cast("string")), F.lit(100)), F.col("id")).alias("t"))
+    text = df.agg(F.sum(F.octet_length("t"))).first()[0]
+    rows = Q.frequencies(df, ["t"]).agg(F.sum(F.octet_length("value"))).first()[0]
+    assert rows < 0.1 * text
