@@ -289,7 +289,10 @@ class Profiler:
         for part in chunks(list(limits), COLUMN_CHUNK):
             rows = self._guard(df, lambda part=part: {"r": C.outlier_examples(df, {n: limits[n] for n in part}).orderBy("rank").collect()})
             for n in part:
-                out[n, "outlier_detection"] = rows if isinstance(rows, Exception) else out[n, "outlier_detection"] | {"outlier_examples": [r["value"] for r in rows["r"] if r["column"] == n]}
+                one = rows
+                if isinstance(rows, Exception) and len(part) > 1:
+                    one = self._guard(df, lambda n=n: {"r": C.outlier_examples(df, {n: limits[n]}).orderBy("rank").collect()})
+                out[n, "outlier_detection"] = one if isinstance(one, Exception) else out[n, "outlier_detection"] | {"outlier_examples": [r["value"] for r in one["r"] if r["column"] == n]}
         counts: dict[tuple[str, str], list[int]] = {(n, k): [0] * size for n, k, size, _ in bins}
         for part in chunks(bins, COLUMN_CHUNK):
             cells = F.array(*[
@@ -339,9 +342,16 @@ class Profiler:
     def _whole_texts(self, df: DataFrame, results: dict) -> dict:
         """Long texts in place of the short forms by which they were counted, in all results by one job."""
         shown = [(n, v) for (n, _), r in results.items() if isinstance(r, dict) for v in [r.get("most_common_value"), r.get("most_common_non_null"), *(x["value"] for x in r.get("values", []))]]
-        texts = self._guard(df, lambda: Q.whole_texts(df, shown))
+        shown = [(n, v) for n, v in shown if Q.is_short_form(v)]
+        if not shown:
+            return results
+        texts, late = self._guard(df, lambda: Q.whole_texts(df, shown)), {}
         if isinstance(texts, Exception):
-            return {k: texts if isinstance(r, dict) and k[1] in ("most_common_value", "top_k_frequencies") else r for k, r in results.items()}
+            # Column by column, so that only those that fail alone are errors.
+            alone = {n: self._guard(df, lambda n=n: Q.whole_texts(df, [x for x in shown if x[0] == n])) for n in sorted({n for n, _ in shown})}
+            late = {n: t for n, t in alone.items() if isinstance(t, Exception)}
+            texts = {k: v for t in alone.values() if isinstance(t, dict) for k, v in t.items()}
+        results = {k: late.get(k[0], r) if k[1] in ("most_common_value", "top_k_frequencies") else r for k, r in results.items()}
         for (n, _), r in results.items():
             if isinstance(r, dict):
                 r |= {k: texts.get((n, r[k]), r[k]) for k in ("most_common_value", "most_common_non_null") if k in r}
