@@ -106,6 +106,11 @@ class WorkTables:
         self.discard(*[t for t, *_ in list(self._paths.values()) if all(t is not k for k in keep)])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def remove_work_tables(spark: SparkSession, older_than_hours: float = 24.0) -> int:
     """Delete written intermediate tables that are older; how many went. Lazy results read them, so use them first."""
     jvm = spark._jvm

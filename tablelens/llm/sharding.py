@@ -5,6 +5,9 @@ to. Bytes are summed by slot, and rebalancing edits the map: each shard keeps it
 gives up the rest, which go, largest first, to the shard that is lightest then. Records never change slots, so an edit
 of the map moves whole slots and nothing else.
 
+The map is stored, a folder for each version, and records are placed by the version that is read back. Placing records
+on a stored map begins with its latest version and adds the next.
+
 Nulls: a null key hashes like an empty string; a null text has no bytes. Empty tables give an empty result. Repeated
 rows are placed one by one. Columns other than the key and the text are ignored.
 """
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import materialise, only
+from tablelens.llm.common import exists, materialise, new_path, only
 
 #: The map is broadcast, so the number of its rows is bounded.
 MAX_SLOTS = 65536
@@ -121,20 +124,28 @@ def place(sized: DataFrame, loads: DataFrame, slot_map: DataFrame) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         slot_map.join(loads, "vslot", "left")
-        .select("vslot", "shard", F.coalesce("slot_rows", F.lit(0)).alias("n"))
-        .select("vslot", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("offset"))
+        .select("version", "vslot", "shard", F.coalesce("slot_rows", F.lit(0)).alias("n"))
+        .select(F.col("version").alias("map_version"), "vslot", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("offset"))
     )
     inside = Window.partitionBy("vslot").orderBy("key", "text_crc32", "size")
     return sized.join(F.broadcast(offsets), "vslot").select(
-        "key", "size", "text_crc32", "vslot", "shard", (F.col("offset") + F.row_number().over(inside) - 1).alias("slot")
+        "key", "size", "text_crc32", "vslot", "shard", (F.col("offset") + F.row_number().over(inside) - 1).alias("slot"), "map_version"
     )
 
 
-def shard_records(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, slots: int = 8192) -> DataFrame:
-    """Place every record of ``df``: key, size, text_crc32, vslot, shard, slot, map_version."""
+def shard_records(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24, slots: int = 8192, map_path: str | None = None) -> DataFrame:
+    """Place every record of ``df``: key, size, text_crc32, vslot, shard, slot, map_version.
+
+    ``map_path`` is where the map's versions are kept; without it they are written for this run alone. The number of
+    slots is that of the stored map.
+    """
     spark = df.sparkSession
+    path = map_path or new_path(spark, "slot-map")
+    if not exists(spark, path):
+        save_map(first_map(spark, slots, shards), path)
+    old = load_map(spark, path)
+    slots = old.count()
     sized = materialise(size_records(df, key, text, slots), "sized")
     loads = materialise(slot_loads(sized), "slot-loads")
-    old = first_map(spark, slots, shards)
-    new = materialise(rebalance(old, loads, shards), "slot-map")
-    return place(sized, loads, new).withColumn("map_version", F.lit(2))
+    save_map(rebalance(old, loads, shards), path)
+    return place(sized, loads, load_map(spark, path))

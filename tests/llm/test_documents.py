@@ -61,6 +61,56 @@ def test_sharding_balances_and_moves_little(spark):
     assert [r[0] for r in new.select("version").distinct().collect()] == [3]
 
 
+def plain_rebalance(old, loads, shards):
+    """The rebalanced map by lists: old and loads by slot."""
+    mean = sum(loads.get(v, 0) for v in old) / shards
+    new, held, pool = {}, [0] * shards, []
+    for s in set(old.values()):
+        total = 0
+        for b, v in sorted((-loads.get(v, 0), v) for v in old if old[v] == s):
+            total -= b
+            if total <= mean and s < shards:
+                new[v] = s
+                held[s] -= b
+            else:
+                pool.append((b, v, s))
+    for b, v, s in sorted(pool):
+        new[v] = s if s < shards and held[s] - b <= mean else held.index(min(held))
+        held[new[v]] -= b
+    return new
+
+
+@pytest.mark.parametrize(("slots", "before", "after", "seed"), [(64, 5, 5, 1), (64, 5, 6, 2), (64, 6, 4, 3), (100, 7, 8, 4), (12, 12, 3, 5)])
+def test_rebalance_against_a_plain_model(spark, slots, before, after, seed):
+    """Skewed loads, ties, empty slots, one slot that holds a third of all; growing and shrinking."""
+    rng = random.Random(seed)
+    loads = {v: rng.choice([0, 5, 5, 7, rng.randrange(50)]) for v in range(slots) if rng.random() < 0.9}
+    loads[3] = sum(loads.values()) // 2
+    old = {v: rng.randrange(before) for v in range(slots)}
+    m = spark.createDataFrame([(4, v, s) for v, s in old.items()], "version int, vslot long, shard int")
+    given = spark.createDataFrame([(v, b, 1) for v, b in loads.items()], "vslot long, slot_bytes long, slot_rows long")
+    got = sharding.rebalance(m, given, after).collect()
+    assert {r["vslot"]: r["shard"] for r in got} == plain_rebalance(old, loads, after)
+    assert {r["version"] for r in got} == {5}
+
+
+def test_records_are_placed_by_the_stored_map(spark, docs, rows, tmp_path):
+    """Each call reads the last version, adds the next and places by it; the plain model gives the same shards."""
+    path = str(tmp_path / "map")
+    first = sharding.shard_records(docs, shards=4, slots=64, map_path=path).collect()
+    loads = Counter()
+    for r in first:
+        loads[r["vslot"]] += r["size"]
+    model = plain_rebalance({v: v % 4 for v in range(64)}, loads, 4)
+    assert {r["vslot"]: r["shard"] for r in first} == {v: model[v] for v in loads}
+    assert {r["map_version"] for r in first} == {2}
+    again = sharding.shard_records(docs, shards=5, map_path=path).collect()
+    model = plain_rebalance(model, loads, 5)
+    assert {r["vslot"]: r["shard"] for r in again} == {v: model[v] for v in loads}
+    assert {r["map_version"] for r in again} == {3}
+    assert {r["version"] for r in spark.read.parquet(path).select("version").distinct().collect()} == {1, 2, 3}
+
+
 def test_map_versions(spark, tmp_path):
     m = sharding.first_map(spark, 16, 4)
     sharding.save_map(m, str(tmp_path / "map"))
