@@ -55,13 +55,17 @@ def order_statistics(df: DataFrame, ranks: dict[str, list[int]], bounds: dict[st
             for i, r in enumerate(part):
                 r.value = row[f"s{i}"][r.k - r.below]
         for part in _chunks(large, 50):
-            cuts = []
+            # Ranks that lie in one range, as all of a column do at first, share one sketch.
+            shared: dict[tuple[str, float, float], list[int]] = {}
             for i, r in enumerate(part):
-                at = (r.k - r.below + 0.5) / r.inside
-                margin = 2 / ACCURACY
-                low, high = max(0.0, at - margin), min(1.0, at + margin)
-                cuts.append(F.percentile_approx(_inside(r), F.array(F.lit(low), F.lit(high)), F.lit(ACCURACY)).alias(f"q{i}"))
-            row = df.agg(*cuts).first()
+                shared.setdefault((r.column, r.lo, r.hi), []).append(i)
+            margin, cuts = 2 / ACCURACY, []
+            for k, at in enumerate(shared.values()):
+                places = [(part[i].k - part[i].below + 0.5) / part[i].inside for i in at]
+                sides = [x for p in places for x in (max(0.0, p - margin), min(1.0, p + margin))]
+                cuts.append(F.percentile_approx(_inside(part[at[0]]), F.array(*[F.lit(x) for x in sides]), F.lit(ACCURACY)).alias(f"q{k}"))
+            found = df.agg(*cuts).first()
+            row = {f"q{i}": found[f"q{k}"][2 * j : 2 * j + 2] for k, at in enumerate(shared.values()) for j, i in enumerate(at)}
             # The cuts are checked by counting; a rank beyond them keeps the outer side of its range.
             tests = []
             for i, r in enumerate(part):

@@ -41,14 +41,14 @@ from tablelens.plans.registry import Registry, analysis_depth
 from tablelens.plans.report import compile_report, plain
 from tablelens.plans.types import ColumnAttributes, ProfilingConfig, ProfilingResult, Rule, RuleResult, points
 
-#: Columns in one aggregation of types and levels, and pairs in one grouping.
-COLUMN_CHUNK, PAIR_CHUNK = 64, 32
+#: Columns in one aggregation of types and levels, columns in one grouping of bins, and pairs in one grouping.
+LEVEL_CHUNK, COLUMN_CHUNK, PAIR_CHUNK = 4, 64, 32
 #: Pairs with a wide column in one job.
 WIDE_CHUNK = 128
 _SIDES = "p int, total long, distinct_rows long, sample_size long, chi2 double, n_rows long, n_cols long, forward_unique long, forward_present long, reverse_unique long, reverse_present long"
 #: Rows (key, type) of a dictionary column in its result, which says if there are more.
 VALUE_TYPES = 1000
-#: Over a bounded sample the time goes into planning, which threads share: fewer columns and aggregates a job.
+#: Over a bounded sample the time goes into planning, which threads share: fewer columns and pairs a job.
 SMALL_COLUMNS, SMALL_WIDTH, SMALL_PAIRS = 3, 48, 16
 
 _NESTED: dict[str, Callable[[DataFrame, str], DataFrame]] = {
@@ -93,7 +93,7 @@ class Profiler:
                 ))
             return out
 
-        return [a for part_ in self._together(df.sparkSession, [lambda names=names: part(names) for names in chunks(df.columns, SMALL_COLUMNS if self.small else COLUMN_CHUNK)]) for a in part_]
+        return [a for part_ in self._together(df.sparkSession, [lambda names=names: part(names) for names in chunks(df.columns, SMALL_COLUMNS if self.small else LEVEL_CHUNK)]) for a in part_]
 
     def _together(self, spark: SparkSession, tasks: list[Callable[[], Any]]) -> list[Any]:
         """Results of independent tasks, whose Spark jobs share the cluster; job groups are inherited."""
