@@ -7,8 +7,11 @@ composite uniqueness and association go over group counts.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions import exprs as X
@@ -105,7 +108,9 @@ def pair_groups(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 #: From so many levels on a column is wide, and a value of more than this part of all rows is hot.
-WIDE, HOT_PART = 5000, 16
+WIDE, HOT_PART = 5000, 256
+#: Rows dealt to one partition by a wide column, rows grouped in one, and what stands for null among hashes.
+DEALT, GROUPED, NULL_HASH = 100_000, 1_000_000, -7046029254386353131
 
 
 def _hashed(df: DataFrame, names: list[str]) -> DataFrame:
@@ -124,38 +129,58 @@ def hot_values(hashed: DataFrame, names: list[str], rows: int) -> dict[str, list
     return out
 
 
+def _cell_sums(numbers: list[int]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """By p and b, what one partition of rows a, h1, h2, ... (hashes, no nulls) adds: all rows of each a lie in it."""
+
+    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # About ``DEALT`` rows of numbers, and at most a ``HOT_PART`` of all rows more.
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        rows = pa.Table.from_batches(held)
+        own = np.unique(rows.column(0).to_numpy(), return_inverse=True)[1]
+        total = np.bincount(own).astype(np.float64)
+        for k, p in enumerate(numbers, 1):
+            values, at = np.unique(rows.column(k).to_numpy(), return_inverse=True)
+            cell, n = np.unique(own.astype(np.int64) * len(values) + at, return_counts=True)
+            a, at = np.divmod(cell, len(values))
+            t, c = np.bincount(at, n.astype(np.float64) ** 2 / total[a]), np.bincount(at, n).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"p": np.full(len(values), p, np.int32), "b": values, "t": t, "c": c, "cells": np.bincount(at).astype(np.int64)})
+
+    return sums
+
+
 def wide_sums(df: DataFrame, pairs: list[tuple[str, str]], levels: dict[str, int], rows: int) -> DataFrame:
     """p, total, distinct_rows, s (sum of o^2 / (row total * column total) of the crosstab) of pairs with a wide column.
 
-    Rows are dealt once for each wide column, by its value, with the values of all columns it is paired with; the cells
-    of all these pairs lie together then and are counted where they are. What leaves is one row for each pair and value
-    of the other column. Rows of hot values are counted before they move instead, pair by pair.
+    Rows are dealt once for each wide column, by its value, with the values of all columns it is paired with, over as
+    many partitions as the number of rows asks for; the cells of all these pairs lie together then and are counted where
+    they are. What leaves is one row for each pair, partition and value of the other column. Rows of hot values are
+    counted before they move instead, pair by pair.
     """
     names = sorted({n for x in pairs for n in x})
     at = {n: f"h{i}" for i, n in enumerate(names)}
     owner = [max(x, key=lambda n: levels[n]) for x in pairs]
-    hashed = _hashed(df, names)
+    # Null is a value with a hash of its own.
+    hashed = _hashed(df, names).fillna(NULL_HASH)
     hot = hot_values(hashed.select(*[F.col(at[n]).alias(f"h{i}") for i, n in enumerate(sorted(set(owner)))]), sorted(set(owner)), rows)
     whole = None
     for a in sorted(set(owner)):
         mine = [(i, x[1] if x[0] == a else x[0]) for i, x in enumerate(pairs) if owner[i] == a]
-        own = F.col(at[a])
-        is_hot = F.lit(False)
-        for h in hot[a]:
-            is_hot = is_hot | own.eqNullSafe(F.lit(h).cast("long"))
-        cells = F.array(*[F.struct(F.lit(i).alias("p"), F.col(at[b]).alias("b")) for i, b in mine])
-        slim = hashed.select(own.alias("a"), cells.alias("cells"), is_hot.alias("hot"))
-        dealt = slim.where("not hot").repartition("a").withColumn("r", F.count(F.lit(1)).over(Window.partitionBy("a")))
-        counted = dealt.select("a", "r", F.inline("cells")).groupBy("a", "p", "b", "r").agg(X.rows().alias("n"))
+        is_hot = F.col(at[a]).isin(hot[a]) if hot[a] else F.lit(False)
+        dealt = hashed.where(~is_hot).select(F.col(at[a]).alias("a"), *[F.col(at[b]).alias(f"b{i}") for i, b in mine]).repartition(rows // DEALT + 1, "a")
+        counted = dealt.mapInArrow(_cell_sums([i for i, _ in mine]), "p int, b long, t double, c long, cells long")
         if hot[a]:
-            few = slim.where("hot")
-            totals = few.groupBy("a").agg(X.rows().alias("r"))
-            cut = few.select("a", F.inline("cells")).groupBy("a", "p", "b").agg(X.rows().alias("n"))
+            few = hashed.where(is_hot)
+            cells = F.array(*[F.struct(F.lit(i).alias("p"), F.col(at[b]).alias("b")) for i, b in mine])
+            totals = few.groupBy(F.col(at[a]).alias("v")).agg(X.rows().alias("r"))
+            cut = few.select(F.col(at[a]).alias("a"), F.inline(cells)).groupBy("a", "p", "b").agg(X.rows().alias("c"))
             # Fewer than HOT_PART rows.
-            cut = cut.join(F.broadcast(totals.withColumnRenamed("a", "v")), F.col("a").eqNullSafe(F.col("v"))).select("a", "p", "b", "r", "n")
-            counted = counted.unionByName(cut)
-        o = F.col("n").cast("double")
-        by_b = counted.groupBy("p", "b").agg(F.sum(o * o / F.col("r")).alias("t"), F.sum("n").alias("c"), X.rows().alias("cells"))
+            cut = cut.join(F.broadcast(totals), F.col("a") == F.col("v"))
+            o = F.col("c").cast("double")
+            counted = counted.unionByName(cut.select("p", "b", (o * o / F.col("r")).alias("t"), "c", F.lit(1).cast("long").alias("cells")))
+        most = sum(min(rows, (rows // DEALT + 1) * levels[b]) for _, b in mine)
+        by_b = counted.repartition(most // GROUPED + 1, "p", "b").groupBy("p", "b").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("cells").alias("cells"))
         part = by_b.groupBy("p").agg(F.sum("c").alias("total"), F.sum("cells").alias("distinct_rows"), F.sum(F.col("t") / F.col("c")).alias("s"))
         whole = part if whole is None else whole.unionByName(part)
     return whole

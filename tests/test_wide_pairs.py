@@ -91,3 +91,20 @@ def test_profiles_of_sampled_pairs_count_their_own_rows(spark, monkeypatch):
     r = Profiler(ProfilingConfig(pair_sampling=True, pair_sampling_threshold=1000, sample_size=500)).profile(table(spark))
     sizes = {x.details["sample_size"] for x in r.results if x.rule_id == "categorical_association_cramers_v"}
     assert sizes == {500}
+
+
+def test_wide_columns_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    """No partition is sorted whole or joined with others, and more rows make more partitions with the same sums."""
+    df = table(spark)
+    total, known, levels = facts(df)
+    one = {r["p"]: r.asDict() for r in P.wide_sums(df, PAIRS, levels, total).collect()}
+    monkeypatch.setattr(P, "DEALT", 100)
+    monkeypatch.setattr(P, "GROUPED", 500)
+    sums = P.wide_sums(df, PAIRS, levels, total)
+    shown = sums._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in shown and "REPARTITION_BY_NUM" in shown
+    assert f", {total // 100 + 1})" in shown
+    many = {r["p"]: r.asDict() for r in sums.collect()}
+    assert one.keys() == many.keys()
+    for p in one:
+        close(one[p], many[p])
