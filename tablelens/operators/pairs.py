@@ -150,20 +150,22 @@ def _cell_sums(numbers: list[int]) -> Callable[[Iterable[pa.RecordBatch]], Itera
     return sums
 
 
-def wide_sums(df: DataFrame, pairs: list[tuple[str, str]], levels: dict[str, int], rows: int) -> DataFrame:
+def wide_sums(df: DataFrame, pairs: list[tuple[str, str]], levels: dict[str, int], rows: int, most: dict[str, int] | None = None) -> DataFrame:
     """p, total, distinct_rows, s (sum of o^2 / (row total * column total) of the crosstab) of pairs with a wide column.
 
     Rows are dealt once for each wide column, by its value, with the values of all columns it is paired with, over as
     many partitions as the number of rows asks for; the cells of all these pairs lie together then and are counted where
     they are. What leaves is one row for each pair, partition and value of the other column. Rows of hot values are
-    counted before they move instead, pair by pair.
+    counted before they move instead, pair by pair. most: rows of each column's mode, if known; without hot values none
+    are looked for.
     """
     names = sorted({n for x in pairs for n in x})
     at = {n: f"h{i}" for i, n in enumerate(names)}
     owner = [max(x, key=lambda n: levels[n]) for x in pairs]
     # Null is a value with a hash of its own.
     hashed = _hashed(df, names).fillna(NULL_HASH)
-    hot = hot_values(hashed.select(*[F.col(at[n]).alias(f"h{i}") for i, n in enumerate(sorted(set(owner)))]), sorted(set(owner)), rows)
+    may = [n for n in sorted(set(owner)) if most is None or most[n] > rows / HOT_PART]
+    hot = dict.fromkeys(owner, ()) | (hot_values(hashed.select(*[F.col(at[n]).alias(f"h{i}") for i, n in enumerate(may)]), may, rows) if may else {})
     whole = None
     for a in sorted(set(owner)):
         mine = [(i, x[1] if x[0] == a else x[0]) for i, x in enumerate(pairs) if owner[i] == a]
@@ -179,8 +181,8 @@ def wide_sums(df: DataFrame, pairs: list[tuple[str, str]], levels: dict[str, int
             cut = cut.join(F.broadcast(totals), F.col("a") == F.col("v"))
             o = F.col("c").cast("double")
             counted = counted.unionByName(cut.select("p", "b", (o * o / F.col("r")).alias("t"), "c", F.lit(1).cast("long").alias("cells")))
-        most = sum(min(rows, (rows // DEALT + 1) * levels[b]) for _, b in mine)
-        by_b = counted.repartition(most // GROUPED + 1, "p", "b").groupBy("p", "b").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("cells").alias("cells"))
+        sent = sum(min(rows, (rows // DEALT + 1) * levels[b]) for _, b in mine)
+        by_b = counted.repartition(sent // GROUPED + 1, "p", "b").groupBy("p", "b").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum("cells").alias("cells"))
         part = by_b.groupBy("p").agg(F.sum("c").alias("total"), F.sum("cells").alias("distinct_rows"), F.sum(F.col("t") / F.col("c")).alias("s"))
         whole = part if whole is None else whole.unionByName(part)
     return whole

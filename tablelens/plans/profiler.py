@@ -425,6 +425,7 @@ class Profiler:
 
         known = {a.name: (a.unique_count, a.total_count - a.null_count) for a in attrs}
         levels = {a.name: a.unique_count + (a.null_count > 0) for a in attrs}
+        most = {a.name: a.most_common_frequency for a in attrs}
         # What is known of the columns settles some pairs; others with a wide column go by its values. Neither is
         # exploded. What is known holds for all rows, so rules that look at a sample are left as they are.
         aside: set[tuple[str, str, str]] = set()
@@ -444,10 +445,10 @@ class Profiler:
             some = [x for x in left if any(x in w for w in wide.values())]
             found: dict = {}
             for part in chunks(some, WIDE_CHUNK):
-                rows = self._guard(df, lambda part=part: {"r": P.with_sides(P.wide_sums(df, part, levels, total), part, known, levels).collect()})
+                rows = self._guard(df, lambda part=part: {"r": P.with_sides(P.wide_sums(df, part, levels, total, most), part, known, levels).collect()})
                 if isinstance(rows, Exception) and len(part) > 1:
                     # Pair by pair, so that only those that fail alone are errors.
-                    rows = [(x, self._guard(df, lambda x=x: {"r": P.with_sides(P.wide_sums(df, [x], levels, total), [x], known, levels).collect()})) for x in part]
+                    rows = [(x, self._guard(df, lambda x=x: {"r": P.with_sides(P.wide_sums(df, [x], levels, total, most), [x], known, levels).collect()})) for x in part]
                 else:
                     rows = [(part, rows)]
                 for of, one in rows:

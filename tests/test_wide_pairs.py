@@ -108,3 +108,16 @@ def test_wide_columns_are_dealt_by_the_number_of_rows(spark, monkeypatch):
     assert one.keys() == many.keys()
     for p in one:
         close(one[p], many[p])
+
+
+def test_columns_without_hot_values_are_not_searched_for_them(spark, monkeypatch):
+    df = table(spark)
+    total, _, levels = facts(df)
+    looked = []
+    search = P.hot_values
+    monkeypatch.setattr(P, "hot_values", lambda h, names, rows: looked.append(names) or search(h, names, rows))
+    most = {n: df.groupBy(n).count().agg(F.max("count")).first()[0] for n in df.columns}
+    known = {r["p"]: r.asDict() for r in P.wide_sums(df, PAIRS, levels, total, most).collect()}
+    assert looked == [["v", "w"]]
+    for r in P.wide_sums(df, PAIRS, levels, total).collect():
+        close(known[r["p"]], r.asDict())
